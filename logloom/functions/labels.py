@@ -19,7 +19,7 @@ def map_severity(value: Column) -> Column:
     number = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
     names = F.create_map(*[F.lit(x) for kv in fixed.SEVERITY_LEVELS.items() for x in kv])
     named = F.try_element_at(names, F.lower(text))
-    return F.coalesce(clamp_severity(number).cast("int"), named, F.lit(fixed.DEFAULT_SEVERITY))
+    return F.coalesce(F.when(number.isNotNull(), clamp_severity(number)).cast("int"), named, F.lit(fixed.DEFAULT_SEVERITY))
 
 
 def severity_name(level: Column) -> Column:

@@ -58,41 +58,44 @@ def tag_questions(df: DataFrame, text: str = "text") -> DataFrame:
 
 def score_domains(df: DataFrame, text: Column) -> DataFrame:
     """Adds `domains`, an array of struct(domain, score) by falling score; the default is
-    application 0.5. The rule table is a fixed literal, so no join is needed."""
-    low = F.lower(text)
-    entries = []
-    for order, (domain, words) in enumerate(fixed.DOMAIN_KEYWORDS.items()):
-        hits = F.lit(0)
-        for w in words:
-            hits = hits + low.contains(w.lower()).cast("int")
-        score = (hits / F.lit(float(len(words)))) * (1 + 0.1 * hits)
-        entries.append(F.struct((-score).alias("rank"), F.lit(order).alias("position"),
-                                F.lit(domain).alias("domain"), score.alias("score")))
-    kept = F.sort_array(F.filter(F.array(*entries), lambda e: e["score"] > 0))
-    named = F.transform(kept, lambda e: F.struct(e["domain"].alias("domain"), e["score"].alias("score")))
+    application 0.5. The rule table is a fixed literal, so no join is needed. Each step is a
+    column of its own, so that it is computed once per row."""
+    names = list(fixed.DOMAIN_KEYWORDS)
+    hits = F.array(*[sum((F.col("_low").contains(w.lower()).cast("int") for w in words), F.lit(0))
+                     for words in fixed.DOMAIN_KEYWORDS.values()])
+    sizes = _literals([float(len(w)) for w in fixed.DOMAIN_KEYWORDS.values()])
+    entries = F.transform(F.arrays_zip(F.col("_hits").alias("h"), sizes.alias("n"), _literals(names).alias("d")),
+                          lambda e, i: F.struct((-(e["h"] / e["n"]) * (1 + 0.1 * e["h"])).alias("rank"),
+                                                i.alias("position"), e["d"].alias("domain")))
+    kept = F.sort_array(F.filter(entries, lambda e: e["rank"] < 0))
+    named = F.transform(F.col("_kept"), lambda e: F.struct(e["domain"].alias("domain"), (-e["rank"]).alias("score")))
     default = F.array(F.struct(F.lit("application").alias("domain"), F.lit(0.5).alias("score")))
-    return df.withColumn("domains", F.when(F.size(named) > 0, named).otherwise(default))
+    return (df.withColumn("_low", F.lower(text)).withColumn("_hits", hits).withColumn("_kept", kept)
+            .withColumn("domains", F.when(F.size("_kept") > 0, named).otherwise(default))
+            .drop("_low", "_hits", "_kept"))
 
 
 def rank_examples(df: DataFrame, question: str, n: int = 3) -> DataFrame:
     """Adds `examples`, the best `n` struct(example, score) of the fixed examples. Needs the
     `domains` column of score_domains."""
-    low = F.lower(F.col(question))
-    primary = F.element_at(F.col("domains"), 1)["domain"]
+    types = F.array(*[contains_any(F.col("_low"), words).cast("int") for _, words in fixed.QUESTION_TYPES])
     entries = []
     for order, (name, source, applicable, text) in enumerate(fixed.EXAMPLES):
-        shared = F.lit(0)
-        for _, words in fixed.QUESTION_TYPES:
-            if any(w in text.lower() for w in words):
-                shared = shared + contains_any(low, words).cast("int")
-        weighted = F.aggregate(F.col("domains"), F.lit(0.0), lambda acc, d: acc + F.when(
-            d["domain"].isin(*applicable), 2 * d["score"]).otherwise(0.0))
-        score = F.when(primary == source, 3.0).otherwise(0.0) + weighted + shared
-        entries.append(F.struct((-score).alias("rank"), F.lit(order).alias("position"),
-                                F.lit(name).alias("example"), score.alias("score")))
-    kept = F.slice(F.sort_array(F.filter(F.array(*entries), lambda e: e["score"] > 0)), 1, n)
-    return df.withColumn("examples", F.transform(
-        kept, lambda e: F.struct(e["example"].alias("example"), e["score"].alias("score"))))
+        own = [i for i, (_, words) in enumerate(fixed.QUESTION_TYPES) if any(w in text.lower() for w in words)]
+        shared = sum((F.col("_types")[i] for i in own), F.lit(0))
+        weighted = sum((F.coalesce(F.try_element_at("_scores", F.lit(d)), F.lit(0.0)) * 2 for d in applicable), F.lit(0.0))
+        entries.append(F.struct((F.when(F.col("_primary") == source, 3.0).otherwise(0.0) + weighted + shared).alias("score"),
+                                F.lit(order).alias("position"), F.lit(name).alias("example")))
+    ranked = F.sort_array(F.transform(F.filter(F.array(*entries), lambda e: e["score"] > 0), lambda e: F.struct(
+        (-F.round(e["score"], 9)).alias("rank"), e["position"].alias("position"), e["example"].alias("example"),
+        e["score"].alias("score"))))
+    return (df.withColumn("_low", F.lower(F.col(question))).withColumn("_types", types)
+            .withColumn("_primary", F.element_at("domains", 1)["domain"])
+            .withColumn("_scores", F.map_from_entries("domains"))
+            .withColumn("_ranked", F.slice(ranked, 1, n))
+            .withColumn("examples", F.transform("_ranked", lambda e: F.struct(
+                e["example"].alias("example"), e["score"].alias("score"))))
+            .drop("_low", "_types", "_primary", "_scores", "_ranked"))
 
 
 def transfer_rules(df: DataFrame) -> DataFrame:

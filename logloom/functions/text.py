@@ -130,14 +130,22 @@ def service_group(name: Column) -> Column:
                   ).otherwise("Other")
 
 
-def first_field(fields: Column, names: list[str]) -> Column:
-    """Value of the first name present in a string map: exact name, then any letter case."""
-    lowered = F.map_from_entries(F.array_distinct(F.transform(
-        F.array_distinct(F.transform(F.map_keys(fields), lambda k: F.lower(k))),
-        lambda low: F.struct(low.alias("key"), F.element_at(
-            F.map_values(F.map_filter(fields, lambda k, v: F.lower(k) == low)), 1).alias("value")))))
-    return F.coalesce(*[x for n in names for x in (
-        F.try_element_at(fields, F.lit(n)), F.try_element_at(lowered, F.lit(n.lower())))])
+def lower_keys(fields: Column) -> Column:
+    """The string map with lower-cased keys; the first of equal keys wins."""
+    names = F.transform(F.map_keys(fields), lambda k: F.lower(k))
+    first = F.filter(F.map_entries(fields), lambda e, i: F.array_position(names, F.lower(e["key"])) == i + 1)
+    return F.map_from_entries(F.transform(first, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+
+
+def first_field(fields: Column, names: list[str], lowered: Column | None = None) -> Column:
+    """Value of the first name present in a string map: exact name, then any letter case. Pass
+    `lowered` (from lower_keys) when several fields are read from one map."""
+    low = lower_keys(fields) if lowered is None else lowered
+
+    def present(m, name):
+        return F.when(F.map_contains_key(m, name), F.struct(F.try_element_at(m, F.lit(name)).alias("v")))
+
+    return F.coalesce(*[x for n in names for x in (present(fields, n), present(low, n.lower()))])["v"]
 
 
 def residual_map(fields: Column, known: list[str]) -> Column:

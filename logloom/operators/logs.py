@@ -184,7 +184,8 @@ def rows_holding_terms(rows: DataFrame, texts: list[str], terms: DataFrame, per_
         part = terms.filter(F.pmod(F.xxhash64("term"), F.lit(passes)) == p).limit(2 * per_pass + 1).collect()
         if len(part) > 2 * per_pass:
             raise ValueError("uneven term hashing; use a larger per_pass")
-        matched = rows.withColumn("term_id", F.explode(_term_matcher([(r.term_id, r.term) for r in part])(joined_text)))
+        matched = rows.withColumn("term_id", F.explode_outer(
+            _term_matcher([(r.term_id, r.term) for r in part])(joined_text))).filter(F.col("term_id").isNotNull())
         out = matched if out is None else out.unionByName(matched)
     return out
 

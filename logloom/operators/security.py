@@ -26,25 +26,29 @@ def security_sample(logs: DataFrame, high: int = 5000, low: int = 5000, max_serv
     return top.unionByName(cut.filter(F.col("rn") <= F.col("_quota")).select(*logs.columns))
 
 
-def first_keywords(body: Column) -> dict[str, Column]:
-    """Per category the first keyword in the text, or null."""
-    low = F.lower(F.coalesce(body, F.lit("")))
+def _lowered(logs: DataFrame) -> DataFrame:
+    return logs.withColumn("_low", F.lower(F.coalesce("body_raw", F.lit(""))))
+
+
+def first_keywords(low: Column) -> dict[str, Column]:
+    """Per category the first keyword in the lower-cased text, or null."""
     return {cat: first_contained(low, words) for cat, (_, words) in fixed.SECURITY_RULES.items()}
 
 
 def keyword_hits(logs: DataFrame) -> DataFrame:
     """One row per (log row, category) that matches, with the first keyword in list order."""
     pairs = F.array(*[F.struct(F.lit(c).alias("category"), k.alias("matched_keyword"))
-                      for c, k in first_keywords(F.col("body_raw")).items()])
-    hits = logs.withColumn("_hit", F.explode(F.filter(pairs, lambda p: p["matched_keyword"].isNotNull())))
+                      for c, k in first_keywords(F.col("_low")).items()])
+    # explode_outer: a plain explode makes Catalyst repeat the whole keyword match in a filter
+    hits = _lowered(logs).withColumn("_hit", F.explode_outer(pairs)).filter(F.col("_hit.matched_keyword").isNotNull())
     return hits.select(*logs.columns, "_hit.category", "_hit.matched_keyword")
 
 
 def category_counts(logs: DataFrame) -> DataFrame:
     """category, hits for every category, also those without a hit. One scan, one row shuffled
     per task."""
-    flags = first_keywords(F.col("body_raw"))
-    wide = logs.agg(*[F.count_if(k.isNotNull()).alias(c) for c, k in flags.items()])
+    flags = first_keywords(F.col("_low"))
+    wide = _lowered(logs).agg(*[F.count_if(k.isNotNull()).alias(c) for c, k in flags.items()])
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("hits")) for c in CATEGORIES]))
     return wide.select(cells.alias("_c")).select("_c.category", "_c.hits")
 
@@ -84,8 +88,8 @@ def recommendations(counts: dict[str, Column], risk: Column) -> Column:
 
 def security_report(logs: DataFrame, by: list[str] = ()) -> DataFrame:
     """Category counts, events, analysed rows, score, risk and recommendations, per group."""
-    flags = first_keywords(F.col("body_raw"))
-    agg = logs.groupBy(*by).agg(F.count(F.lit(1)).alias("total_logs_analyzed"),
+    flags = first_keywords(F.col("_low"))
+    agg = _lowered(logs).groupBy(*by).agg(F.count(F.lit(1)).alias("total_logs_analyzed"),
                                 *[F.count_if(k.isNotNull()).alias(c) for c, k in flags.items()])
     return score_report(agg)
 
