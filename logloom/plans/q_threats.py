@@ -193,8 +193,8 @@ def _(t):
 FUSED = more(*_pattern_ctes("id", "body_raw", "logs"), ENTROPY_CTE, FAIL_CTE, BASE_CTE, BRUTE_CTE, *RECON_CTES, *SEQ, SCORE_SQL,
  f"""f AS (SELECT l.id, coalesce(z > 3, false) AS bh, coalesce(d >= 10, false) AS rh, {RECON_TYPE.format(n=10)} AS rtype,
   coalesce(pattern_count, 0) > 0 OR h > 4.5 AS ih, coalesce(attack_type, 'unknown') AS atype, coalesce(pattern_count, 0) AS pc, score AS seq,
-  greatest(coalesce(least(1.0::DOUBLE, z / 6), 0.0::DOUBLE), {INJ_SCORE.format(gram='', thr='4.5').replace('0.4 *', '0.4::DOUBLE *').replace('0.3 *', '0.3::DOUBLE *')},
-           coalesce(least(1.0::DOUBLE, d / 20), 0.0::DOUBLE)) AS rule
+  greatest(CASE WHEN z IS NULL THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, z / 6) END, {INJ_SCORE.format(gram='', thr='4.5').replace('0.4 *', '0.4::DOUBLE *').replace('0.3 *', '0.3::DOUBLE *')},
+           CASE WHEN d IS NULL THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, d / 20) END) AS rule
   FROM logs l JOIN ent USING (id) LEFT JOIN inj USING (id) LEFT JOIN brute USING (id) LEFT JOIN recon r ON r.id = l.id
   LEFT JOIN seqscore q ON q.key = l.service_name)""",
  """g AS (SELECT *, greatest(rule, seq) AS ts, (ih AND rule > 0.1) OR (bh AND rule > 0.3) OR (rh AND rule > 0.3) OR seq > 0.7 AS is_threat,
