@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logloom.plans import q_anomaly, q_forecast, q_functions, q_logs, q_threats  # noqa: F401
+from logloom.plans import q_anomaly, q_forecast, q_functions, q_logs, q_models, q_threats  # noqa: F401
 from logloom.plans.registry import ORACLES, QUERIES
 
 
