@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions.labels import category_from_severity, infer_domain_from_text, keyword_labels
 from logloom.functions.text import extract_entities, log_tokens, word_ngrams
+from logloom.session import materialize
 
 MAX_FEATURES = 5000
 MAX_CLASSES = 1000
@@ -77,14 +78,14 @@ def nb_predict(docs: DataFrame, weights: DataFrame, model: tuple[DataFrame, Data
 
 
 # --- linear SVM -------------------------------------------------------------------------
-def svm_fit(docs: DataFrame, text: str, label: str, reg: float = 0.01, max_iter: int = 20) -> PipelineModel:
-    rows = docs.select(word_ngrams(log_tokens(F.col(text))).alias("_grams"), F.col(label).alias("_label"))
+def svm_fit(docs: DataFrame, text: str, label: str, reg: float = 0.01, max_iter: int = 10) -> PipelineModel:
+    rows = materialize(docs.select(word_ngrams(log_tokens(F.col(text))).alias("_grams"), F.col(label).alias("_label")), "svm-rows")
     indexer = StringIndexer(inputCol="_label", outputCol="_y", handleInvalid="skip").fit(rows)
     stages = [
         indexer, CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=MAX_FEATURES, minDF=2.0),
         IDF(inputCol="_tf", outputCol="_tfidf"), Normalizer(inputCol="_tfidf", outputCol="features"),
         OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter), labelCol="_y", featuresCol="features",
-                  predictionCol="_p", rawPredictionCol="_raw"),
+                  predictionCol="_p", parallelism=4),
         IndexToString(inputCol="_p", outputCol="label", labels=indexer.labels)]
     return Pipeline(stages=stages).fit(rows)
 
@@ -93,8 +94,8 @@ def svm_predict(docs: DataFrame, model: PipelineModel, text: str) -> DataFrame:
     """Adds label and confidence, the sigmoid of the largest absolute margin."""
     rows = docs.withColumn("_grams", word_ngrams(log_tokens(F.col(text))))
     out = PipelineModel(model.stages[1:]).transform(rows)
-    margin = F.array_max(F.transform(vector_to_array("_raw"), lambda x: F.abs(x)))
-    return out.withColumn("confidence", 1 / (1 + F.exp(-margin))).drop("_grams", "_tf", "_tfidf", "features", "_raw", "_p")
+    margin = F.array_max(F.transform(vector_to_array("rawPrediction"), lambda x: F.abs(x)))
+    return out.withColumn("confidence", 1 / (1 + F.exp(-margin))).drop("_grams", "_tf", "_tfidf", "features", "rawPrediction", "_p")
 
 
 def svm_update(model: PipelineModel, retained: DataFrame, new: DataFrame, text: str, label: str) -> PipelineModel:
@@ -115,8 +116,9 @@ def train_classifiers(logs: DataFrame, key: str = "id", text: str = "body_raw",
     """Fits on keyword labels (category, domain, severity)."""
     labelled = logs.select(key, text, keyword_labels(F.col(text), F.col(source)).alias("k")).select(
         key, text, "k.category", "k.domain", F.col("k.severity").alias("level"))
-    vocabulary = tfidf_fit(labelled, key, text)
-    weights = tfidf_transform(labelled, key, text, vocabulary)
+    labelled = materialize(labelled, "labelled")
+    vocabulary = materialize(tfidf_fit(labelled, key, text), "vocabulary")
+    weights = materialize(tfidf_transform(labelled, key, text, vocabulary), "weights")
     return LogModels(vocabulary, nb_fit(weights, labelled, vocabulary, key, "category"),
                      nb_fit(weights, labelled, vocabulary, key, "domain"), svm_fit(labelled, text, "level"))
 

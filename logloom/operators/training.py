@@ -15,6 +15,7 @@ from logloom.functions.features import behaviour_features, with_columns
 from logloom.functions.text import contains_any, log_tokens, word_ngrams
 from logloom.operators import anomaly, classify, forest, threats
 from logloom.scale import positions, running_totals
+from logloom.session import materialize
 
 MIN_TRAINING_ROWS = 100
 
@@ -183,7 +184,7 @@ def train_all(logs: DataFrame, seed: int = 42, n_trees: int = 50) -> tuple[Train
     100 rows are an error."""
     if logs.limit(MIN_TRAINING_ROWS).count() < MIN_TRAINING_ROWS:
         raise ValueError(f"at least {MIN_TRAINING_ROWS} rows are needed")
-    train, test = split(logs, 0.8, "severity", seed)
+    train, test = (materialize(part, "split") for part in split(logs, 0.8, "severity", seed))
     classifiers = classify.train_classifiers(train)
     outliers = forest.forest_fit(anomaly.frequency_features(train), ["count", "frequency", "severity_level", "message_length"],
                                  n_trees=n_trees, seed=seed)

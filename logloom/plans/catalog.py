@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from logloom.plans import q_anomaly, q_forecast, q_functions, q_logs, q_models, q_threats  # noqa: F401
+from logloom.plans import (  # noqa: F401
+    q_anomaly, q_forecast, q_functions, q_logs, q_models, q_streams, q_templates, q_threats)
 from logloom.plans.registry import ORACLES, QUERIES
 
 
