@@ -12,10 +12,6 @@ from logloom.scale import bucket_of, exact_quantiles, lagged
 HIGH = ("ERROR", "CRITICAL", "FATAL")
 
 
-def _on(keys: list[str]):
-    return keys
-
-
 def frequency_features(logs: DataFrame) -> DataFrame:
     """id with count, frequency (share of the service's rows), severity level, message length and
     template id mod 1000. Counts come from the template groups."""
@@ -52,9 +48,9 @@ def template_mix(logs: DataFrame, by: list[str]) -> DataFrame:
 
 def arrival_features(logs: DataFrame, by: list[str]) -> DataFrame:
     """Mean and deviation of the seconds between rows, and the share below max(mean / 10, 1 s).
-    Gaps of a hot group are taken hour by hour with the last row before the hour carried in."""
+    Gaps of a hot group are taken in slots of ten seconds with the last row before the slot carried in."""
     rows = logs.select(*by, "timestamp_utc", "id", F.unix_micros("timestamp_utc").alias("_us"))
-    seq = lagged(rows, by, ["timestamp_utc", "id"], bucket_of(F.col("_us"), 3_600_000_000), F.col("_us"), 1)
+    seq = lagged(rows, by, ["timestamp_utc", "id"], bucket_of(F.col("_us"), 10_000_000), F.col("_us"), 1)
     gaps = seq.filter(F.col("prev_1").isNotNull()).select(*by, ((F.col("_us") - F.col("prev_1")) / 1e6).alias("_gap"))
     stats = gaps.groupBy(*by).agg(F.avg("_gap").alias("inter_arrival_mean"), F.stddev_pop("_gap").alias("inter_arrival_std"))
     short = F.col("_gap") < F.greatest(F.col("inter_arrival_mean") * 0.1, F.lit(1.0))

@@ -15,14 +15,20 @@ DELIMITERS = r"[_:=/\\\[\]()]"
 GROUP_LIMIT = 2_000
 
 
+def spaced_text(text: Column) -> Column:
+    """The message with the extra delimiters as blanks and single blanks between tokens."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, DELIMITERS, " "), r"\s+", " "))
+
+
 def message_tokens(text: Column) -> Column:
-    """Tokens after the extra delimiters became blanks; a blank message gives an empty array."""
-    spaced = F.trim(F.regexp_replace(F.regexp_replace(text, DELIMITERS, " "), r"\s+", " "))
+    """Tokens of the spaced message; a blank message gives an empty array."""
+    spaced = spaced_text(text)
     return F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " "))
 
 
-def _masked(token: Column) -> Column:
-    return F.when(token.rlike(r"\d"), F.lit(WILD)).otherwise(token)
+def masked_text(spaced: Column) -> Column:
+    """Tokens that hold a digit become wildcards; one regex over the text, without arrays."""
+    return F.regexp_replace(spaced, r"[^ ]*[0-9][^ ]*", WILD)
 
 
 def _merge_udf(sim_th: float):
@@ -76,9 +82,8 @@ def mine_templates(logs: DataFrame, depth: int = 4, sim_th: float = 0.4, max_chi
        `max_children` most frequent of its (service, length) goes to the wildcard prefix.
     3. A hot group is merged in parts, and the templates of the parts are merged again, until one
        part holds the whole group. Order and parts come from the text, not from partitioning."""
-    rows = logs.withColumn("_tokens", message_tokens(F.col("body_raw")))
-    rows = rows.withColumn("_shape", F.transform("_tokens", _masked)).withColumn("_text", F.array_join("_shape", " "))
-    shapes = rows.filter(F.size("_shape") > 0).groupBy("service_name", F.col("_text").alias("text")).agg(
+    rows = logs.withColumn("_text", masked_text(spaced_text(F.col("body_raw"))))
+    shapes = rows.filter(F.col("_text") != "").groupBy("service_name", F.col("_text").alias("text")).agg(
         F.min("timestamp_utc").alias("first_seen"), F.count(F.lit(1)).alias("_rows"))
     shapes = shapes.withColumn("tokens", F.split("text", " ")).withColumn("n_tokens", F.size("tokens"))
     shapes = shapes.withColumn("prefix", F.array_join(F.slice("tokens", 1, max(depth - 3, 1)), " "))
@@ -103,8 +108,9 @@ def mine_templates(logs: DataFrame, depth: int = 4, sim_th: float = 0.4, max_chi
     out = rows.join(named, ["service_name", "_text"], "left").withColumn(
         "template_text", F.coalesce("template", F.lit(WILD)))
     return (out.withColumn("template_hash", template_hash(F.col("service_name"), F.col("template_text")))
-            .withColumn("parameters", extract_parameters(F.col("body_raw"), F.col("_tokens"), F.col("template_text")))
-            .drop("_tokens", "_shape", "_text", "template"))
+            .withColumn("parameters", extract_parameters(
+                F.col("body_raw"), message_tokens(F.col("body_raw")), F.col("template_text")))
+            .drop("_text", "template"))
 
 
 def _limit_children(shapes: DataFrame, max_children: int) -> DataFrame:

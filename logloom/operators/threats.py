@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,11 @@ def _micros() -> Column:
     return F.unix_micros("timestamp_utc")
 
 
-def _hour() -> Column:
-    return bucket_of(_micros(), 3600 * SECOND)
+SLOT = 10 * SECOND  # ordered work is cut into slots of ten seconds
+
+
+def _slot() -> Column:
+    return bucket_of(_micros(), SLOT)
 
 
 # --- sequences --------------------------------------------------------------------------
@@ -28,7 +32,7 @@ def transitions(logs: DataFrame, key: str = "service_name", order: int = 2) -> D
     """key, state, next, n: how often `next` followed the `order` events of `state`."""
     rows = logs.select(F.col(key).alias("key"), "timestamp_utc", "id",
                        event_signature(F.col("body_raw"), F.col("service_name")).alias("sig"))
-    seq = lagged(rows, ["key"], ["timestamp_utc", "id"], _hour(), F.col("sig"), order)
+    seq = lagged(rows, ["key"], ["timestamp_utc", "id"], _slot(), F.col("sig"), order)
     full = seq.filter(F.col(f"prev_{order}").isNotNull())
     state = F.concat_ws("|", *[F.col(f"prev_{i}") for i in range(order, 0, -1)])
     return full.groupBy("key", state.alias("state"), F.col("sig").alias("next")).agg(F.count(F.lit(1)).alias("n"))
@@ -84,7 +88,7 @@ def bruteforce_fit(logs: DataFrame, window: int = 300, baseline: str = "window")
 def bruteforce_ticks(logs: DataFrame, baseline: DataFrame | None, window: int = 300, multiplier: float = 3.0) -> DataFrame:
     """source, at, failure_count, z_score, is_brute_force, threat_score per source and instant."""
     ticks = trailing_sums(auth_failures(logs).select("source", "at", F.lit(1).alias("failure_count")),
-                          ["source"], "at", ["failure_count"], window * SECOND, window * SECOND)
+                          ["source"], "at", ["failure_count"], window * SECOND, SLOT)
     if baseline is None:
         scored = ticks.withColumn("z_score", F.col("failure_count") / 5.0).withColumn(
             "is_brute_force", F.col("failure_count") > 5)
@@ -141,11 +145,28 @@ def matched_rules(text: Column, rules: dict[str, list[str]] | None = None, stric
     return F.array(*per_type)
 
 
+NGRAM_LIMIT = 200_000
+
+
+def _ngram_scorer(scores: dict[str, float]):
+    """Sum of the scores of all 3-grams of a text, for a model small enough to travel with tasks."""
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        def total(t):
+            low = "" if t is None else t.lower()
+            return float(sum(scores.get(low[i:i + 3], 0.0) for i in range(len(low) - 2)))
+
+        return texts.map(total).astype("float64")
+
+    return score
+
+
 def with_injection(df: DataFrame, text: str, model: DataFrame | None = None, key: str = "id",
                    entropy_threshold: float | DataFrame = 4.5, rules: dict[str, list[str]] | None = None,
                    strict: bool = False) -> DataFrame:
     """Adds matched, pattern_count, attack_type, ngram_score, entropy, high_entropy, is_injection
-    and injection_score. `model` is the (ngram, score) table; without it the n-gram score is 0."""
+    and injection_score. `model` is the (ngram, score) table; without it the n-gram score is 0. A
+    model of up to NGRAM_LIMIT rows is sent to the tasks; a larger one is joined."""
     types = list(rules or INJECTION_RULES)
     out = df.withColumn("matched", matched_rules(F.col(text), rules, strict))
     out = out.withColumn("_sizes", F.transform("matched", lambda m: F.size(m)))
@@ -161,6 +182,8 @@ def with_injection(df: DataFrame, text: str, model: DataFrame | None = None, key
         out = out.withColumn("entropy_threshold", F.lit(float(entropy_threshold)))
     if model is None:
         out = out.withColumn("ngram_score", F.lit(0.0))
+    elif (small := model.limit(NGRAM_LIMIT + 1).collect()) and len(small) <= NGRAM_LIMIT:
+        out = out.withColumn("ngram_score", _ngram_scorer({r.ngram: r.score for r in small})(F.col(text)))
     else:
         grams = df.select(key, F.explode_outer(char_ngrams(F.col(text))).alias("ngram")).filter("ngram IS NOT NULL")
         scores = (grams.groupBy(key, "ngram").agg(F.count(F.lit(1)).alias("_n")).join(model, "ngram")
@@ -187,7 +210,7 @@ def recon_ticks(logs: DataFrame, window: int = 60, diversity: int = 10) -> DataF
     """source, at, unique_targets, is_recon, recon_type, threat_score per source and instant."""
     kinds = {k: F.col("target").startswith(k + ":") for k in ("port", "path", "user")}
     ticks = trailing_distinct(_accesses(logs).select("source", "target", "at"), ["source"], "target", "at",
-                              window * SECOND, window * SECOND, kinds)
+                              window * SECOND, SLOT, kinds)
     is_recon = F.col("distinct_items") >= diversity
     kind = (F.when(~is_recon, "unknown").when(F.col("port") > 3, "port_scan").when(F.col("path") > 5, "directory_enum")
             .when(F.col("user") > 3, "user_enum").otherwise("general_scan"))
@@ -282,7 +305,7 @@ def threat_training_sets(logs: DataFrame) -> dict[str, DataFrame]:
     first tenth of the rows in time order as malicious texts, the rest as good ones."""
     low = F.lower("body_raw")
     attack = contains_any(low, fixed.ATTACK_WORDS)
-    placed = positions(logs, [], ["timestamp_utc", "id"], _hour(), "_pos", "_all")
+    placed = positions(logs, [], ["timestamp_utc", "id"], _slot(), "_pos", "_all")
     cut = F.floor(F.col("_all") / 10)
     return {
         "attack": logs.filter(attack), "normal": logs.filter(~attack),

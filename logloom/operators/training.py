@@ -23,7 +23,7 @@ MIN_TRAINING_ROWS = 100
 def hashed_positions(df: DataFrame, keys: list[str], seed: int, id_col: str = "id") -> DataFrame:
     """Adds _pos and _all: the place of each row in a seeded random order of its key."""
     h = df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
-    return positions(h, keys, ["_h", id_col], F.shiftright("_h", 52), "_pos", "_all").drop("_h")
+    return positions(h, keys, ["_h", id_col], F.shiftright("_h", 46), "_pos", "_all").drop("_h")
 
 
 def split(df: DataFrame, ratio: float = 0.8, strat: str | None = None, seed: int = 42, id_col: str = "id"

@@ -11,6 +11,7 @@ from logloom.operators import forest
 from logloom.plans.logview import ISO_SQL, TEMPLATES_SQL, more, ts_text, with_logs
 from logloom.plans.q_functions import sql_any
 from logloom.plans.registry import query
+from logloom.session import materialize
 
 SVC = ["service_name"]
 NAME_SQL = "CASE severity WHEN 5 THEN 'CRITICAL' WHEN 4 THEN 'ERROR' WHEN 3 THEN 'WARNING' WHEN 2 THEN 'INFO' ELSE 'DEBUG' END"
@@ -162,7 +163,7 @@ FOREST_COLUMNS = ["count", "frequency", "severity_level", "message_length"]
 
 
 def _forest(t):
-    f = A.frequency_features(t.logs)
+    f = materialize(A.frequency_features(t.wide_logs), "features")  # read by the fit and the scoring
     return f, forest.forest_fit(f, FOREST_COLUMNS, n_trees=50)
 
 

@@ -12,6 +12,7 @@ from logloom.plans.logview import more, with_logs
 from logloom.plans.q_anomaly import HEUR, NAME_SQL, _heuristic, rounded
 from logloom.plans.q_functions import _entity_sql, _tokens_sql, sql_any, sql_case
 from logloom.plans.registry import query
+from logloom.session import materialize
 
 TF = [f"tk AS (SELECT id, {_tokens_sql('body_raw')} AS w FROM logs)",
       "tc AS (SELECT id, term, count(*) AS c FROM (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]))) AS term FROM tk) GROUP BY ALL)",
@@ -20,8 +21,8 @@ TF = [f"tk AS (SELECT id, {_tokens_sql('body_raw')} AS w FROM logs)",
 
 
 def _tfidf(t):
-    v = C.tfidf_fit(t.logs, "id", "body_raw")
-    return v, C.tfidf_transform(t.logs, "id", "body_raw", v)
+    v = materialize(C.tfidf_fit(t.wide_logs, "id", "body_raw"), "vocabulary")  # used twice
+    return v, C.tfidf_transform(t.wide_logs, "id", "body_raw", v)
 
 
 @query("tfidf_vocabulary", more(*TF) + "SELECT term, df, round(idf, 6) AS idf FROM vo")
@@ -47,9 +48,10 @@ NB = [f"lb AS (SELECT id, {CATEGORY} AS label FROM logs)",
 
 def _nb(t):
     v, w = _tfidf(t)
-    lab = t.logs.select("id", labels.keyword_labels(F.col("body_raw"), F.col("service_name"))["category"].alias("category"))
+    w = materialize(w, "weights")  # used by the fit and the prediction
+    lab = t.wide_logs.select("id", labels.keyword_labels(F.col("body_raw"), F.col("service_name"))["category"].alias("category"))
     model = C.nb_fit(w, lab, v, "id", "category")
-    return lab, model, C.nb_predict(t.logs, w, model, "id")
+    return lab, model, C.nb_predict(t.wide_logs, w, model, "id")
 
 
 @query("naive_bayes_classes", more(*TF, *NB) + "SELECT label, round(prior, 6) AS log_prior, round(dflt, 6) AS log_default FROM cl")
@@ -101,7 +103,7 @@ def _(t):
  "q AS (SELECT s, p, n, sum(p) OVER w AS rp, sum(n) OVER w AS rn, sum(p) OVER () AS tp, sum(n) OVER () AS tn FROM r WINDOW w AS (ORDER BY s DESC))") + """
 SELECT round(s / 1e9::DOUBLE, 6) AS threshold, round(rp / tp, 6) AS tpr, round(rn / tn, 6) AS fpr, round((SELECT sum(n * (2 * rp - p) / (2 * tp * tn)) FROM q), 6) AS auc FROM q""")
 def _(t):
-    rows = t.logs.select(((F.col("id") % 101) / 101 * 0.6 + F.when(F.col("severity") >= 4, 0.3).otherwise(0.0)).alias("s"),
+    rows = t.wide_logs.select(((F.col("id") % 101) / 101 * 0.6 + F.when(F.col("severity") >= 4, 0.3).otherwise(0.0)).alias("s"),
                          (F.col("severity") >= 4).cast("int").alias("y"))
     return rounded(Z.roc_points(rows, "s", "y"), "threshold", "tpr", "fpr", "auc")
 
@@ -110,7 +112,7 @@ def _(t):
 SELECT id, CASE WHEN severity >= 4 THEN 'error' WHEN severity = 3 THEN 'warning' WHEN {sql_any('lower(body_raw)', ['security', 'attack'])} THEN 'security' ELSE 'normal' END AS category,
  {sql_case(fixed.TEXT_DOMAIN_WORDS, 'application', 'lower(body_raw)')} AS domain, round((0.8::DOUBLE + 0.6::DOUBLE + 0.8::DOUBLE) / 3, 6) AS mean_confidence FROM logs"""))
 def _(t):
-    rows = t.logs.withColumn("name", labels.model_severity_name(F.col("severity"))).withColumn("c", F.lit(0.8))
+    rows = t.wide_logs.withColumn("name", labels.model_severity_name(F.col("severity"))).withColumn("c", F.lit(0.8))
     return rounded(C.classify_from_severity(rows, "name", "c", "body_raw"), "mean_confidence").select(
         "id", "category", "domain", "mean_confidence")
 
@@ -119,26 +121,26 @@ def _(t):
 SELECT id, {CATEGORY} AS category, {sql_case(fixed.DOMAIN_WORDS, 'application', 'lower(body_raw)', 'service_name')} AS domain,
  {sql_case(fixed.LABEL_SEVERITY_WORDS, 'info', 'lower(body_raw)')} AS severity_label, 0.6::DOUBLE AS confidence, {_entity_sql('ip_address')} FROM logs"""))
 def _(t):
-    return C.heuristic_classify(t.logs).select("id", "category", "domain", "severity_label", "confidence", F.coalesce(
+    return C.heuristic_classify(t.wide_logs).select("id", "category", "domain", "severity_label", "confidence", F.coalesce(
         F.array_join(F.try_element_at("entities", F.lit("ip_address")), " "), F.lit("")).alias("ip_address"))
 
 
 @query("svm_predict")
 def _(t):
-    rows = t.logs.select("id", "body_raw", labels.keyword_labels(F.col("body_raw"), F.col("service_name"))["severity"].alias("level"))
+    rows = t.wide_logs.select("id", "body_raw", labels.keyword_labels(F.col("body_raw"), F.col("service_name"))["severity"].alias("level"))
     return rounded(C.svm_predict(rows, C.svm_fit(rows, "body_raw", "level"), "body_raw").select("id", "label", "confidence"), "confidence")
 
 
 @query("classify_rows")
 def _(t):
-    out = C.classify(t.logs, C.train_classifiers(t.logs))
+    out = C.classify(t.wide_logs, C.train_classifiers(t.wide_logs))
     return rounded(out.select("id", "category", "domain", "severity_label", "confidence"), "confidence")
 
 
 @query("stratified_split", with_logs("""
 SELECT severity, CAST(floor(count(*) * 0.8::DOUBLE) AS BIGINT) AS train, count(*) - CAST(floor(count(*) * 0.8::DOUBLE) AS BIGINT) AS test FROM logs GROUP BY severity"""))
 def _(t):
-    train, test = Z.split(t.logs, 0.8, "severity")
+    train, test = Z.split(t.wide_logs, 0.8, "severity")
     a = train.groupBy("severity").agg(F.count(F.lit(1)).alias("train"))
     return a.join(test.groupBy("severity").agg(F.count(F.lit(1)).alias("test")), "severity")
 
@@ -146,29 +148,29 @@ def _(t):
 @query("proportional_sample", with_logs("""
 SELECT service_name, least(n, greatest(1000, CAST(floor(n / sum(n) OVER () * 5000) AS BIGINT)))::BIGINT AS rows FROM (SELECT service_name, count(*) AS n FROM logs GROUP BY service_name)"""))
 def _(t):
-    return Z.proportional_sample(t.logs, 5000, 7).groupBy("service_name").agg(F.count(F.lit(1)).alias("rows"))
+    return Z.proportional_sample(t.wide_logs, 5000, 7).groupBy("service_name").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("export_sample", with_logs("SELECT least(count(*), 500)::BIGINT AS rows FROM logs"))
 def _(t):
-    return Z.export_sample(t.logs, 500, 7).agg(F.count(F.lit(1)).alias("rows"))
+    return Z.export_sample(t.wide_logs, 500, 7).agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("training_source", with_logs(f"""
 SELECT id, {sql_case(fixed.MESSAGE_SEVERITY_WORDS, 'INFO', 'lower(body_raw)')} AS severity,
  {sql_case([(d, [n.lower()]) for n, d in fixed.DATASET_DOMAINS.items()], 'application', "concat('open', service_name)")} AS domain FROM logs"""))
 def _(t):
-    rows = t.logs.select("id", F.col("body_raw").alias("message"), F.concat(F.lit("Open"), "service_name").alias("source"))
+    rows = t.wide_logs.select("id", F.col("body_raw").alias("message"), F.concat(F.lit("Open"), "service_name").alias("source"))
     return Z.training_source(rows).select("id", "severity", "domain")
 
 
 @query("train_behavioural")
 def _(t):
-    _, scored, _ = Z.train_behavioural(t.logs)
+    _, scored, _ = Z.train_behavioural(t.wide_logs)
     return scored.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("analyze_rows")
 def _(t):
-    models, test = Z.train_all(t.logs)
+    models, test = Z.train_all(t.wide_logs)
     return Z.analysis_summary(Z.analyze(test, models))

@@ -13,13 +13,13 @@ from logloom.plans.registry import query
 
 @query("mine_templates")
 def _(t):
-    return M.mine_templates(t.logs).groupBy("service_name", "template_text").agg(
+    return M.mine_templates(t.wide_logs).groupBy("service_name", "template_text").agg(
         F.count(F.lit(1)).alias("rows"), F.min(F.size("parameters")).alias("parameters"))
 
 
 @query("mine_templates_total", with_logs("SELECT count(*) AS rows, count(DISTINCT service_name) AS services FROM logs"))
 def _(t):
-    return M.mine_templates(t.logs).agg(F.count("template_text").alias("rows"), F.count_distinct("service_name").alias("services"))
+    return M.mine_templates(t.wide_logs).agg(F.count("template_text").alias("rows"), F.count_distinct("service_name").alias("services"))
 
 
 SHAPE = """sh AS (SELECT id, body_raw, string_split(trim(regexp_replace(regexp_replace(body_raw, '[_:=/\\\\\\[\\]()]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS tk FROM logs)"""
@@ -29,7 +29,7 @@ SHAPE = """sh AS (SELECT id, body_raw, string_split(trim(regexp_replace(regexp_r
 SELECT id, array_to_string(list_filter(tk, lambda x: regexp_matches(x, '[0-9]')), ' ') AS parameters FROM sh""")
 def _(t):
     tokens = M.message_tokens(F.col("body_raw"))
-    template = F.array_join(F.transform(tokens, M._masked), " ")
+    template = M.masked_text(M.spaced_text(F.col("body_raw")))
     return t.logs.select("id", F.array_join(M.extract_parameters(F.col("body_raw"), tokens, template), " ").alias("parameters"))
 
 

@@ -36,7 +36,7 @@ SCORE_SQL = f"""seqscore AS (SELECT key, sum(s.n)::BIGINT AS transitions,
 def _split(t):
     low = F.lower("body_raw")
     attack = low.contains("union") | low.contains("failed")
-    return t.logs.filter(~attack), t.logs.filter(attack)
+    return t.wide_logs.filter(~attack), t.wide_logs.filter(attack)
 
 
 @query("markov_fit", more(*SEQ) + "SELECT 'normal' AS kind, * FROM nor_m UNION ALL SELECT 'attack', * FROM att_m")
@@ -46,7 +46,7 @@ def _(t):
 
 @query("markov_score", more(*SEQ, SCORE_SQL) + "SELECT key, transitions, round(score, 6) AS score FROM seqscore")
 def _(t):
-    return T.markov_score(t.logs, T.markov_fit(*_split(t))).withColumn("score", F.round("score", 6))
+    return T.markov_score(t.wide_logs, T.markov_fit(*_split(t))).withColumn("score", F.round("score", 6))
 
 
 BRUTE_W, RECON_W = 6 * 3600, 24 * 3600
@@ -60,7 +60,7 @@ BRUTE_CTE = f"""brute AS (SELECT id, source, c AS failure_count, (c - rate) / st
 
 @query("bruteforce_fit", more(FAIL_CTE, BASE_CTE) + "SELECT round(rate, 6) AS baseline_rate, round(std, 6) AS baseline_std FROM base")
 def _(t):
-    return T.bruteforce_fit(t.logs, BRUTE_W).select(
+    return T.bruteforce_fit(t.wide_logs, BRUTE_W).select(
         F.round("baseline_rate", 6).alias("baseline_rate"), F.round("baseline_std", 6).alias("baseline_std"))
 
 
@@ -68,7 +68,7 @@ def _(t):
 SELECT round(avg(n), 6) AS baseline_rate, round(stddev_pop(n) + 0.1::DOUBLE, 6) AS baseline_std FROM
  (SELECT source, count(*) AS n FROM fails GROUP BY source)""")
 def _(t):
-    return T.bruteforce_fit(t.logs, baseline="total").select(
+    return T.bruteforce_fit(t.wide_logs, baseline="total").select(
         F.round("baseline_rate", 6).alias("baseline_rate"), F.round("baseline_std", 6).alias("baseline_std"))
 
 
@@ -76,7 +76,7 @@ def _(t):
 SELECT id, source, failure_count, round(z, 6) AS z_score, z > 3 AS is_brute_force,
   round(least(1.0::DOUBLE, z / 6), 6) AS threat_score FROM brute""")
 def _(t):
-    out = T.bruteforce_detect(t.logs, T.bruteforce_fit(t.logs, BRUTE_W), BRUTE_W)
+    out = T.bruteforce_detect(t.wide_logs, T.bruteforce_fit(t.wide_logs, BRUTE_W), BRUTE_W)
     return out.select("id", "source", "failure_count", F.round("z_score", 6).alias("z_score"), "is_brute_force",
                       F.round("threat_score", 6).alias("threat_score"))
 
@@ -86,7 +86,7 @@ SELECT source, count(*) AS failure_count, strftime(min(timestamp_utc), {ISO_SQL}
   strftime(max(timestamp_utc), {ISO_SQL}) AS last_failure FROM fails
 WHERE timestamp_utc >= (SELECT max(timestamp_utc) FROM fails) - INTERVAL {BRUTE_W} SECOND GROUP BY source""")
 def _(t):
-    return (T.active_sources(t.logs, BRUTE_W).withColumn("first_failure", ts_text("first_failure"))
+    return (T.active_sources(t.wide_logs, BRUTE_W).withColumn("first_failure", ts_text("first_failure"))
             .withColumn("last_failure", ts_text("last_failure")))
 
 
@@ -131,7 +131,7 @@ def _pattern_ctes(key, column, table, flag="(?i)", text=None):
 SELECT page_id, coalesce(pattern_count, 0) AS pattern_count, coalesce(attack_type, 'unknown') AS attack_type
 FROM pages LEFT JOIN inj USING (page_id)""")
 def _(t):
-    return T.with_injection(t.pages.select("page_id", "html"), "html", key="page_id").select(
+    return T.with_injection(t.wide_pages, "html", key="page_id").select(
         "page_id", "pattern_count", "attack_type")
 
 
@@ -139,7 +139,7 @@ def _(t):
 SELECT page_id, coalesce(pattern_count, 0) AS pattern_count, coalesce(attack_type, 'unknown') AS attack_type
 FROM pages LEFT JOIN inj USING (page_id)""")
 def _(t):
-    return T.with_injection(t.pages.select("page_id", "html"), "html", key="page_id", strict=True).select(
+    return T.with_injection(t.wide_pages, "html", key="page_id", strict=True).select(
         "page_id", "pattern_count", "attack_type")
 
 
@@ -159,7 +159,7 @@ FROM logs JOIN ent USING (id) LEFT JOIN inj USING (id) LEFT JOIN gs USING (id),
 def _(t):
     good, bad = _split(t)
     odds, threshold = T.injection_fit(bad, good)
-    return T.with_injection(t.logs.select("id", "body_raw"), "body_raw", odds, "id", threshold).select(
+    return T.with_injection(t.wide_logs.select("id", "body_raw"), "body_raw", odds, "id", threshold).select(
         "id", "pattern_count", F.round("ngram_score", 4).alias("ngram_score"), F.round("entropy", 6).alias("entropy"),
         "high_entropy", "is_injection", F.round("injection_score", 4).alias("injection_score"))
 
@@ -178,7 +178,7 @@ RECON_TYPE = "CASE WHEN d < {n} THEN 'unknown' WHEN ports > 3 THEN 'port_scan' W
 SELECT id, source, d AS unique_targets, d >= 4 AS is_recon, {RECON_TYPE.format(n=4)} AS recon_type,
   round(least(1.0::DOUBLE, d / 8), 6) AS threat_score FROM recon""")
 def _(t):
-    return T.recon_detect(t.logs, RECON_W, 4).select(
+    return T.recon_detect(t.wide_logs, RECON_W, 4).select(
         "id", "source", "unique_targets", "is_recon", "recon_type", F.round("threat_score", 6).alias("threat_score"))
 
 
@@ -187,7 +187,7 @@ SELECT source, array_to_string(list_slice(list_sort(list(DISTINCT target)), 1, 1
  JOIN (SELECT source, min(timestamp_utc) AS f FROM recon JOIN acc USING (id, source) WHERE d >= 4 GROUP BY source) USING (source)
 WHERE timestamp_utc <= f AND timestamp_utc >= f - INTERVAL {RECON_W} SECOND GROUP BY source""")
 def _(t):
-    return T.recon_target_samples(t.logs, RECON_W, 4).select("source", F.array_join("targets", " ").alias("targets"))
+    return T.recon_target_samples(t.wide_logs, RECON_W, 4).select("source", F.array_join("targets", " ").alias("targets"))
 
 
 FUSED = more(*_pattern_ctes("id", "body_raw", "logs"), ENTROPY_CTE, FAIL_CTE, BASE_CTE, BRUTE_CTE, *RECON_CTES, *SEQ, SCORE_SQL,
@@ -202,7 +202,7 @@ FUSED = more(*_pattern_ctes("id", "body_raw", "logs"), ENTROPY_CTE, FAIL_CTE, BA
 
 
 def _threats(t):
-    return T.detect_threats(t.logs, T.bruteforce_fit(t.logs, BRUTE_W), T.markov_fit(*_split(t)),
+    return T.detect_threats(t.wide_logs, T.bruteforce_fit(t.wide_logs, BRUTE_W), T.markov_fit(*_split(t)),
                             brute_window=BRUTE_W, recon_window=RECON_W)
 
 
@@ -239,7 +239,7 @@ SELECT name, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM (
   (SELECT id, row_number() OVER (ORDER BY timestamp_utc, id) AS rn, count(*) OVER () AS total FROM logs)) GROUP BY name"""))
 def _(t):
     out = None
-    for name, df in T.threat_training_sets(t.logs).items():
+    for name, df in T.threat_training_sets(t.wide_logs).items():
         part = df.groupBy(F.lit(name).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
         out = part if out is None else out.unionByName(part)
     return out

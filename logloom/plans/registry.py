@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logloom.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -40,6 +42,16 @@ class Tables:
         from logloom.plans.logview import log_view
         return log_view(self.events)
 
+    @property
+    def wide_logs(self) -> DataFrame:
+        """The log view over a spread scan, for work that is heavy per row."""
+        from logloom.plans.logview import log_view
+        return log_view(spread(self.events))
+
+    @property
+    def wide_pages(self) -> DataFrame:
+        return spread(self.pages.select("page_id", "html"))
+
     @property
     def templates(self) -> DataFrame:
         from logloom.plans.logview import template_view

@@ -164,5 +164,11 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rn") -> DataFrame:
     """The first n rows of each key. Spark cuts each partition to n rows per key before the
-    shuffle (WindowGroupLimit), so a hot key sends n rows per task and not its whole group."""
+    shuffle (WindowGroupLimit) while n is at most 1000. For a larger n the rows are first cut per
+    (key, scan partition group), so that a hot key is not sorted in one task; the second cut makes
+    the answer exact whatever the grouping."""
+    if n > 1000:
+        parts = df.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(256)))
+        first = W.partitionBy(*keys, "_part").orderBy(*order)
+        df = parts.withColumn("_first", F.row_number().over(first)).filter(F.col("_first") <= n).drop("_part", "_first")
     return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= n)

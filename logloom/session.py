@@ -50,3 +50,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spreads a scan that has fewer partitions than cores (one small file) over all cores, for
+    work that is heavy per row. A scan that already splits is returned as it is, so a large
+    table is never shuffled here."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -11,8 +11,8 @@ from logloom.schema import LEDGER_SCHEMA, TEMPLATE_SCHEMA
 
 
 def write_logs(logs: DataFrame, path: str) -> None:
-    """Appends rows, partitioned by event date. Rows of one date are spread over writers by a
-    hash, so a busy date is not one task."""
+    """Appends rows, partitioned by event date. Rows are not moved: each task writes its own file
+    per date it holds, so a busy date is never one task."""
     dated = logs.withColumn("event_date", F.to_date("timestamp_utc"))
     dated.write.mode("append").partitionBy("event_date").parquet(path)
 

@@ -47,7 +47,7 @@ def stream_health(logs: DataFrame, watermark: str = WATERMARK) -> DataFrame:
 
 def stream_bruteforce(logs: DataFrame, window: str = "5 minutes", slide: str = "1 minute", threshold: int = 5,
                       watermark: str = WATERMARK) -> DataFrame:
-    """Failures per source in sliding windows; rows are counted before the shuffle."""
+    """Failures per source in sliding windows. Partial counts are made before the shuffle."""
     body = F.col("body_raw")
     fails = logs.filter(is_auth_failure(body)).withColumn("source", extract_source(body, F.col("service_name")))
     return (fails.withWatermark("timestamp_utc", watermark).groupBy(F.window("timestamp_utc", window, slide).alias("w"), "source")
@@ -58,8 +58,9 @@ def stream_bruteforce(logs: DataFrame, window: str = "5 minutes", slide: str = "
 
 def stream_recon(logs: DataFrame, window: str = "1 minute", slide: str = "30 seconds", diversity: int = 10,
                  watermark: str = WATERMARK, approximate: bool = False) -> DataFrame:
-    """Distinct targets per source in sliding windows. The exact form first keeps one row per
-    (window, source, target); the approximate form holds a sketch per (window, source)."""
+    """Distinct targets per source in sliding windows. The exact form keeps the set of targets per
+    (window, source) as state; `approximate` keeps a fixed-size sketch instead, for sources that
+    may touch millions of targets in a window."""
     body = F.col("body_raw")
     source = F.coalesce(first_group(body, fixed.IP_PATTERN, 0), F.col("service_name"))
     seen = (logs.withColumn("source", source).withColumn("target", extract_target(body)).filter(F.col("target").isNotNull())
