@@ -17,8 +17,14 @@ def newest() -> list[Column]:
 def filter_logs(logs: DataFrame, tenant: str | None = None, start=None, end=None, service: str | None = None,
                 severity_min: int | None = None, template_hash: int | None = None,
                 trace_id: str | None = None) -> DataFrame:
-    """Rows that meet every given condition; the time range is inclusive at both ends."""
+    """Rows that meet every given condition; the time range is inclusive at both ends. On a table
+    partitioned by event_date the range also prunes partitions."""
     conds: list[Column] = []
+    if "event_date" in logs.columns:
+        if start is not None:
+            conds.append(F.col("event_date") >= F.to_date(F.lit(start).cast("timestamp")))
+        if end is not None:
+            conds.append(F.col("event_date") <= F.to_date(F.lit(end).cast("timestamp")))
     if tenant is not None:
         conds.append(F.col("tenant_id") == tenant)
     if start is not None:

@@ -197,12 +197,14 @@ def train_all(logs: DataFrame, seed: int = 42, n_trees: int = 50) -> tuple[Train
 
 
 def analyze(logs: DataFrame, models: TrainedModels) -> DataFrame:
-    """One row per log row: anomaly, classification and threat columns."""
+    """One row per log row: anomaly, classification and threat columns. The three parts are written
+    as tables before they are joined, so each is planned and restarted on its own."""
     odd = forest.detect_anomalies(logs, anomaly.frequency_features(logs), models.outliers).select(
         "id", "is_anomaly", "anomaly_score", "anomaly_type")
     kinds = classify.classify(logs, models.classifiers).select("id", "category", "domain", "severity_label", "confidence")
     harm = threats.detect_threats(logs, models.baseline, models.markov).select(
         "id", "is_threat", "threat_score", "threat_type", "threat_level")
+    odd, kinds, harm = (materialize(part, "analysis") for part in (odd, kinds, harm))
     return odd.join(kinds, "id").join(harm, "id")
 
 

@@ -164,6 +164,31 @@ def _(t):
     return Z.training_source(rows).select("id", "severity", "domain")
 
 
+def _documents(t):
+    """Documents with their quality label."""
+    rows = t.documents.select("doc_id", "text").join(t.labels.select("doc_id", F.col("quality").cast("string").alias("quality")), "doc_id")
+    return materialize(rows, "documents")
+
+
+@query("tune_models")
+def _(t):
+    found = Z.tune(_documents(t), "text", "quality")
+    rows = [(name, i, float(s)) for name, r in found.items() for i, s in enumerate(r["scores"])]
+    return t.spark.createDataFrame(rows, "model string, setting int, score double")
+
+
+@query("learning_curve")
+def _(t):
+    def fit_score(train, test):
+        v = materialize(C.tfidf_fit(train, "doc_id", "text", 1000), "vocabulary")
+        model = C.nb_fit(materialize(C.tfidf_transform(train, "doc_id", "text", v), "weights"), train, v, "doc_id", "quality")
+        out = C.nb_predict(test, C.tfidf_transform(test, "doc_id", "text", v), model, "doc_id")
+        return out.join(test.select("doc_id", "quality"), "doc_id").agg(F.avg((F.col("label") == F.col("quality")).cast("double"))).first()[0]
+
+    rows = Z.learning_curve(_documents(t), fit_score, [0.5, 1.0], id_col="doc_id")
+    return t.spark.createDataFrame([(float(f), float(s)) for f, s in rows], "fraction double, score double")
+
+
 @query("train_behavioural")
 def _(t):
     _, scored, _ = Z.train_behavioural(t.wide_logs)

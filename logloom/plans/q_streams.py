@@ -85,6 +85,46 @@ def _(t):
     return ingest.ingest_events(t.logs, store, NOW).select("events", "new_templates")
 
 
+def _log_folder(t):
+    """The log rows as text files, one folder per service."""
+    path = scratch_path(t.spark, "folder")
+    line = F.concat_ws(" ", F.date_format("timestamp_utc", "yyyy-MM-dd HH:mm:ss"), "body_raw")
+    t.logs.select(line.alias("value"), "service_name").write.partitionBy("service_name").text(path)
+    return path
+
+
+FOLDER_SQL = with_logs("""SELECT concat('service_name=', service_name) AS service_name, count(*) AS rows, count(DISTINCT masked2) AS templates,
+ strftime(date_trunc('second', min(timestamp_utc)), '%Y-%m-%d %H:%M:%S') AS first_seen
+ FROM (SELECT *, concat('<NUM>-<NUM>-<NUM> <NUM>:<NUM>:<NUM> ', masked) AS masked2 FROM logs) GROUP BY service_name""")
+
+
+def _stored(t, store):
+    return tables.read_logs(t.spark, store.logs_path).groupBy("service_name").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("template_hash").alias("templates"),
+        F.date_format(F.min("timestamp_utc"), "yyyy-MM-dd HH:mm:ss").alias("first_seen"))
+
+
+@query("ingest_folder", FOLDER_SQL)
+def _(t):
+    store = ingest.Store(t.spark, scratch_path(t.spark, "store"))
+    ingest.ingest_folder(t.spark, _log_folder(t), store, NOW, "org-1")
+    return _stored(t, store)
+
+
+@query("stream_ingest", FOLDER_SQL)
+def _(t):
+    store = ingest.Store(t.spark, scratch_path(t.spark, "store"))
+    jobs.stream_ingest(t.spark, _log_folder(t), store, scratch_path(t.spark, "check"), NOW, "org-1").start().awaitTermination()
+    return _stored(t, store)
+
+
+@query("ledger_of_folder", with_logs("SELECT CAST(count(*) AS BIGINT) AS events FROM logs"))
+def _(t):
+    store = ingest.Store(t.spark, scratch_path(t.spark, "store"))
+    ingest.ingest_folder(t.spark, _log_folder(t), store, NOW, "org-1")
+    return tables.ledger_list(tables.ledger_read(t.spark, store.ledger_path), "org-1").agg(F.sum("events_inserted").alias("events"))
+
+
 @query("write_and_read_logs", with_logs("SELECT CAST(timestamp_utc AS DATE)::VARCHAR AS event_date, count(*) AS rows FROM logs GROUP BY 1"))
 def _(t):
     path = scratch_path(t.spark, "logs")
