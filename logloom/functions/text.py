@@ -77,32 +77,28 @@ def log_tokens(text: Column, keep_placeholders: bool = False) -> Column:
 
 
 def word_ngrams(tokens: Column, low: int = 1, high: int = 2, sep: str = "_") -> Column:
-    """All n-grams of the token array for low <= n <= high, shorter ones first."""
-    def grams(n: int) -> Column:
-        if n == 1:
-            return tokens
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(
-            F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), sep))
-
-    return F.concat(*[grams(n) for n in range(low, high + 1)])
+    """All n-grams of the token array for low <= n <= high, shorter ones first. Each step puts the
+    next word behind the shorter grams; the place past the end gives null and drops out."""
+    grams = {1: tokens}
+    for n in range(2, high + 1):
+        longer = F.zip_with(grams[n - 1], F.slice(tokens, n, 1_000_000_000), lambda g, w: F.concat(g, F.lit(sep), w))
+        grams[n] = F.filter(longer, lambda g: g.isNotNull())
+    return F.concat(*[grams[n] for n in range(low, high + 1)])
 
 
 def char_ngrams(text: Column, n: int = 3) -> Column:
-    low = F.lower(text)
-    starts = F.when(F.length(low) >= n, F.sequence(F.lit(1), F.length(low) - (n - 1))).otherwise(
-        F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(low, i, n))
+    """Overlapping character n-grams of the lower-cased text: a look-ahead at every place."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
 
 
 def char_entropy(text: Column) -> Column:
-    """Shannon entropy (bits) of the characters of one text. The sorted characters are
-    joined back and each run is one symbol, so the cost is n log n in the text length."""
+    """Shannon entropy (bits) of the characters of one text: log2 T - sum(n log2 n) / T. The
+    sorted characters are joined back and each run is one symbol."""
     joined = F.array_join(F.sort_array(F.split(text, "")), "")
     runs = F.regexp_extract_all(joined, F.lit(r"(?s)(.)\1*"), F.lit(0))
+    weighted = F.aggregate(runs, F.lit(0.0), lambda acc, run: acc + F.length(run) * F.log2(F.length(run)))
     total = F.length(text).cast("double")
-    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(
-        -F.aggregate(runs, F.lit(0.0), lambda acc, run: acc + (F.length(run) / total) * F.log2(F.length(run) / total)))
+    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(F.log2(total) - weighted / total)
 
 
 def extract_entities(text: Column, limit: int = 10) -> Column:
@@ -155,5 +151,7 @@ def residual_map(fields: Column, known: list[str]) -> Column:
 
 def l2_normalize(vector: Column) -> Column:
     """Unit-length float vector; the zero vector stays as it is."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(vector, lambda x: (x.cast("double") / norm).cast("float"))).otherwise(vector)
+    return F.aggregate(
+        vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"),
+        lambda total: F.when(total > 0, F.transform(vector, lambda x: (x.cast("double") / F.sqrt(total)).cast("float")))
+        .otherwise(vector))

@@ -19,7 +19,8 @@ MAX_CLASSES = 1000
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, count over word 1- and 2-grams."""
-    grams = docs.select(key, F.explode_outer(word_ngrams(log_tokens(F.col(text)))).alias("term")).filter("term IS NOT NULL")
+    words = docs.select(key, log_tokens(F.col(text)).alias("_w"))
+    grams = words.select(key, F.explode_outer(word_ngrams(F.col("_w"))).alias("term")).filter("term IS NOT NULL")
     return grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("count"))
 
 
