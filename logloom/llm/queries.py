@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import packing, sharding, toxicity
+from logloom.llm import minhash, packing, sharding, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
+
+
 #: Documents with at least this probability are called toxic.
 TOXIC_FROM = 0.3
 
@@ -39,7 +44,7 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_toxic_segments, op8_hypergeometric_shards, op10_sum_of_squares_packing)}
+    return {f.__name__: f for f in (op3_dart_minhash, op7_toxic_segments, op8_hypergeometric_shards, op10_sum_of_squares_packing)}
 
 
 def oracles() -> dict[str, str]:
