@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.session import materialize
@@ -16,6 +16,9 @@ CHUNK = 512
 #: Members of a larger bucket that every chunk of it sees, so that its chunks join one another.
 PIVOTS = 16
 
+#: Rows that one call compares; many small buckets share a call.
+CALL_ROWS = 4_000
+
 #: Likeness of all pairs: (left payloads, right payloads) -> matrix, higher is more alike.
 Likeness = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -42,6 +45,25 @@ def forest(likeness: np.ndarray, least: float, group: np.ndarray) -> list[tuple[
     return out
 
 
+def _in_calls(rows: DataFrame, keys: list[str], total: int, link: Callable[[pd.DataFrame, np.ndarray], list]) -> DataFrame:
+    """Applies `link` (rows, their signatures) to each group of `keys`, many groups in a call."""
+    calls = max(1, total // CALL_ROWS)
+
+    def each(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(keys, kind="stable")
+        marks = part[keys].to_numpy()
+        cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1
+        sig = np.stack([np.frombuffer(s, np.uint16) for s in part["sig"]])
+        out = []
+        for a, b in zip([0, *cuts], [*cuts, len(part)]):
+            if b - a > 1:
+                out += link(part.iloc[a:b], sig[a:b])
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    call = F.pmod(F.xxhash64(F.lit(9), *keys), F.lit(calls))
+    return rows.withColumn("call", call).groupBy("call").applyInPandas(each, "a long, b long")
+
+
 def bucket_sizes(entries: DataFrame) -> DataFrame:
     """(key, node, ...) -> per key with two nodes or more: n, the smallest and the largest node, and
     a mark of the set of nodes. The mark lets equal buckets of several bands be handled once."""
@@ -67,12 +89,16 @@ def candidate_links(entries: DataFrame, payload: DataFrame, likeness: Likeness,
     spread = members.withColumn("part", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("c") - 1)).otherwise(F.array(home))))
     compared = spread.select("key", "part", "node").join(payload, "node")
 
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
-        nodes, sig = rows["node"].to_numpy(), np.stack([np.frombuffer(s, np.uint16) for s in rows["sig"]])
-        edges = forest(likeness(sig, sig), least, np.full(len(nodes), -1))
-        return pd.DataFrame([(nodes[i], nodes[j]) for i, j in edges], columns=["a", "b"])
+    def link(rows: pd.DataFrame, sig: np.ndarray) -> list:
+        nodes = rows["node"].to_numpy()
+        like = likeness(sig, sig)
+        np.fill_diagonal(like, -np.inf)
+        if like.max() < least:
+            return []
+        return [(nodes[i], nodes[j]) for i, j in forest(like, least, np.full(len(nodes), -1))]
 
-    trees = compared.groupBy("key", "part").applyInPandas(link, "a long, b long")
+    total = large.agg(F.sum("n")).first()[0] or 0
+    trees = _in_calls(compared, ["key", "part"], total, link)
     pairs = once.filter("n = 2").select("a", "b").unionByName(trees)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sizes
 
@@ -92,17 +118,17 @@ def missing_links(entries: DataFrame, sizes: DataFrame, payload: DataFrame, root
     each = each.select("key", F.least("h", "o").alias("i"), F.greatest("h", "o").alias("j"), "h", "node", "root")
     compared = each.join(payload, "node")
 
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
+    def link(rows: pd.DataFrame, sig: np.ndarray) -> list:
         nodes, root, h = (rows[c].to_numpy() for c in ("node", "root", "h"))
-        sig = np.stack([np.frombuffer(s, np.uint16) for s in rows["sig"]])
         like = likeness(sig, sig)
         i, j = np.nonzero(np.triu((like >= least) & (root[:, None] != root[None, :]), 1))
         if rows["i"].iloc[0] != rows["j"].iloc[0]:
             cross = h[i] != h[j]
             i, j = i[cross], j[cross]
-        return pd.DataFrame({"a": np.minimum(nodes[i], nodes[j]), "b": np.maximum(nodes[i], nodes[j])})
+        return list(zip(np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])))
 
-    found = compared.groupBy("key", "i", "j").applyInPandas(link, "a long, b long").distinct()
+    total = sizes.filter("n > 2").agg(F.sum("n")).first()[0] or 0
+    found = _in_calls(compared, ["key", "i", "j"], total, link).distinct()
     return found.join(tried, ["a", "b"], "left_anti")
 
 
@@ -145,7 +171,3 @@ def grouped_links(entries: DataFrame, payload: DataFrame, likeness: Likeness, le
         return roots, held
     held = materialize(held.unionByName(verify(more)), f"{name}-held")
     return connected(held, name), held
-
-
-def place_of(file: str, row: str) -> Column:
-    return F.struct(F.col(file), F.col(row))

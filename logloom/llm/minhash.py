@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm import graph
-from logloom.llm.common import words_of, with_row_id
+from logloom.llm.common import drop_rows, words_of, with_row_id
 from logloom.session import materialize
 
 SHINGLE = 5
@@ -222,9 +222,3 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = near_duplicates(docs, id_col, text_col, **options)
     gone = materialize(found.filter(~F.col("kept")).select(F.col("_f").alias("_gone_f"), F.col("_r").alias("_gone_r")), "gone")
     return drop_rows(docs, gone)
-
-
-def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The documents whose place is not in `gone` (_gone_f, _gone_r)."""
-    placed = with_row_id(docs, "_gone_f", "_gone_r")
-    return placed.join(gone, ["_gone_f", "_gone_r"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import minhash, packing, sharding, toxicity
+from logloom.llm import decontam, lines, minhash, packing, sharding, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -22,6 +22,11 @@ def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "class_size", "kept")
 
 
+def op6_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "score", "question_overlap", "answer_overlap", "at_word")
+
+
 #: Documents with at least this probability are called toxic.
 TOXIC_FROM = 0.3
 
@@ -38,13 +43,19 @@ def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "text", "n_removed")
+
+
 def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, placed = packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, 2048)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_dart_minhash, op7_toxic_segments, op8_hypergeometric_shards, op10_sum_of_squares_packing)}
+    return {f.__name__: f for f in (op3_dart_minhash, op6_block_max_wand, op7_toxic_segments, op8_hypergeometric_shards, op9_fuzzy_lines,
+                                    op10_sum_of_squares_packing)}
 
 
 def oracles() -> dict[str, str]:
