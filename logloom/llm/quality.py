@@ -50,7 +50,7 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
             for w, n in words.items():
                 for g in grams_of(w, order):
                     grams[g] += n
-            return pd.DataFrame({"gram": list(grams), "n": list(grams.values())})
+            return pd.DataFrame({"gram": pd.Series(list(grams), dtype=object), "n": list(grams.values())})
 
         for batch in batches:
             for text in batch["text"]:
@@ -146,7 +146,7 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, text_col
         def out() -> Iterator[pd.DataFrame]:
             for (f, c), words in held.items():
                 grams = {g for w in words for g in needed_grams(w, order)}
-                yield pd.DataFrame({"_f": f, "_c": c, "gram": list(grams)})
+                yield pd.DataFrame({"_f": f, "_c": c, "gram": pd.Series(list(grams), dtype=object)})
             held.clear()
 
         for batch in batches:

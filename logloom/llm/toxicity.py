@@ -116,7 +116,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Tokens and documents per (entry, toxic, fold), summed in the task before they are shuffled."""
     def out() -> pd.DataFrame:
         keys = list(tokens)
-        return pd.DataFrame({"entry": [k[0] for k in keys], "toxic": [k[1] for k in keys], "fold": [k[2] for k in keys],
+        return pd.DataFrame({"entry": pd.Series([k[0] for k in keys], dtype=object), "toxic": [k[1] for k in keys], "fold": [k[2] for k in keys],
                              "n": [tokens[k] for k in keys], "docs": [seen[k] for k in keys]})
 
     tokens: Counter = Counter()
