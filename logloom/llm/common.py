@@ -50,5 +50,6 @@ def with_row_id(docs: DataFrame, file: str = "_f", row: str = "_r") -> DataFrame
 
 def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The documents whose place is not in `gone` (_gone_f, _gone_r)."""
-    placed = with_row_id(docs, "_gone_f", "_gone_r")
-    return placed.join(gone, ["_gone_f", "_gone_r"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    f, r = fresh(docs.columns, "_gone_f"), fresh(docs.columns, "_gone_r")
+    placed = with_row_id(docs, f, r)
+    return placed.join(gone.toDF(f, r), [f, r], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

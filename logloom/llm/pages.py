@@ -55,35 +55,39 @@ class Node:
 
 
 class Tree(HTMLParser):
-    """Elements of a page in document order (parents first), and its text events: (node, text), with
-    node -1 where a block begins or ends. Unclosed and stray tags are tolerated. Text inside SILENT
-    elements and hidden ones is left out."""
+    """Elements of a page in document order (parents first), and its text events: (node, text, in a
+    link), with node -1 where a block begins or ends. Inline elements without names belong to the
+    element around them. Unclosed and stray tags are tolerated. Text inside SILENT elements and
+    hidden ones is left out."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.nodes = [Node("#root", -1, [])]
-        self.stack = [0]
-        self.events: list[tuple[int, str]] = []
+        self.stack = [("#root", 0, False)]
+        self.events: list[tuple[int, str, bool]] = []
         self.feed(html)
         self.close()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
-            self.events.append((-1, ""))
+            self.events.append((-1, "", False))
             self._close_open({"p"}, BLOCKS - {"p"})
         if tag in CLOSED_BY:
             self._close_open(CLOSED_BY[tag], {"ul", "ol", "dl", "table"} | ({"tr"} if tag in ("td", "th") else set()))
+        _, node, link = self.stack[-1]
         if tag == "br":
-            self.events.append((self.stack[-1], " "))
+            self.events.append((node, " ", False))
         if tag in VOID:
             return
         known = dict(attrs)
         names = [n.lower() for a in ("class", "id", "role") for n in _NAME.findall(known.get(a) or "")]
-        above = self.nodes[self.stack[-1]]
-        silent = above.silent or tag in SILENT or "hidden" in known or known.get("aria-hidden") == "true"
-        label = known.get("data-label")
-        self.nodes.append(Node(tag, self.stack[-1], names, int(label) if label in ("0", "1") else None, silent=silent))
-        self.stack.append(len(self.nodes) - 1)
+        silent = tag in SILENT or "hidden" in known or known.get("aria-hidden") == "true"
+        if tag in BLOCKS or names or silent:
+            label = known.get("data-label")
+            self.nodes.append(Node(tag, node, names, int(label) if label in ("0", "1") else None,
+                                   silent=silent or self.nodes[node].silent))
+            node = len(self.nodes) - 1
+        self.stack.append((tag, node, link or tag == "a"))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -92,7 +96,7 @@ class Tree(HTMLParser):
 
     def _close_open(self, tags: set[str], limits: set[str]) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
-            tag = self.nodes[self.stack[k]].tag
+            tag = self.stack[k][0]
             if tag in tags:
                 del self.stack[k:]
                 return
@@ -101,56 +105,55 @@ class Tree(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
-            self.events.append((-1, ""))
+            self.events.append((-1, "", False))
         for k in range(len(self.stack) - 1, 0, -1):
-            if self.nodes[self.stack[k]].tag == tag:
+            if self.stack[k][0] == tag:
                 del self.stack[k:]
                 return
 
     def handle_data(self, data: str) -> None:
-        node = self.stack[-1]
+        _, node, link = self.stack[-1]
         if not self.nodes[node].silent:
-            self.events.append((node, data))
+            self.events.append((node, data, link))
 
 
 def features(tree: Tree) -> list[list[str]]:
-    """What is seen of each element: its tag, where it stands, the words in its names, and how much
-    of the text below it is links."""
+    """What is seen of each element besides its tag, which the edge potentials hold: the words in its
+    names, how much text it holds itself, and how much of that is links."""
     nodes = tree.nodes
-    for node, text in tree.events:
+    for node, text, link in tree.events:
         if node >= 0:
             n = len(text.strip())
-            link = False
-            at = node
-            while at >= 0:
-                link = link or nodes[at].tag == "a"
-                nodes[at].chars += n
-                nodes[at].linked += n if link else 0
-                at = nodes[at].parent
+            nodes[node].chars += n
+            nodes[node].linked += n if link else 0
     out = []
     for node in nodes:
-        share = node.linked / node.chars if node.chars else -1
-        own = [f"tag {node.tag}", f"links {'none' if share < 0 else min(3, int(share * 4))}",
-               f"size {min(5, int(math.log10(node.chars + 1) * 2))}"]
+        own = []
+        if node.chars:
+            own = [f"links {min(3, int(4 * node.linked / node.chars))}", f"size {min(5, int(math.log10(node.chars + 1) * 2))}"]
         out.append(own + [f"name {n}" for n in dict.fromkeys(node.names)])
     return out
 
 
 @dataclass
 class Model:
-    """Log-odds of features (content against other), log potentials [parent][child] and of the root."""
+    """Log-odds of features (content against other), log potentials [parent][child] by the tags of
+    both, by that of the child, and for any tags, and those of the root."""
 
     odds: dict[str, float] = field(default_factory=dict)
-    edge: list[list[float]] = field(default_factory=lambda: [[0.0, 0.0], [0.0, 0.0]])
+    edges: dict[tuple[str, str], list[list[float]]] = field(default_factory=dict)
     root: list[float] = field(default_factory=lambda: [0.0, 0.0])
 
+    def edge(self, parent: str, child: str) -> list[list[float]]:
+        return self.edges.get((parent, child)) or self.edges.get(("", child)) or self.edges[("", "")]
+
 
 def marginals(tree: Tree, model: Model) -> list[float]:
     """Probability of each element to be content, by sum-product messages: from the leaves up to the
     root, then back down. Elements stand after their parents, so both passes are plain loops."""
     nodes = tree.nodes
     own = [(0.0, sum(model.odds.get(f, 0.0) for f in fs)) for fs in features(tree)]
-    e = model.edge
+    edges = [model.edge(nodes[n.parent].tag, n.tag) if n.parent >= 0 else [] for n in nodes]
 
     def plus(a: float, b: float) -> float:
         return a + math.log1p(math.exp(b - a)) if a > b else b + math.log1p(math.exp(a - b))
@@ -158,7 +161,7 @@ def marginals(tree: Tree, model: Model) -> list[float]:
     below = [list(x) for x in own]  # evidence of the element and all below it
     sent = [(0.0, 0.0)] * len(nodes)
     for i in range(len(nodes) - 1, 0, -1):
-        b0, b1 = below[i]
+        (b0, b1), e = below[i], edges[i]
         up = plus(e[0][0] + b0, e[0][1] + b1), plus(e[1][0] + b0, e[1][1] + b1)
         sent[i] = up
         above = below[nodes[i].parent]
@@ -169,7 +172,7 @@ def marginals(tree: Tree, model: Model) -> list[float]:
     belief[0] = (below[0][0] + model.root[0], below[0][1] + model.root[1])
     for i in range(1, len(nodes)):
         p0, p1 = belief[nodes[i].parent]
-        u0, u1 = sent[i]
+        (u0, u1), e = sent[i], edges[i]
         p0, p1 = p0 - u0, p1 - u1  # the parent without what this child told it
         d0, d1 = plus(p0 + e[0][0], p1 + e[1][0]), plus(p0 + e[0][1], p1 + e[1][1])
         belief[i] = (below[i][0] + d0, below[i][1] + d1)
@@ -183,7 +186,7 @@ def main_text(html: str | None, model: Model) -> str:
     tree = Tree(html or "")
     content = [p > 0.5 for p in marginals(tree, model)]
     blocks, held = [], []
-    for node, text in [*tree.events, (-1, "")]:
+    for node, text, _ in [*tree.events, (-1, "", False)]:
         if node >= 0:
             if content[node]:
                 held.append(text)
@@ -243,30 +246,40 @@ def labelled_layouts(html: str, rng: random.Random) -> Iterator[str]:
         name = rng.choice(CONTENT_NAMES)
         tag = rng.choice(["article", "article", "main", "div", "section"])
         mark = f' {rng.choice(["class", "id"])}="{name}{rng.choice(["", "-body", "-content", "-text"])}"' if tag in ("div", "section") or rng.random() < 0.4 else ""
-        body = f"<{tag}{mark} data-label=1>{body}</{tag}>"
+        if rng.random() < 0.08:  # no element around the article
+            body = re.sub(r"^<(\w+)|(?<=>)<(p|pre|h1|h2|ul|blockquote)(?=>)", lambda m: f"{m[0]} data-label=1", body)
+        else:
+            body = f"<{tag}{mark} data-label=1>{body}</{tag}>"
         if rng.random() < 0.4:
             body = f'<div class="{rng.choice(["container", "wrapper", "row", "layout", "site", "grid"])}">{body}{other()}</div>'
         yield ("<html><head><title>t</title></head><body>" + "".join(other() for _ in range(rng.randint(1, 4))) + body
                + "".join(other() for _ in range(rng.randint(1, 4))) + "</body></html>")
 
 
-def fit_trees(trees: list[Tree], prior: float = 1.0) -> Model:
+def fit_trees(trees: list[Tree], prior: float = 0.5) -> Model:
     """Counts over labelled trees with an even prior; an element without a label of its own has that
     of its parent, the root is other."""
-    seen = [Counter(), Counter()]
-    total, edges = [0, 0], np.full((2, 2), prior)
+    seen, total = [Counter(), Counter()], [0, 0]
+    pairs: dict[tuple[str, str], np.ndarray] = {}
     for tree in trees:
-        labels = []
+        labels: list[int] = []
         for node, fs in zip(tree.nodes, features(tree)):
             y = node.label if node.label is not None else labels[node.parent] if node.parent >= 0 else 0
             labels.append(y)
             if node.parent >= 0:
-                edges[labels[node.parent], y] += 1
+                for key in ((tree.nodes[node.parent].tag, node.tag), ("", node.tag), ("", "")):
+                    pairs.setdefault(key, np.zeros((2, 2)))[labels[node.parent], y] += 1
             total[y] += 1
             seen[y].update(fs)
     odds = {f: math.log((seen[1][f] + prior) / (total[1] + 2 * prior)) - math.log((seen[0][f] + prior) / (total[0] + 2 * prior))
             for f in {*seen[0], *seen[1]}}
-    return Model(odds, np.log(edges / edges.sum(axis=1, keepdims=True)).tolist(), [math.log(0.999), math.log(0.001)])
+    edges: dict[tuple[str, str], list[list[float]]] = {}
+    base = np.full((2, 2), 0.5)
+    for key in sorted(pairs, key=lambda k: (bool(k[0]), bool(k[1]), k)):  # each shrinks towards the next more general one
+        above = np.exp(edges[("", key[1])] if key[0] else edges[("", "")]) if key != ("", "") else base
+        own = pairs[key] + 2 * prior * above
+        edges[key] = np.log(own / own.sum(axis=1, keepdims=True)).tolist()
+    return Model(odds, edges, [math.log(0.999), math.log(0.001)])
 
 
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES, url_col: str = "url", html_col: str = "html") -> Model:

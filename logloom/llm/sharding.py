@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from logloom.llm.common import fresh, hash_pair
+from logloom.llm.common import hash_pair
 from logloom.scale import positions
 from logloom.session import materialize
 
@@ -79,7 +79,9 @@ def shard_rows(df: DataFrame, shards: int = 40, seed: int = 17, slice_rows: int
     sums of its matrix row, and permuted again inside the shard. Repeated rows stay apart; nulls are
     ordinary values; an empty table stays empty. A column that is named shard or slot is replaced."""
     df = df.drop("shard", "slot")
-    part, rank, order, cuts = (fresh(df.columns, n) for n in ("_part", "_rank", "_order", "_cuts"))
+    names = df.columns
+    df = df.toDF(*[f"c{i}" for i in range(len(names))])  # no name of the input can clash with those used here
+    part, rank, order, cuts, slot = "part", "rank", "order", "cuts", "position"
     held = materialize(df.withColumn(part, F.spark_partition_id()), "shards")
     counts = sorted((r[0], r[1]) for r in held.groupBy(part).count().collect())
     total = sum(n for _, n in counts)
@@ -93,16 +95,15 @@ def shard_rows(df: DataFrame, shards: int = 40, seed: int = 17, slice_rows: int
             ends.append(at)
         rows.append((p, ends))
     plan = materialize(df.sparkSession.createDataFrame(rows, f"`{part}` int, `{cuts}` array<bigint>"), "plan")
-    everything = [F.col(f"`{c}`") for c in df.columns]
+    everything = [F.col(c) for c in df.columns]
     local = held.withColumn(rank, F.row_number().over(
         W.partitionBy(part).orderBy(_shuffled(*everything, seed=seed), *_tie(everything))))
     sent = local.join(plan, part).withColumn(
         "shard", F.size(F.filter(cuts, lambda c: c < F.col(rank))).cast("int")).drop(rank, cuts)
     sent = sent.withColumn(order, _shuffled(F.col(part), *everything, seed=seed + 1)).drop(part)
     slices = max(1, math.ceil(total / shards / slice_rows))
-    slot = fresh(sent.columns, "_slot")
     placed = positions(sent, ["shard"], [order], F.floor((F.col(order) / F.lit(2.0 ** 64) + 0.5) * slices), slot, None)
-    return placed.select(*everything, "shard", (F.col(slot) - 1).alias("slot"))
+    return placed.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], "shard", (F.col(slot) - 1).alias("slot"))
 
 
 def _tie(cols: list[Column]) -> list[Column]:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import WORD, words_of
+from logloom.llm.common import WORD, fresh, words_of
 
 #: Labelled documents that the fit reads at most, chosen by a hash of their id. It bounds the model.
 FIT_ROWS = 20_000
@@ -278,5 +278,6 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     """The documents with score, passage_* columns (replaced where the input has them already)."""
     names = [part.split()[0] for part in SCORED.split(", ")]
     docs = docs.drop(*names)
-    return docs.select("*", scorer(model)(F.col(text_col).cast("string")).alias("_scored")).select(
-        *[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"_scored.{n}") for n in names])
+    scored = fresh(docs.columns, "_scored")
+    return docs.select("*", scorer(model)(F.col(text_col).cast("string")).alias(scored)).select(
+        *[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"{scored}.{n}") for n in names])
