@@ -87,8 +87,9 @@ def word_ngrams(tokens: Column, low: int = 1, high: int = 2, sep: str = "_") ->
 
 
 def char_ngrams(text: Column, n: int = 3) -> Column:
-    """Overlapping character n-grams of the lower-cased text: a look-ahead at every place."""
-    return F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    """Overlapping character n-grams of the lower-cased text: a look-ahead at every character. The
+    match itself takes one whole character, so none begins inside a supplementary one."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
 def char_entropy(text: Column) -> Column:

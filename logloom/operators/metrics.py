@@ -48,15 +48,16 @@ def hourly_trend(logs: DataFrame, n: int = 24) -> DataFrame:
     return hours.orderBy(F.col("hour").desc()).limit(n).orderBy("hour")
 
 
-def service_health(logs: DataFrame, n: int = 100) -> DataFrame:
-    """Status per service from its error rate; the n largest services."""
+def service_health(logs: DataFrame, n: int | None = None) -> DataFrame:
+    """Status per service from its error rate, largest services first; all of them, or the n largest."""
     agg = logs.groupBy("service_name").agg(
         F.count(F.lit(1)).alias("total_logs"), F.count_if(F.col("severity") >= 4).alias("errors"),
         F.count_if(F.col("severity") == 3).alias("warnings"), F.max("timestamp_utc").alias("last_seen"))
     rate = F.col("errors") / F.col("total_logs") * 100
     status = F.when(rate < 1, "healthy").when(rate < 5, "warning").when(rate < 10, "degraded").otherwise("critical")
-    return (agg.withColumn("status", status).withColumn("error_rate", F.round(rate, 2))
-            .orderBy(F.col("total_logs").desc(), "service_name").limit(n))
+    out = (agg.withColumn("status", status).withColumn("error_rate", F.round(rate, 2))
+           .orderBy(F.col("total_logs").desc(), "service_name"))
+    return out if n is None else out.limit(n)
 
 
 def health_summary(health: DataFrame) -> DataFrame:

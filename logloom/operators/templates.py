@@ -59,13 +59,13 @@ def _merge_udf(sim_th: float):
     return merge
 
 
-def _one_round(arrays: DataFrame, sim_th: float, limit: int) -> tuple[DataFrame, bool]:
+def _one_round(arrays: DataFrame, sim_th: float, limit: int | None, seed: int = 0) -> tuple[DataFrame, bool]:
     """service_name, text, template. A group above `limit` distinct arrays is cut into parts by a
-    hash of the text, so no task holds more than about `limit`; the flag tells whether any was."""
+    seeded hash of the text; the flag tells whether any was. None: no group is cut."""
     sizes = arrays.groupBy("service_name", "n_tokens", "prefix").agg(F.count(F.lit(1)).alias("_size"))
     parts = arrays.join(sizes, ["service_name", "n_tokens", "prefix"]).withColumn(
-        "_part", F.pmod(F.xxhash64("text"), F.ceil(F.col("_size") / limit)))
-    split = not sizes.filter(F.col("_size") > limit).isEmpty()
+        "_part", F.pmod(F.xxhash64(F.lit(seed), "text"), F.ceil(F.col("_size") / limit)) if limit else F.lit(0).cast("long"))
+    split = bool(limit) and not sizes.filter(F.col("_size") > limit).isEmpty()
     merged = parts.select("service_name", "n_tokens", "prefix", "_part", "text", "tokens", "first_seen").groupBy(
         "service_name", "n_tokens", "prefix", "_part").applyInPandas(
         _merge_udf(sim_th), "service_name string, text string, template string")
@@ -80,8 +80,9 @@ def mine_templates(logs: DataFrame, depth: int = 4, sim_th: float = 0.4, max_chi
        merged, so the merge sees distinct shapes and not rows.
     2. Arrays merge inside (service, length, first depth - 3 tokens). A prefix beyond the
        `max_children` most frequent of its (service, length) goes to the wildcard prefix.
-    3. A hot group is merged in parts, and the templates of the parts are merged again, until one
-       part holds the whole group. Order and parts come from the text, not from partitioning."""
+    3. A hot group is first merged in parts, other ones in each round, and the templates of the parts
+       are merged again. The last round takes what is left of every group in one piece, so no two
+       templates that should merge stay apart. Order and parts come from the text alone."""
     rows = logs.withColumn("_text", masked_text(spaced_text(F.col("body_raw"))))
     shapes = rows.filter(F.col("_text") != "").groupBy("service_name", F.col("_text").alias("text")).agg(
         F.min("timestamp_utc").alias("first_seen"), F.count(F.lit(1)).alias("_rows"))
@@ -91,8 +92,8 @@ def mine_templates(logs: DataFrame, depth: int = 4, sim_th: float = 0.4, max_chi
 
     current = shapes.select("service_name", "n_tokens", "prefix", "text", "tokens", "first_seen")
     mapping = None
-    for _ in range(max_rounds):
-        merged, split = _one_round(current, sim_th, group_limit)
+    for turn in range(max_rounds + 1):
+        merged, split = _one_round(current, sim_th, group_limit if turn < max_rounds else None, turn)
         merged = materialize(merged, "merge")
         step = merged.select("service_name", F.col("text").alias("_from"), F.col("template").alias("_to"))
         if mapping is None:
@@ -130,9 +131,9 @@ def extract_parameters(message: Column, tokens: Column, template: Column) -> Col
 
 
 def mine_fast(logs: DataFrame) -> DataFrame:
-    """Log rows with the masked template (cut at 200 characters) and its hash; no parameters."""
+    """Log rows with the masked template and its hash; no parameters."""
     masked = mask_fast(F.col("body_raw"))
-    return (logs.withColumn("template_text", F.substring(masked, 1, 200))
+    return (logs.withColumn("template_text", masked)
             .withColumn("template_hash", template_hash(F.col("service_name"), masked))
             .withColumn("parameters", F.array().cast("array<string>")))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,28 +144,25 @@ def matched_rules(text: Column, rules: dict[str, list[str]] | None = None, stric
     return F.array(*per_type)
 
 
-NGRAM_LIMIT = 200_000
+def ngram_scores(df: DataFrame, text: str, model: DataFrame) -> DataFrame:
+    """(_h1, _h2, ngram_score) per distinct text: the sum of the scores of its 3-grams. Equal texts
+    are counted once, and n-grams of a text are counted before the model is joined."""
+    texts = df.select(F.col(text).alias("_t")).filter("_t IS NOT NULL").distinct()
+    keyed = texts.select(*text_key(F.col("_t")), F.explode(char_ngrams(F.col("_t"))).alias("ngram"))
+    counted = keyed.groupBy("_h1", "_h2", "ngram").agg(F.count(F.lit(1)).alias("_n"))
+    return counted.join(model, "ngram").groupBy("_h1", "_h2").agg(F.sum(F.col("_n") * F.col("score")).alias("ngram_score"))
 
 
-def _ngram_scorer(scores: dict[str, float]):
-    """Sum of the scores of all 3-grams of a text, for a model small enough to travel with tasks."""
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        def total(t):
-            low = "" if t is None else t.lower()
-            return float(sum(scores.get(low[i:i + 3], 0.0) for i in range(len(low) - 2)))
+def text_key(text: Column) -> list[Column]:
+    """Two independent hashes that stand for a text in joins."""
+    return [F.xxhash64(F.lit(1), text).alias("_h1"), F.xxhash64(F.lit(2), text).alias("_h2")]
 
-        return texts.map(total).astype("float64")
 
-    return score
-
-
-def with_injection(df: DataFrame, text: str, model: DataFrame | None = None, key: str = "id",
+def with_injection(df: DataFrame, text: str, model: DataFrame | None = None,
                    entropy_threshold: float | DataFrame = 4.5, rules: dict[str, list[str]] | None = None,
                    strict: bool = False) -> DataFrame:
     """Adds matched, pattern_count, attack_type, ngram_score, entropy, high_entropy, is_injection
-    and injection_score. `model` is the (ngram, score) table; without it the n-gram score is 0. A
-    model of up to NGRAM_LIMIT rows is sent to the tasks; a larger one is joined."""
+    and injection_score. `model` is the (ngram, score) table; without it the n-gram score is 0."""
     types = list(rules or INJECTION_RULES)
     out = df.withColumn("matched", matched_rules(F.col(text), rules, strict))
     out = out.withColumn("_sizes", F.transform("matched", lambda m: F.size(m)))
@@ -182,13 +178,10 @@ def with_injection(df: DataFrame, text: str, model: DataFrame | None = None, key
         out = out.withColumn("entropy_threshold", F.lit(float(entropy_threshold)))
     if model is None:
         out = out.withColumn("ngram_score", F.lit(0.0))
-    elif (small := model.limit(NGRAM_LIMIT + 1).collect()) and len(small) <= NGRAM_LIMIT:
-        out = out.withColumn("ngram_score", _ngram_scorer({r.ngram: r.score for r in small})(F.col(text)))
     else:
-        grams = df.select(key, F.explode_outer(char_ngrams(F.col(text))).alias("ngram")).filter("ngram IS NOT NULL")
-        scores = (grams.groupBy(key, "ngram").agg(F.count(F.lit(1)).alias("_n")).join(model, "ngram")
-                  .groupBy(key).agg(F.sum(F.col("_n") * F.col("score")).alias("ngram_score")))
-        out = out.join(scores, key, "left").withColumn("ngram_score", F.coalesce("ngram_score", F.lit(0.0)))
+        scores = ngram_scores(df, text, model)
+        out = out.withColumns(dict(zip(("_h1", "_h2"), text_key(F.col(text))))).join(scores, ["_h1", "_h2"], "left")
+        out = out.withColumn("ngram_score", F.coalesce("ngram_score", F.lit(0.0))).drop("_h1", "_h2")
     over = F.col("entropy") - F.col("entropy_threshold")
     score = (F.when(F.col("pattern_count") > 0, 0.4 * F.least(F.col("pattern_count"), F.lit(3)) / 3).otherwise(0.0)
              + F.when(F.col("ngram_score") > 0, 0.3 * F.least(F.col("ngram_score") / 5.0, F.lit(1.0))).otherwise(0.0)
@@ -242,7 +235,7 @@ def detect_threats(logs: DataFrame, baseline: DataFrame | None = None, markov: D
     """Every log row with is_threat, threat_score, threat_type, severity level, confidence and
     indicators. A sequence without a model, or of 3 rows or fewer, adds 0 (0.5 with `strict`
     and no model)."""
-    rows = with_injection(logs, "body_raw", ngrams, "id", entropy_threshold, strict=strict)
+    rows = with_injection(logs, "body_raw", ngrams, entropy_threshold, strict=strict)
     body = F.col("body_raw")
     rows = (rows.withColumn("_at", _micros())
             .withColumn("_fs", F.when(is_auth_failure(body), extract_source(body, F.col("service_name"))))

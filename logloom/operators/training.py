@@ -36,7 +36,6 @@ def split(df: DataFrame, ratio: float = 0.8, strat: str | None = None, seed: int
 
 def export_sample(logs: DataFrame, n: int, seed: int, path: str | None = None, id_col: str = "id") -> DataFrame:
     """n random rows by a seeded hash, written as CSV when a path is given."""
-    n = min(n, 500_000)
     rows = logs.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
     if path:
         flat = rows.select(*[c for c, t in rows.dtypes if not t.startswith(("array", "map", "struct"))])
@@ -202,7 +201,7 @@ def analyze(logs: DataFrame, models: TrainedModels) -> DataFrame:
     odd = forest.detect_anomalies(logs, anomaly.frequency_features(logs), models.outliers).select(
         "id", "is_anomaly", "anomaly_score", "anomaly_type")
     kinds = classify.classify(logs, models.classifiers).select("id", "category", "domain", "severity_label", "confidence")
-    harm = threats.detect_threats(logs, models.baseline, models.markov).select(
+    harm = threats.detect_threats(logs, models.baseline, models.markov, *models.injection).select(
         "id", "is_threat", "threat_score", "threat_type", "threat_level")
     odd, kinds, harm = (materialize(part, "analysis") for part in (odd, kinds, harm))
     return odd.join(kinds, "id").join(harm, "id")

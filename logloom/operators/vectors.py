@@ -187,7 +187,7 @@ def evidence(logs: DataFrame, templates: DataFrame, vectors: DataFrame, question
     tops = each(best).select("question_id", F.lit("top").alias("kind"), "place", "template_hash",
                              F.lit(None).cast("bigint").alias("log_id"), F.col("n").cast("double").alias("relevance"))
     found = semantic_search(vectors, templates, logs, questions.withColumnRenamed("question_id", "query_id"), matches,
-                            filters.get("tenant"), filters.get("service"))
+                            filters.get("tenant"), filters.get("service"), filters.get("start"), filters.get("end"))
     similar = found.join(best.select("template_hash"), "template_hash", "left_anti").select(
         F.col("query_id").alias("question_id"), F.lit("semantic").alias("kind"), F.col("rank").alias("place"), "template_hash",
         F.lit(None).cast("bigint").alias("log_id"), F.col("score").alias("relevance"))

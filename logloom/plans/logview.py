@@ -56,7 +56,7 @@ def log_view(events: DataFrame) -> DataFrame:
     """Log rows from the events table, with the masked template of every row."""
     logs = events.selectExpr(*split_columns(LOG_COLUMNS))
     masked = mask_fast(F.col("body_raw"))
-    return (logs.withColumn("template_text", F.substring(masked, 1, 200))
+    return (logs.withColumn("template_text", masked)
             .withColumn("template_hash", template_hash(F.col("service_name"), masked)))
 
 
@@ -81,7 +81,7 @@ def vector_view(embeddings: DataFrame) -> DataFrame:
 
 
 LOGS_SQL = f"""logs AS (
-SELECT *, substr(masked, 1, 200) AS template_text FROM (
+SELECT *, masked AS template_text FROM (
 SELECT *, regexp_replace(regexp_replace(body_raw, '\\b\\d+\\b', '<NUM>', 'g'),
                          '\\b[0-9a-fA-F]{{8,}}\\b', '<HEX>', 'g') AS masked
 FROM (SELECT {LOG_COLUMNS} FROM events)))"""

@@ -131,7 +131,7 @@ def _pattern_ctes(key, column, table, flag="(?i)", text=None):
 SELECT page_id, coalesce(pattern_count, 0) AS pattern_count, coalesce(attack_type, 'unknown') AS attack_type
 FROM pages LEFT JOIN inj USING (page_id)""")
 def _(t):
-    return T.with_injection(t.wide_pages, "html", key="page_id").select(
+    return T.with_injection(t.wide_pages, "html").select(
         "page_id", "pattern_count", "attack_type")
 
 
@@ -139,7 +139,7 @@ def _(t):
 SELECT page_id, coalesce(pattern_count, 0) AS pattern_count, coalesce(attack_type, 'unknown') AS attack_type
 FROM pages LEFT JOIN inj USING (page_id)""")
 def _(t):
-    return T.with_injection(t.wide_pages, "html", key="page_id", strict=True).select(
+    return T.with_injection(t.wide_pages, "html", strict=True).select(
         "page_id", "pattern_count", "attack_type")
 
 
@@ -159,7 +159,7 @@ FROM logs JOIN ent USING (id) LEFT JOIN inj USING (id) LEFT JOIN gs USING (id),
 def _(t):
     good, bad = _split(t)
     odds, threshold = T.injection_fit(bad, good)
-    return T.with_injection(t.wide_logs.select("id", "body_raw"), "body_raw", odds, "id", threshold).select(
+    return T.with_injection(t.wide_logs.select("id", "body_raw"), "body_raw", odds, threshold).select(
         "id", "pattern_count", F.round("ngram_score", 4).alias("ngram_score"), F.round("entropy", 6).alias("entropy"),
         "high_entropy", "is_injection", F.round("injection_score", 4).alias("injection_score"))
 

@@ -30,11 +30,14 @@ _local_scratch: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir. A local folder is used only
-    where the cluster names none (tests, single machine)."""
+    """The shared folder named by spark.checkpoint.dir. A machine-local folder is used only where
+    everything runs in one process (tests, single machine); a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local_scratch:
         _local_scratch.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return _local_scratch[0]

@@ -70,7 +70,6 @@ def ingest_folder(spark: SparkSession, root: str, store: Store, now: dt.datetime
     """Takes in every new file under root (or only `paths`, which must lie under it) and returns
     the statistics row. Files whose content is in the ledger, or twice in the batch, are skipped;
     an unreadable file is left out and does not stop the job."""
-    spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
     found = files.discover(spark, root, max_bytes)
     if paths is not None:
         base = root.rstrip("/") + "/"

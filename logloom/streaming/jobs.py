@@ -15,7 +15,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logloom.functions.labels import extract_source, extract_target, is_auth_failure
 from logloom.functions.text import first_group
-from logloom.operators.templates import mine_fast, new_templates, templates_of, upsert_templates
+from logloom.operators.templates import mine_fast, templates_of, upsert_templates
+from logloom.session import materialize
 from logloom.sources import files, parsers
 from logloom.sources.ingest import Store, with_ids
 from logloom import fixed
@@ -109,13 +110,11 @@ def stream_update(series: DataFrame, alpha: float = 0.3, beta: float = 0.1, slow
 
 
 def stream_templates(logs: DataFrame, store: Store, checkpoint: str):
-    """Template discovery: each batch is masked, joined to the known templates and the misses are
-    added. A batch that runs again adds nothing new."""
+    """Template discovery: the templates of each batch are merged into the known ones, which keep their
+    state and get the newest last_seen. A batch that runs again changes nothing."""
     def discover(batch: DataFrame, batch_id: int) -> None:
-        known = store.templates.read()
-        found = templates_of(mine_fast(batch))
-        if not new_templates(mine_fast(batch), known).isEmpty():
-            store.templates.write(upsert_templates(known, found))
+        found = materialize(templates_of(mine_fast(batch)), "stream-templates")
+        store.templates.write(upsert_templates(store.templates.read(), found))
 
     return logs.writeStream.foreachBatch(discover).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 

@@ -91,3 +91,8 @@ def test_every_rule_compiles_in_both_engines(spark):
     cols = [F.lit("x").rlike("(?i)" + p) for ps in INJECTION_RULES.values() for p in ps]
     assert spark.range(1).select(F.array(*cols).alias("a")).first() is not None
     assert len(fixed.EXAMPLES) == 8
+
+
+def test_char_ngrams_of_supplementary_characters(spark):
+    df = spark.createDataFrame([("a😀bcd",), ("ab",), ("",)], "t string")
+    assert [r[0] for r in df.select(text.char_ngrams(F.col("t"))).collect()] == [["a😀b", "😀bc", "bcd"], [], []]

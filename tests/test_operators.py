@@ -153,3 +153,28 @@ def test_svm_update_keeps_known_classes(spark):
     again = classify.svm_update(model, rows, new, "m", "y")
     assert sorted(again.stages[0].labels) == ["high", "low"]
     assert {r.label for r in classify.svm_predict(rows.limit(1), again, "m").collect()} == {"high"}
+
+
+def test_report_counts_every_service(spark):
+    from logloom.operators import metrics
+    rows = spark.range(150).selectExpr("concat('svc', id) AS service_name", "1 AS severity", "timestamp'2024-01-01' AS timestamp_utc")
+    assert metrics.health_summary(metrics.service_health(rows)).first()["services"] == 150
+
+
+def test_template_merge_in_parts_finds_all_pairs(spark):
+    from logloom.operators import templates
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "lam", "mu"]
+    lines = [(i, "svc", f"job {w} {w}x {w}y {w}z {v}", "2024-01-01 00:00:00") for i, (w, v) in enumerate((w, v) for w in words for v in ("red", "blue", "green"))]
+    logs = spark.createDataFrame(lines, "id long, service_name string, body_raw string, ts string").withColumn(
+        "timestamp_utc", F.col("ts").cast("timestamp"))
+    found = {n: sorted(r[0] for r in templates.mine_templates(logs, group_limit=n).select("template_text").distinct().collect())
+             for n in (4, 50)}
+    assert found[4] == found[50] and len(found[50]) == 12
+
+
+def test_equal_texts_get_equal_ngram_scores_whatever_the_ids(spark):
+    from logloom.operators import threats
+    rows = spark.createDataFrame([(None, "a😀bcd"), (1, "a😀bcd"), (1, "zz"), (2, None)], "id long, body_raw string")
+    model = spark.createDataFrame([("a😀b", 1.0), ("bcd", 0.5), ("zz", 9.0)], "ngram string, score double")
+    got = threats.with_injection(rows, "body_raw", model).select("body_raw", "ngram_score").collect()
+    assert sorted((str(r[0]), r[1]) for r in got) == [("None", 0.0), ("a😀bcd", 1.5), ("a😀bcd", 1.5), ("zz", 0.0)]
