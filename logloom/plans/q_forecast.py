@@ -101,13 +101,13 @@ def _(t):
 
 CAP = "cn AS (SELECT series, b, i, c, sum(v) OVER (PARTITION BY series ORDER BY i) AS v FROM hn)"
 CAP_OUT = """cp AS (SELECT series AS metric, last, level, trend, lim, level + 24 * trend AS later,
- (SELECT CAST(min(k) AS INT) FROM range(1, 25) r(k) WHERE level + k * trend >= lim) AS hours FROM h2 JOIN (VALUES ('sshd', 2010.0::DOUBLE), ('nginx', 2500.0::DOUBLE)) l(series, lim) USING (series) WHERE i = c)"""
-CAP_LIMITS = {"sshd": 2010.0, "nginx": 2500.0}
+ (SELECT CAST(min(k) AS INT) FROM range(1, 25) r(k) WHERE level + k * trend >= lim) AS hours FROM h2 JOIN (VALUES ('sshd', 2010.0::DOUBLE), ('nginx', 2500.0::DOUBLE), ('mysql', 2030.0::DOUBLE), ('kernel', 2200.0::DOUBLE), ('app', 3000.0::DOUBLE)) l(series, lim) USING (series) WHERE i = c)"""
+CAP_LIMITS = {"sshd": 2010.0, "nginx": 2500.0, "mysql": 2030.0, "kernel": 2200.0, "app": 3000.0}
 
 
 def _volumes(t):
     from pyspark.sql import Window as W
-    h = _hourly(t).filter(F.col("series").isin("sshd", "nginx"))
+    h = _hourly(t)
     return h.withColumn("value", F.sum("value").over(W.partitionBy("series").orderBy("bucket_ts").rowsBetween(W.unboundedPreceding, 0)))
 
 

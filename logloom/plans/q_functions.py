@@ -295,10 +295,10 @@ def _(t):
 
 @query("sanitize_text", """
 SELECT conv_id, turn, trim(regexp_replace(replace(text, chr(0), ''), '\\s+', ' ', 'g')) AS question,
-  regexp_replace(substr(text, 1, 12), '[^A-Za-z0-9_\\-.]', '', 'g') AS service FROM conversations""")
+  regexp_replace(text, '[^A-Za-z0-9_\\-.]', '', 'g') AS service FROM conversations""")
 def _(t):
     return t.conversations.select("conv_id", "turn", text.sanitize_question(F.col("text")).alias("question"),
-                                  text.sanitize_service(F.substring("text", 1, 12)).alias("service"))
+                                  text.sanitize_service(F.col("text")).alias("service"))
 
 
 @query("service_group", with_logs("""

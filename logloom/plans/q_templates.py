@@ -113,7 +113,7 @@ def _(t):
 
 
 def _query_vectors(t):
-    asked = t.templates.filter("service_name = 'sshd' AND tenant_id = 'org-1'").groupBy("template_text").agg(
+    asked = t.templates.groupBy("template_text").agg(
         F.min("template_hash").alias("query_id"))
     return asked.select("query_id", V.hashed_embedding(F.col("template_text")).alias("vector"))
 
