@@ -13,6 +13,18 @@ from logloom.session import materialize
 WORD = re.compile(r"\w+")
 
 
+_stores: dict = {}
+
+
+def worker_store(key, make):
+    """What a Python worker keeps from task to task. It keeps one such store at a time, so that the
+    stores of operators that run one after the other do not add up."""
+    if key not in _stores:
+        _stores.clear()
+        _stores[key] = make()
+    return _stores[key]
+
+
 def words_of(text: str | None) -> list[str]:
     """Lower-case words of a whole text; none for a null text."""
     return WORD.findall(text.lower()) if text else []

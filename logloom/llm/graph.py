@@ -17,7 +17,7 @@ CHUNK = 512
 PIVOTS = 16
 
 #: Rows that one call compares; many small buckets share a call.
-CALL_ROWS = 4_000
+CALL_ROWS = 2_000
 
 #: Likeness of all pairs: (left payloads, right payloads) -> matrix, higher is more alike.
 Likeness = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -104,9 +104,13 @@ def candidate_links(entries: DataFrame, payload: DataFrame, likeness: Likeness,
 
 
 def missing_links(entries: DataFrame, sizes: DataFrame, payload: DataFrame, roots: DataFrame, tried: DataFrame,
-                  likeness: Likeness, least: float, name: str, chunk: int = CHUNK) -> DataFrame:
-    """Second round: in buckets whose nodes are not all in one group yet, every pair from different
-    groups that is alike enough and was not tried. With these no link between groups is lost."""
+                  likeness: Likeness, least: float, name: str, chunk: int = CHUNK,
+                  whole: Callable[[DataFrame], DataFrame] | None = None, same: Callable | None = None) -> DataFrame:
+    """Second round: links between different groups inside the buckets whose nodes are not all in one
+    group yet, so that no link between groups is lost. Each pair of such a bucket meets in a chunk
+    pair. Without `whole`, every pair from different groups that is alike enough and was not tried
+    is returned. With it, whole(nodes) gives (node, full), and same(full, full) settles the pairs
+    inside the task: a link is returned only where it joins groups that are still apart there."""
     large = sizes.filter("n > 2").groupBy("n", "mark", "a", "b").agg(F.min("key").alias("key"))
     grouped = entries.join(large.select("key", "n"), "key").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
@@ -115,8 +119,11 @@ def missing_links(entries: DataFrame, sizes: DataFrame, payload: DataFrame, root
     home = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("c")).cast("int")
     # chunk pairs (i, j): a member of chunk h takes part in all pairs that name h
     each = left.withColumn("h", home).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    each = each.select("key", F.least("h", "o").alias("i"), F.greatest("h", "o").alias("j"), "h", "node", "root")
+    each = materialize(each.select("key", F.least("h", "o").alias("i"), F.greatest("h", "o").alias("j"), "h", "node", "root"),
+                       f"{name}-chunks")
     compared = each.join(payload, "node")
+    if whole is not None:
+        compared = compared.join(materialize(whole(each.select("node").distinct()), f"{name}-whole"), "node")
 
     def link(rows: pd.DataFrame, sig: np.ndarray) -> list:
         nodes, root, h = (rows[c].to_numpy() for c in ("node", "root", "h"))
@@ -125,9 +132,18 @@ def missing_links(entries: DataFrame, sizes: DataFrame, payload: DataFrame, root
         if rows["i"].iloc[0] != rows["j"].iloc[0]:
             cross = h[i] != h[j]
             i, j = i[cross], j[cross]
+        if same is not None:
+            full, label = rows["full"].to_numpy(), root.copy()
+            joined = []
+            for k in np.argsort(-like[i, j], kind="stable"):
+                x, y = i[k], j[k]
+                if label[x] != label[y] and same(full[x], full[y]):
+                    joined.append(k)
+                    label[label == label[y]] = label[x]
+            i, j = i[joined], j[joined]
         return list(zip(np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])))
 
-    total = sizes.filter("n > 2").agg(F.sum("n")).first()[0] or 0
+    total = each.count()
     found = _in_calls(compared, ["key", "i", "j"], total, link).distinct()
     return found.join(tried, ["a", "b"], "left_anti")
 
@@ -160,13 +176,15 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
 
 
 def grouped_links(entries: DataFrame, payload: DataFrame, likeness: Likeness, least: float,
-                  verify: Callable[[DataFrame], DataFrame], name: str, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of all groups, and the verified links they came from. `verify` keeps the true links."""
+                  verify: Callable[[DataFrame], DataFrame], name: str, chunk: int = CHUNK,
+                  whole: Callable[[DataFrame], DataFrame] | None = None, same: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of all groups, and the verified links they came from. `verify` keeps the true links;
+    for `whole` and `same` see missing_links."""
     first, sizes = candidate_links(entries, payload, likeness, least, name, chunk)
     tried = materialize(first, f"{name}-tried")
     held = materialize(verify(tried), f"{name}-held")
     roots = connected(held, name)
-    more = materialize(missing_links(entries, sizes, payload, roots, tried, likeness, least, name, chunk), f"{name}-more")
+    more = materialize(missing_links(entries, sizes, payload, roots, tried, likeness, least, name, chunk, whole, same), f"{name}-more")
     if more.isEmpty():
         return roots, held
     held = materialize(held.unionByName(verify(more)), f"{name}-held")

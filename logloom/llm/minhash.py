@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm import graph
-from logloom.llm.common import drop_rows, words_of, with_row_id
+from logloom.llm.common import drop_rows, with_row_id, words_of, worker_store
 from logloom.session import materialize
 
 SHINGLE = 5
@@ -23,7 +23,7 @@ BAND_ROWS = 5
 COORDINATES = BANDS * BAND_ROWS
 #: Estimated similarity below which a pair is not checked: over five standard deviations under 0.8.
 ESTIMATE = 0.6
-KEPT_WORDS = 500_000
+KEPT_WORDS = 400_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _PRIME = np.uint64(0x100000001B3 | 1 << 63)
 
@@ -74,7 +74,7 @@ def darts(elements: np.ndarray, weights: np.ndarray, horizon: float) -> tuple[np
         if not inside.any():
             break
         e, w = elements[inside], weights[inside]
-        seed = mixed(e ^ (np.uint64(layer + 1) * _GOLD))
+        seed = mixed(e ^ np.uint64((layer + 1) * int(_GOLD) % 2 ** 64))
         first = -np.log(((seed >> np.uint64(11)).astype(float) + 1) / 2.0 ** 53) / width
         hit = first < horizon
         e, w, seed = e[hit], w[hit], seed[hit]
@@ -131,7 +131,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def signed(docs: DataFrame, id_col: str, text_col: str, size: int, weighted: bool) -> DataFrame:
     """One row per document: place, id, key (128-bit hash of its shingles and weights), signature."""
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes = worker_store("words", WordHashes)
         for batch in batches:
             keys, sigs = [], []
             for text in batch["text"]:
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 .join(ends["t"].select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"))
 
         def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            hashes = WordHashes()
+            hashes = worker_store("words", WordHashes)
             for batch in batches:
                 ok = [similarity(shingles(x, hashes, size), shingles(y, hashes, size), weighted) >= threshold
                       for x, y in zip(batch["ta"], batch["tb"])]
@@ -202,7 +202,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         return both.mapInPandas(check, "a long, b long")
 
-    roots, _ = graph.grouped_links(entries, payload, agreement, ESTIMATE, verify, "minhash")
+    def whole(wanted: DataFrame) -> DataFrame:
+        def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            hashes = worker_store("words", WordHashes)
+            for batch in batches:
+                out = []
+                for text in batch["text"]:
+                    e, n = shingles(text, hashes, size)
+                    out.append(e.tobytes() + n.astype(np.int64).tobytes())
+                yield pd.DataFrame({"node": batch["node"], "full": out})
+
+        at = nodes.select("node", "at._f", "at._r").join(wanted, "node")
+        return texts.join(at, ["_f", "_r"]).select("node", "text").mapInPandas(sets, "node long, full binary")
+
+    def same(a: bytes, b: bytes) -> bool:
+        both = [(np.frombuffer(x, np.uint64, len(x) // 16), np.frombuffer(x, np.int64, offset=len(x) // 2)) for x in (a, b)]
+        return similarity(both[0], both[1], weighted) >= threshold
+
+    roots, _ = graph.grouped_links(entries, payload, agreement, ESTIMATE, verify, "minhash", whole=whole, same=same)
     labels = nodes.select("set", "node").join(roots, "node", "left").select(
         "set", F.coalesce("root", "node").alias("root"))
     member = rows.select("_f", "_r", F.col("id").cast(kind).alias("id"), "set").join(
