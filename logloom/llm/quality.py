@@ -22,9 +22,11 @@ CHUNK_ROWS = 4096
 START, END = "\x02", "\x03"
 
 
-def marked_words(text: str | None) -> list[str]:
-    """White-space separated words with a start and an end mark; marks inside a text are dropped."""
-    return [START + w + END for w in (text or "").replace(START, " ").replace(END, " ").split()]
+def plain_words(text: str | None) -> list[str]:
+    """White-space separated words; a start or end mark inside a text parts words too."""
+    if text and (START in text or END in text):
+        text = text.replace(START, " ").replace(END, " ")
+    return (text or "").split()
 
 
 def grams_of(word: str, order: int) -> Iterator[str]:
@@ -48,13 +50,13 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
         def out() -> pd.DataFrame:
             grams: Counter = Counter()
             for w, n in words.items():
-                for g in grams_of(w, order):
+                for g in grams_of(START + w + END, order):
                     grams[g] += n
             return pd.DataFrame({"gram": pd.Series(list(grams), dtype=object), "n": list(grams.values())})
 
         for batch in batches:
             for text in batch["text"]:
-                words.update(marked_words(text))
+                words.update(plain_words(text))
                 if len(words) > 200_000:
                     yield out()
                     words.clear()
@@ -145,7 +147,7 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, text_col
 
         def out() -> Iterator[pd.DataFrame]:
             for (f, c), words in held.items():
-                grams = {g for w in words for g in needed_grams(w, order)}
+                grams = {g for w in words for g in needed_grams(START + w + END, order)}
                 yield pd.DataFrame({"_f": f, "_c": c, "gram": pd.Series(list(grams), dtype=object)})
             held.clear()
 
@@ -155,7 +157,7 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, text_col
                     yield from out()
                 words = held.setdefault((f, c), set())
                 for text in part["text"]:
-                    words.update(marked_words(text))
+                    words.update(plain_words(text))
         yield from out()
 
     asked = rows.mapInPandas(wanted, "_f long, _c long, gram string")
@@ -170,11 +172,11 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, text_col
         out = []
         for text in docs["text"]:
             total, size = 0.0, 0
-            for w, n in Counter(marked_words(text)).items():
+            for w, n in Counter(plain_words(text)).items():
                 if w not in of:
-                    of[w] = log_probability(w, known, unseen, order)
+                    of[w] = log_probability(START + w + END, known, unseen, order)
                 total += n * of[w]
-                size += n * (len(w) - 1)
+                size += n * (len(w) + 1)
             out.append(math.exp(min(700.0, -total / size)) if size else None)
         return pd.DataFrame({"_f": docs["_f"], "_r": docs["_r"], "perplexity": pd.Series(out, dtype="float64")})
 
