@@ -13,7 +13,12 @@ from logloom.llm import chat, decontam, lines, minhash, packing, pages, quality,
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Rows that Python tasks get at a time: some texts are very long.
+BATCH_ROWS = "1000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql import Window as W
 
 #: Bit slices of an attribute that take part in the bitmap sum; the rest only widens the boundary.
 SLICES = 6
+#: Rows of a bitmap.
+BLOCK_ROWS = 8192
 #: Queries that one pass over the vectors answers.
 QUERY_CHUNK = 1024
 
@@ -115,6 +118,18 @@ class SlicedBlock:
         return self.ids[at][order], scores[order]
 
 
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of a task in blocks of about BLOCK_ROWS, so that a bitmap operation has enough of them."""
+    held: list[pd.DataFrame] = []
+    for batch in chain(batches, [None]):
+        if batch is not None and len(batch):
+            held.append(batch)
+        if held and (batch is None or sum(map(len, held)) >= BLOCK_ROWS):
+            rows = pd.concat(held)
+            yield rows["id"].to_numpy(), np.stack(rows["v"].to_numpy()).astype(np.int64)
+            held = []
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id",
           vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row that meets `is_query` the k rows of highest
@@ -144,10 +159,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, queries = shared.value
             best: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]
-            for batch in batches:
-                if not len(batch) or not dims:
-                    continue
-                block = SlicedBlock(batch["id"].to_numpy(), np.stack(batch["v"].to_numpy()).astype(np.int64))
+            for at, v in _blocks(batches) if dims else ():
+                block = SlicedBlock(at, v)
                 for i, (q, x) in enumerate(zip(ids.tolist(), queries)):
                     at, scores = (np.concatenate(p) for p in zip(best[i], block.top(q, x, k)))
                     order = np.lexsort((at, -scores))[:k]

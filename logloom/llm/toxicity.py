@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import WORD, fresh, words_of
+from logloom.llm.common import WORD, fresh, words_of, worker_store
 
 #: Labelled documents that the fit reads at most, chosen by a hash of their id. It bounds the model.
 FIT_ROWS = 20_000
@@ -23,7 +24,7 @@ DRIFT = 0.05
 #: Pseudo-tokens that pull an entry towards the entry of its shorter prefix.
 PRIOR = 2.0
 PREFIXES = range(3, 8)
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 EULER = 0.5772156649
 
 
@@ -61,6 +62,7 @@ class Model:
     log_k: float = 0.0
     weights: list[float] | None = None
     base: float = 0.0
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -256,7 +258,7 @@ def scorer(model: Model):
     @F.pandas_udf(SCORED)
     def score(texts: pd.Series) -> pd.DataFrame:
         if shared["store"] is None:
-            shared["store"] = Scores(model.entries)
+            shared["store"] = worker_store(("scores", model.name), lambda: Scores(model.entries))
         out = []
         for text in texts:
             words = words_of(text)
