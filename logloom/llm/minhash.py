@@ -138,7 +138,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, size: int, weighted: boo
                 e, n = shingles(text, hashes, size)
                 w = n.astype(float) if weighted else np.ones(len(e))
                 keys.append(blake2b(e.tobytes() + (n.tobytes() if weighted else b""), digest_size=16).digest() if len(e) else None)
-                sigs.append(signature(e, w).tobytes() if len(e) else None)
+                sigs.append(signature(e, w).astype(np.uint32).tobytes() if len(e) else None)  # the low half
             yield pd.DataFrame({"_f": batch["_f"], "_r": batch["_r"], "id": batch["id"], "set": keys, "sig": sigs})
 
     rows = with_row_id(docs.select(F.col(id_col), F.col(text_col))).select(
@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             if not len(batch):
                 continue
-            s = np.stack([np.frombuffer(x, np.uint64) for x in batch["sig"]]).reshape(len(batch), BANDS, BAND_ROWS)
+            s = np.stack([np.frombuffer(x, np.uint32) for x in batch["sig"]]).astype(np.uint64).reshape(len(batch), BANDS, BAND_ROWS)
             h = np.zeros((len(batch), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64) * _GOLD
             for i in range(BAND_ROWS):
                 h = mixed(h * _PRIME + s[:, :, i])
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"node": batch["node"], "sig": [
-                (np.frombuffer(x, np.uint64) & np.uint64(0xFFFF)).astype(np.uint16).tobytes() for x in batch["sig"]]})
+                np.frombuffer(x, np.uint32).astype(np.uint16).tobytes() for x in batch["sig"]]})
 
     entries = nodes.select("node", "sig").mapInPandas(cut, "key long, node long")
     payload = nodes.select("node", "sig").mapInPandas(short, "node long, sig binary")
