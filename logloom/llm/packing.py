@@ -12,69 +12,110 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import fresh
+from logloom.llm.common import fresh, worker_store
 from logloom.session import materialize
 
 #: Rows that one task packs together. More rows per group leave fewer half-empty sequences.
 GROUP_ROWS = 100_000
 #: Entries that a worker keeps of texts it has encoded; the store is emptied when full.
-KEPT_CHUNKS = 500_000
-_RUN_BEFORE_SPACE = re.compile(r"\s ")
+KEPT_CHUNKS = 900_000
+#: After white space, a space or a line feed does not start a chunk of its own.
+_NOT_PLAIN = re.compile(r"\s[ \n]")
 _CUT = re.compile(r"(?<=\S)(?= )")
-_encoders: dict[str, "ChunkEncoder"] = {}
+#: Letters below this code point are spelled out for the model directly.
+LATIN_END = "\u0250"
+_SIGNS = ".,;:!?*%$&#|)\"'"
 
 
 class ChunkEncoder:
     """Ids of a byte-level BPE `tokenizers` file, with a store of chunks already encoded.
 
-    The tokenizer never joins a space that follows a non-space with what stands before it, so a
-    text may be cut there and its chunks encoded one by one: most chunks are repeated words."""
+    The tokenizer never joins a space or line feed that stands between two other characters with
+    what comes before it, so a text may be cut there and its chunks encoded one by one: most chunks
+    are repeated words. It also parts letters from signs that follow them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.after_space: dict[str, bytes] = {}
-        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
-        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space)
+        self.chunks: dict[str, bytes] = {}  # by the text after the space, or from the line feed on
+        self.signs: dict[str, bytes] = {}
+        starts = tuple(self.tokenizer.encode(c, add_special_tokens=False).tokens[0] for c in " \n")
+        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(starts)
                                 for i in range(self.tokenizer.get_vocab_size())])
-
-    def _fill(self, parts: list[str]) -> None:
-        new = [p for p in set(parts) if p not in self.after_space]
-        if len(self.after_space) + len(new) > KEPT_CHUNKS:
-            self.after_space = {}
-            new = list(set(parts))
-        words = [p for p in new if p and not p[0].isspace()]
-        # One call for all of them: each chunk begins with the only space in it, so its first id shows.
-        ids = np.array(self.tokenizer.encode("".join([" " + p for p in words]), add_special_tokens=False).ids, "<u4")
-        at = (4 * np.append(np.flatnonzero(self.begins[ids]), len(ids))).tolist()
-        raw = ids.tobytes()
-        self.after_space.update((p, raw[a:b]) for p, a, b in zip(words, at, at[1:]))
-        self.after_space.update((p, self._alone(" " + p)) for p in new if not p or p[0].isspace())
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.feed = self._alone("\n")
+        # how the model spells the space and the letters of Latin alphabets
+        spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.space = spell(" ")[0][0]
+        self.letters = {i: spell(chr(i))[0][0][-2:] for i in range(0x80, ord(LATIN_END)) if chr(i).isalpha()}
+        self.merge = self.tokenizer.model.tokenize
 
     def _alone(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        if _RUN_BEFORE_SPACE.search(text):
-            chunks = [c for c in _CUT.split(text) if c]
-            first, rest = chunks[0], chunks[1:]
-            plain = [c[1:] for c in rest]
-        else:
-            first, *plain = text.split(" ")
-        try:
-            tail = b"".join(map(self.after_space.__getitem__, plain))
-        except KeyError:
-            self._fill(plain)
-            tail = b"".join(map(self.after_space.__getitem__, plain))
-        return self._alone(first) + tail
+    def _fill(self, parts: set[str]) -> None:
+        """Encodes new chunks: Latin words, and such words with signs behind them, by the tokenizer's
+        model, which they reach unsplit; all others together in one call of the tokenizer."""
+        if len(self.chunks) > KEPT_CHUNKS:
+            self.chunks.clear()
+            self.signs.clear()
+        chunks, raw, merge, others = self.chunks, self.raw, self.merge, []
+        for p in parts.difference(chunks):
+            feed = p[:1] == "\n"
+            body = p[1:] if feed else p
+            word = body.rstrip(_SIGNS)
+            if not word.isalpha() or not word.isascii() and max(word) >= LATIN_END:
+                others.append(p)
+                continue
+            stem = p[:len(word) + feed]
+            ids = chunks.get(stem)
+            if ids is None:
+                spelled = word if word.isascii() else word.translate(self.letters)
+                ids = b"".join([raw[t.id] for t in merge(spelled if feed else self.space + spelled)])
+                chunks[stem] = ids = self.feed + ids if feed else ids
+            rest = body[len(word):]
+            if rest:
+                if rest not in self.signs:
+                    self.signs[rest] = self._alone(rest)
+                chunks[p] = ids + self.signs[rest]
+        plain = [p for p in others if p and not p[0 if p[0] != "\n" else 1:][:1].isspace() and p != "\n"]
+        # Each begins with the only space or line feed in it, so its first id shows.
+        ids = np.array(self.tokenizer.encode("".join([p if p[0] == "\n" else " " + p for p in plain]),
+                                             add_special_tokens=False).ids, "<u4")
+        at = (4 * np.append(np.flatnonzero(self.begins[ids]), len(ids))).tolist()
+        line = ids.tobytes()
+        chunks.update((p, line[a:b]) for p, a, b in zip(plain, at, at[1:]))
+        for p in others:
+            if p not in chunks:
+                chunks[p] = self._alone(p if p[:1] == "\n" else " " + p)
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers. Unknown chunks are looked for
+        in about a megabyte of text at a time."""
+        held: list[tuple[str, list[str] | None]] = []
+        wanted: set[str] = set()
+        size = 0
+        for k, text in enumerate(texts):
+            if text[:1] == "\n" or _NOT_PLAIN.search(text):
+                held.append((text, None))
+            else:
+                first, *parts = text.replace("\n", " \n").split(" ")
+                held.append((first, parts))
+                wanted.update(parts)
+            size += len(text)
+            if size > 1_000_000 or k == len(texts) - 1:
+                self._fill(wanted)
+                for first, parts in held:
+                    if parts is None:
+                        yield b"".join([self._alone(c) for c in _CUT.split(first)])
+                    else:
+                        yield self._alone(first) + b"".join(map(self.chunks.__getitem__, parts))
+                held, wanted, size = [], set(), 0
 
 
 def encoder(path: str) -> ChunkEncoder:
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return worker_store(("encoder", path), lambda: ChunkEncoder(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 0, id_col: str = "doc_id",
@@ -90,8 +131,9 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 0,
         enc = encoder(tokenizer)
         for batch in batches:
             out = []
-            for doc, text in zip(batch[id_col], batch[text_col]):
-                ids = enc.encode(text if isinstance(text, str) else "") + stop
+            texts = [text if isinstance(text, str) else "" for text in batch[text_col]]
+            for doc, ids in zip(batch[id_col], enc.encode(texts)):
+                ids += stop
                 n = len(ids) // 4
                 at, k = 0, 0
                 while at < n:
