@@ -19,6 +19,9 @@ PIVOTS = 16
 #: Rows that one call compares; many small buckets share a call.
 CALL_ROWS = 2_000
 
+#: Keys of buckets (16 bytes each) that are broadcast at most.
+BROADCAST_KEYS = 1_000_000
+
 #: Likeness of all pairs: (left payloads, right payloads) -> matrix, higher is more alike.
 Likeness = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -64,6 +67,12 @@ def _in_calls(rows: DataFrame, keys: list[str], total: int, link: Callable[[pd.D
     return rows.withColumn("call", call).groupBy("call").applyInPandas(each, "a long, b long")
 
 
+def _if_small(keys: DataFrame) -> DataFrame:
+    """A written table of keys, marked for broadcast if its rows were counted to be few enough; larger
+    ones are joined by a shuffle."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def bucket_sizes(entries: DataFrame) -> DataFrame:
     """(key, node, ...) -> per key with two nodes or more: n, the smallest and the largest node, and
     a mark of the set of nodes. The mark lets equal buckets of several bands be handled once."""
@@ -83,7 +92,7 @@ def candidate_links(entries: DataFrame, payload: DataFrame, likeness: Likeness,
     sizes = materialize(bucket_sizes(entries), f"{name}-buckets")
     once = sizes.groupBy("n", "mark", "a", "b").agg(F.min("key").alias("key"))
     large = materialize(once.filter("n > 2").select("key", "n"), f"{name}-large")
-    members = entries.join(large, "key").withColumn("c", F.ceil(F.col("n") / chunk).cast("int"))
+    members = entries.join(_if_small(large), "key").withColumn("c", F.ceil(F.col("n") / chunk).cast("int"))
     home = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("c")).cast("int")
     pivot = F.pmod(F.xxhash64(F.lit(5), "key", "node"), F.col("n")) < PIVOTS
     spread = members.withColumn("part", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("c") - 1)).otherwise(F.array(home))))
@@ -112,7 +121,8 @@ def missing_links(entries: DataFrame, sizes: DataFrame, payload: DataFrame, root
     is returned. With it, whole(nodes) gives (node, full), and same(full, full) settles the pairs
     inside the task: a link is returned only where it joins groups that are still apart there."""
     large = sizes.filter("n > 2").groupBy("n", "mark", "a", "b").agg(F.min("key").alias("key"))
-    grouped = entries.join(large.select("key", "n"), "key").join(roots, "node", "left").withColumn(
+    large = _if_small(materialize(large.select("key", "n"), f"{name}-large"))
+    grouped = entries.join(large, "key").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
     split = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
     left = grouped.join(materialize(split, f"{name}-split"), "key").withColumn("c", F.ceil(F.col("n") / chunk).cast("int"))
