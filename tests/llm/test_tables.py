@@ -88,6 +88,22 @@ def test_lines(spark, tmp_path):
     assert lines.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_no_fuzzy_copies_are_left_among_real_lines(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    left = {lines.normalised(x) for r in lines.dedup_lines(docs).collect() for x in (r["text"] or "").split("\n")}
+    tall = sorted((x for x in left if 5 <= len(x.split()) < 60), key=len)
+    for low, high in ((5, 12), (12, 30), (30, 60)):
+        part = [x for x in tall if low <= len(x.split()) < high]
+        pairs = sum(lines.alike(x, y, 0.8) for i, x in enumerate(part) for y in part[i + 1:i + 1 + sum(len(z) <= 1.25 * len(x) for z in part[i + 1:])])
+        assert part and pairs <= 0.002 * len(part), (low, pairs, len(part))
+
+
+def test_one_changed_word_of_a_short_line(spark, tmp_path):
+    line = "heti orwhea to thha reea en onshnt edre that"
+    docs = table(spark, tmp_path, [(1, line), (2, line.replace("onshnt", "edou")), (3, "wholly other words stand here for themselves today")])
+    assert {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs).collect()} == {1: 0, 2: 1, 3: 0}
+
+
 def test_decontamination(spark, tmp_path):
     rng = random.Random(3)
     items = [(i, " ".join(words(rng, 30)) + ". " + " ".join(words(rng, 6)) + ".") for i in range(20)] + [(99, None), (98, "")]
