@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,14 @@ def test_one_changed_word_of_a_short_line(spark, tmp_path):
     assert {r["doc_id"]: r["n_removed"] for r in lines.dedup_lines(docs).collect()} == {1: 0, 2: 1, 3: 0}
 
 
+def test_short_lines_and_copied_documents_go(spark, tmp_path):
+    text = "all rights reserved\none two three four five six seven\n---"
+    docs = table(spark, tmp_path, [(1, text), (2, text), (3, "All rights reserved.\nother words of a third document"), (4, "\n\n")])
+    cut = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs, min_words=1).collect()}
+    assert cut == {1: text, 2: "", 3: "other words of a third document", 4: "\n\n"}
+    assert [r["doc_id"] for r in corpus_pipeline.line_dedup(spark, docs, "").orderBy("doc_id").collect()] == [1, 3, 4]
+
+
 def test_decontamination(spark, tmp_path):
     rng = random.Random(3)
     items = [(i, " ".join(words(rng, 30)) + ". " + " ".join(words(rng, 6)) + ".") for i in range(20)] + [(99, None), (98, "")]
