@@ -126,10 +126,10 @@ def template_detail(logs: DataFrame, templates: DataFrame, n: int = 20, **filter
             .withColumn("count", F.coalesce("count", F.lit(0))))
 
 
-def pending_templates(templates: DataFrame, n: int) -> DataFrame:
-    """Templates that wait for an embedding, latest seen first."""
-    return (templates.filter(F.col("embedding_state").isin("none", "queued"))
-            .orderBy(F.col("last_seen_utc").desc(), *TEMPLATE_KEY).limit(n))
+def pending_templates(templates: DataFrame, n: int | None) -> DataFrame:
+    """Templates that wait for an embedding, latest seen first; all of them, in no order, without n."""
+    waiting = templates.filter(F.col("embedding_state").isin("none", "queued"))
+    return waiting if n is None else waiting.orderBy(F.col("last_seen_utc").desc(), *TEMPLATE_KEY).limit(n)
 
 
 def set_state(templates: DataFrame, keys: DataFrame, state: str) -> DataFrame:

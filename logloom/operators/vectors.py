@@ -117,9 +117,9 @@ def hashed_embedding(text: Column, dimension: int = 64) -> Column:
     return embed(word_ngrams(log_tokens(text)), text)
 
 
-def embed_pending(templates: DataFrame, embedder: Callable[[Column], Column] = hashed_embedding, n: int = 1000,
+def embed_pending(templates: DataFrame, embedder: Callable[[Column], Column] = hashed_embedding, n: int | None = 1000,
                   model: str = "hashed-ngrams", now=None) -> tuple[DataFrame, DataFrame]:
-    """(templates, vectors): embeds up to n waiting templates, latest first. `embedder` is a column
+    """(templates, vectors): embeds up to n waiting templates, latest first (None: all). `embedder` is a column
     function, for example a pandas UDF; a null or empty result marks the template failed."""
     from logloom.operators.logs import pending_templates
     stamp = F.lit(now).cast("timestamp") if now is not None else F.current_timestamp()

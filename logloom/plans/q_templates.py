@@ -102,7 +102,7 @@ def _(t):
 
 
 def _embedded(t):
-    done, vec = V.embed_pending(t.templates, n=100_000, now="2024-02-01")
+    done, vec = V.embed_pending(t.templates, n=None, now="2024-02-01")
     return done, vec
 
 
@@ -121,11 +121,11 @@ def _query_vectors(t):
 @query("semantic_search")
 def _(t):
     _, vec = _embedded(t)
-    out = V.semantic_search(vec, t.templates, t.logs, _query_vectors(t), 3, tenant="org-1")
+    out = V.semantic_search(vec, t.templates, t.logs, _query_vectors(t), 3)
     return rounded(out.select("query_id", "rank", "score", "service_name", "template_text", "count", F.size("sample_ids").alias("samples")), "score")
 
 
 @query("evidence")
 def _(t):
     _, vec = _embedded(t)
-    return rounded(V.evidence(t.logs, t.templates, vec, _query_vectors(t).withColumnRenamed("query_id", "question_id"), tenant="org-1"), "relevance")
+    return rounded(V.evidence(t.logs, t.templates, vec, _query_vectors(t).withColumnRenamed("query_id", "question_id")), "relevance")

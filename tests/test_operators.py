@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators import anomaly, classify, forecast, forest, security, templates, training, vectors
-from logloom.plans.registry import Tables
+from logloom.plans.registry import QUERIES, Tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -178,3 +178,32 @@ def test_equal_texts_get_equal_ngram_scores_whatever_the_ids(spark):
     model = spark.createDataFrame([("a😀b", 1.0), ("bcd", 0.5), ("zz", 9.0)], "ngram string, score double")
     got = threats.with_injection(rows, "body_raw", model).select("body_raw", "ngram_score").collect()
     assert sorted((str(r[0]), r[1]) for r in got) == [("None", 0.0), ("a😀bcd", 1.5), ("a😀bcd", 1.5), ("zz", 0.0)]
+
+
+def test_every_waiting_template_is_embedded_and_searched_in_every_tenant(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from logloom.operators import vectors
+    import logloom.plans.catalog  # noqa: F401
+    from logloom.plans import q_templates
+    rows = [(f"org-{i % 3}", "api", i, f"text number {i}", "queued" if i % 2 else "none") for i in range(1_100)]
+    made = spark.createDataFrame(rows, "tenant_id string, service_name string, template_hash long, template_text string, embedding_state string")
+    made = made.withColumn("last_seen_utc", F.lit("2024-01-01").cast("timestamp"))
+    done, found = vectors.embed_pending(made, n=None)
+    assert done.filter("embedding_state = 'ready'").count() == found.count() == 1_100
+    asked = {}
+    whole = vectors.embed_pending
+    monkeypatch.setattr(q_templates.V, "embed_pending", lambda t, n=1000, **k: asked.update(n=n) or whole(t, n=n, **k))
+    q_templates._embedded(SimpleNamespace(templates=made))
+    assert asked["n"] is None
+    stub = "0L AS query_id", "1 AS rank", "0D AS score", "service_name", "template_text", "0L AS count", "array(0L) AS sample_ids", "0D AS relevance"
+
+    def search(*args, tenant=None, **options):
+        asked.setdefault("tenants", []).append(tenant)
+        return made.selectExpr(*stub)
+
+    monkeypatch.setattr(q_templates.V, "semantic_search", search)
+    monkeypatch.setattr(q_templates.V, "evidence", search)
+    for name in ("semantic_search", "evidence"):
+        QUERIES[name](spark, SMALL)
+    assert asked["tenants"] == [None, None]
