@@ -12,6 +12,10 @@ from logloom.scale import bucket_of, exact_quantiles, lagged
 HIGH = ("ERROR", "CRITICAL", "FATAL")
 
 
+#: What the isolation forest looks at.
+FOREST_COLUMNS = ["count", "frequency", "severity_level", "message_length", "template_bucket"]
+
+
 def frequency_features(logs: DataFrame) -> DataFrame:
     """id with count, frequency (share of the service's rows), severity level, message length and
     template id mod 1000. Counts come from the template groups."""

@@ -79,7 +79,7 @@ def nb_predict(docs: DataFrame, weights: DataFrame, model: tuple[DataFrame, Data
 
 
 # --- linear SVM -------------------------------------------------------------------------
-def svm_fit(docs: DataFrame, text: str, label: str, reg: float = 0.01, max_iter: int = 5) -> PipelineModel:
+def svm_fit(docs: DataFrame, text: str, label: str, reg: float = 0.01, max_iter: int = 1000) -> PipelineModel:
     rows = materialize(docs.select(word_ngrams(log_tokens(F.col(text))).alias("_grams"), F.col(label).alias("_label")), "svm-rows")
     indexer = StringIndexer(inputCol="_label", outputCol="_y", handleInvalid="skip").fit(rows)
     stages = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer, IDF, StandardScaler, StringIndexer, VectorAssembler
@@ -111,7 +113,7 @@ def roc_points(df: DataFrame, score: str, label: str, by: list[str] = ()) -> Dat
                                        (F.col("run_neg") / F.col("_n")).alias("fpr"), "auc")
 
 
-def learning_curve(df: DataFrame, fit_score, fractions: list[float], seed: int = 42, id_col: str = "id"):
+def learning_curve(df: DataFrame, fit_score, fractions: Sequence[float] = tuple(i / 10 for i in range(1, 11)), seed: int = 42, id_col: str = "id"):
     """[(fraction, score)] over nested subsets; fit_score(train, test) -> number."""
     train, test = split(df, 0.8, None, seed, id_col)
     placed = hashed_positions(train, [], seed, id_col)
@@ -133,17 +135,18 @@ def text_features(df: DataFrame, text: str, label: str, min_df: float = 2.0):
     return index.transform(rows), index.labels
 
 
-def tune(df: DataFrame, text: str, label: str, alphas=(0.1, 1.0), cs=(0.1, 1.0), folds: int = 2, seed: int = 42) -> dict:
-    """Cross-validated naive Bayes smoothing and logistic strength, with the mean scores."""
+def tune(df: DataFrame, text: str, label: str, alphas=(0.001, 0.01, 0.1, 1.0, 10.0), cs=(0.01, 0.1, 1.0, 10.0), folds: int = 5,
+         strength_folds: int = 3, max_iter: int = 500, seed: int = 42) -> dict:
+    """Cross-validated naive Bayes smoothing (`folds`) and logistic strength (`strength_folds`), with the mean scores."""
     rows, _ = text_features(df, text, label)
     metric = MulticlassClassificationEvaluator(labelCol="_y", metricName="accuracy")
     nb = NaiveBayes(labelCol="_y")
-    lr = LogisticRegression(labelCol="_y", maxIter=20, elasticNetParam=0.15)
+    lr = LogisticRegression(labelCol="_y", maxIter=max_iter, elasticNetParam=0.15)
     out = {}
-    for name, est, grid in (
-            ("naive_bayes", nb, ParamGridBuilder().addGrid(nb.smoothing, list(alphas)).build()),
-            ("logistic", lr, ParamGridBuilder().addGrid(lr.regParam, [1 / c / 100 for c in cs]).build())):
-        fitted = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=metric, numFolds=folds, seed=seed).fit(rows)
+    for name, est, grid, parts in (
+            ("naive_bayes", nb, ParamGridBuilder().addGrid(nb.smoothing, list(alphas)).build(), folds),
+            ("logistic", lr, ParamGridBuilder().addGrid(lr.regParam, [1 / c / 100 for c in cs]).build(), strength_folds)):
+        fitted = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=metric, numFolds=parts, seed=seed).fit(rows)
         out[name] = {"model": fitted.bestModel, "scores": list(fitted.avgMetrics)}
     return out
 
@@ -153,7 +156,7 @@ def fit_gap(train_score: float, validation_score: float, limit: float = 0.10) ->
     return "overfit" if gap > limit else "underfit" if validation_score < 0.6 else "good"
 
 
-def train_behavioural(logs: DataFrame, contamination: float = 0.05, trees: int = 20, seed: int = 42):
+def train_behavioural(logs: DataFrame, contamination: float = 0.05, trees: int = 200, classifier_trees: int = 100, seed: int = 42):
     """Outlier pseudo-labels over 14 behaviour features, then a balanced random forest on scaled
     features. Returns (model, scored rows, AUC)."""
     feats = with_columns(logs, behaviour_features(F.col("body_raw")))
@@ -167,7 +170,7 @@ def train_behavioural(logs: DataFrame, contamination: float = 0.05, trees: int =
     vec = VectorAssembler(inputCols=names, outputCol="_raw").transform(marked)
     scaled = StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(vec).transform(vec)
     train, test = split(scaled, 0.8, "label", seed)
-    model = RandomForestClassifier(maxDepth=15, minInstancesPerNode=10, numTrees=trees, weightCol="weight", seed=seed).fit(train)
+    model = RandomForestClassifier(maxDepth=15, minInstancesPerNode=10, numTrees=classifier_trees, weightCol="weight", seed=seed).fit(train)
     scored = model.transform(test)
     return model, scored, BinaryClassificationEvaluator().evaluate(scored)
 
@@ -178,14 +181,14 @@ class TrainedModels:
         self.baseline, self.markov, self.injection = baseline, markov, injection
 
 
-def train_all(logs: DataFrame, seed: int = 42, n_trees: int = 50) -> tuple[TrainedModels, DataFrame]:
+def train_all(logs: DataFrame, seed: int = 42, n_trees: int = 100) -> tuple[TrainedModels, DataFrame]:
     """Splits, trains the three model families and returns them with the test rows. Fewer than
     100 rows are an error."""
     if logs.limit(MIN_TRAINING_ROWS).count() < MIN_TRAINING_ROWS:
         raise ValueError(f"at least {MIN_TRAINING_ROWS} rows are needed")
     train, test = (materialize(part, "split") for part in split(logs, 0.8, "severity", seed))
     classifiers = classify.train_classifiers(train)
-    outliers = forest.forest_fit(anomaly.frequency_features(train), ["count", "frequency", "severity_level", "message_length"],
+    outliers = forest.forest_fit(anomaly.frequency_features(train), anomaly.FOREST_COLUMNS,
                                  n_trees=n_trees, seed=seed)
     secure = contains_any(F.lower("body_raw"), fixed.SECURITY_WORDS)
     markov = threats.markov_fit(train.filter(~secure), train.filter(secure))

@@ -159,12 +159,9 @@ def _(t):
     return A.rule_anomalies(t.logs, t.templates).withColumn("confidence", F.round("confidence", 4))
 
 
-FOREST_COLUMNS = ["count", "frequency", "severity_level", "message_length"]
-
-
 def _forest(t):
     f = materialize(A.frequency_features(t.wide_logs), "features")  # read by the fit and the scoring
-    return f, forest.forest_fit(f, FOREST_COLUMNS, n_trees=50)
+    return f, forest.forest_fit(f, A.FOREST_COLUMNS)
 
 
 @query("forest_score")

@@ -180,12 +180,12 @@ def _(t):
 @query("learning_curve")
 def _(t):
     def fit_score(train, test):
-        v = materialize(C.tfidf_fit(train, "doc_id", "text", 1000), "vocabulary")
+        v = materialize(C.tfidf_fit(train, "doc_id", "text"), "vocabulary")
         model = C.nb_fit(materialize(C.tfidf_transform(train, "doc_id", "text", v), "weights"), train, v, "doc_id", "quality")
         out = C.nb_predict(test, C.tfidf_transform(test, "doc_id", "text", v), model, "doc_id")
         return out.join(test.select("doc_id", "quality"), "doc_id").agg(F.avg((F.col("label") == F.col("quality")).cast("double"))).first()[0]
 
-    rows = Z.learning_curve(_documents(t), fit_score, [0.5, 1.0], id_col="doc_id")
+    rows = Z.learning_curve(_documents(t), fit_score, id_col="doc_id")
     return t.spark.createDataFrame([(float(f), float(s)) for f, s in rows], "fraction double, score double")
 
 

@@ -207,3 +207,23 @@ def test_every_waiting_template_is_embedded_and_searched_in_every_tenant(spark,
     for name in ("semantic_search", "evidence"):
         QUERIES[name](spark, SMALL)
     assert asked["tenants"] == [None, None]
+
+
+def test_models_are_trained_over_the_whole_job_by_default(spark, monkeypatch):
+    from inspect import signature
+
+    def defaults(fn):
+        return {k: p.default for k, p in signature(fn).parameters.items()}
+
+    assert len(defaults(training.tune)["alphas"]) == 5 and len(defaults(training.tune)["cs"]) == 4
+    assert [defaults(training.tune)[k] for k in ("folds", "strength_folds", "max_iter")] == [5, 3, 500]
+    assert [defaults(training.train_behavioural)[k] for k in ("trees", "classifier_trees")] == [200, 100]
+    assert defaults(training.train_all)["n_trees"] == 100 and defaults(classify.svm_fit)["max_iter"] == 1000
+    from logloom.plans import q_anomaly, q_models
+    _, model = q_anomaly._forest(Tables(spark, SMALL))
+    assert model.nodes["tree"].nunique() == 100 and model.nodes["feature"].max() == 4
+    seen = []
+    monkeypatch.setattr(q_models.Z, "learning_curve", lambda df, fit, fractions=defaults(training.learning_curve)["fractions"], **k: [
+        (f, seen.append(f) or 0.0) for f in fractions])
+    QUERIES["learning_curve"](spark, SMALL)
+    assert len(seen) == 10
