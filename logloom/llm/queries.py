@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import chat, decontam, lines, minhash, packing, pages, quality, sharding, topk, toxicity
+from logloom.llm import chat, decontam, lines, minhash, packing, pages, quality, ranked, sharding, sql, topk, toxicity, trie, urls
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -83,10 +83,23 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_url_markov_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return found.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_bit_sliced_top_k, op2_kneser_ney_quality, op3_dart_minhash, op4_incremental_chat,
                                     op5_dom_marginals, op6_block_max_wand, op7_toxic_segments, op8_hypergeometric_shards, op9_fuzzy_lines,
-                                    op10_sum_of_squares_packing)}
+                                    op10_sum_of_squares_packing, op11_conversation_trie, op12_dual_tree_search, op13_url_markov_ratio)}
 
 
 OP1_SQL = """
@@ -121,4 +134,5 @@ FROM spelled GROUP BY conv_id
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_bit_sliced_top_k": OP1_SQL, "op4_incremental_chat": OP4_SQL}
+    return {"op1_bit_sliced_top_k": OP1_SQL, "op4_incremental_chat": OP4_SQL, "op11_conversation_trie": sql.OP11_SQL,
+            "op12_dual_tree_search": sql.OP12_SQL, "op13_url_markov_ratio": sql.OP13_SQL}
