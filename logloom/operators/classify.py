@@ -2,44 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, Normalizer, StringIndexer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom.functions.labels import category_from_severity, infer_domain_from_text, keyword_labels
-from logloom.functions.text import extract_entities, log_tokens, word_ngrams
+from logloom.functions.text import extract_entities
+from logloom.operators.svm import svm_fit, svm_predict
+from logloom.operators.tfidf import term_counts, tfidf_fit, tfidf_transform  # noqa: F401
 from logloom.session import materialize
 
-MAX_FEATURES = 5000
 MAX_CLASSES = 1000
 
 
-def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, count over word 1- and 2-grams."""
-    words = docs.select(key, log_tokens(F.col(text)).alias("_w"))
-    grams = words.select(key, F.explode_outer(word_ngrams(F.col("_w"))).alias("term")).filter("term IS NOT NULL")
-    return grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("count"))
-
-
-def tfidf_fit(docs: DataFrame, key: str, text: str, max_features: int = MAX_FEATURES, min_df: int = 2) -> DataFrame:
-    """term, df, idf of the most frequent terms; ties by term. At most max_features rows."""
-    n = docs.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(1))
-    df = term_counts(docs, key, text).groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
-    top = df.orderBy(F.col("df").desc(), "term").limit(max_features).withColumn("_k", F.lit(1))
-    return top.join(n, "_k").select("term", "df", (F.log((F.col("_n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-
-
-def tfidf_transform(docs: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
-    """key, term, weight with unit length per document. Documents without a known term have no rows."""
-    raw = term_counts(docs, key, text).join(F.broadcast(vocabulary), "term").select(  # at most max_features rows
-        key, "term", ((1 + F.log("count")) * F.col("idf")).alias("_w"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
-
-
 def nb_fit(weights: DataFrame, labels: DataFrame, vocabulary: DataFrame, key: str, label: str, alpha: float = 1.0
            ) -> tuple[DataFrame, DataFrame]:
     """(classes, terms). classes: label, log_prior, log_default (a term never seen in the class).
@@ -78,33 +52,6 @@ def nb_predict(docs: DataFrame, weights: DataFrame, model: tuple[DataFrame, Data
     return scored.select(key, best.alias("label"), (1 / F.col("_z")).alias("confidence"), probs.alias("probabilities"))
 
 
-# --- linear SVM -------------------------------------------------------------------------
-def svm_fit(docs: DataFrame, text: str, label: str, reg: float = 0.01, max_iter: int = 1000) -> PipelineModel:
-    rows = materialize(docs.select(word_ngrams(log_tokens(F.col(text))).alias("_grams"), F.col(label).alias("_label")), "svm-rows")
-    indexer = StringIndexer(inputCol="_label", outputCol="_y", handleInvalid="skip").fit(rows)
-    stages = [
-        indexer, CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=MAX_FEATURES, minDF=2.0),
-        IDF(inputCol="_tf", outputCol="_tfidf"), Normalizer(inputCol="_tfidf", outputCol="features"),
-        OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter), labelCol="_y", featuresCol="features",
-                  predictionCol="_p", parallelism=4),
-        IndexToString(inputCol="_p", outputCol="label", labels=indexer.labels)]
-    return Pipeline(stages=stages).fit(rows)
-
-
-def svm_predict(docs: DataFrame, model: PipelineModel, text: str) -> DataFrame:
-    """Adds label and confidence, the sigmoid of the largest absolute margin."""
-    rows = docs.withColumn("_grams", word_ngrams(log_tokens(F.col(text))))
-    out = PipelineModel(model.stages[1:]).transform(rows)
-    margin = F.array_max(F.transform(vector_to_array("rawPrediction"), lambda x: F.abs(x)))
-    return out.withColumn("confidence", 1 / (1 + F.exp(-margin))).drop("_grams", "_tf", "_tfidf", "features", "rawPrediction", "_p")
-
-
-def svm_update(model: PipelineModel, retained: DataFrame, new: DataFrame, text: str, label: str) -> PipelineModel:
-    """Refit on the retained rows and the new rows of classes the model knows."""
-    known = new.filter(F.col(label).isin(*model.stages[0].labels))
-    return svm_fit(retained.select(text, label).unionByName(known.select(text, label)), text, label)
-
-
 # --- whole rows -------------------------------------------------------------------------
 class LogModels:
     """Vocabulary, naive Bayes models for category and domain, SVM for severity."""
@@ -121,7 +68,7 @@ def train_classifiers(logs: DataFrame, key: str = "id", text: str = "body_raw",
     vocabulary = materialize(tfidf_fit(labelled, key, text), "vocabulary")
     weights = materialize(tfidf_transform(labelled, key, text, vocabulary), "weights")
     return LogModels(vocabulary, nb_fit(weights, labelled, vocabulary, key, "category"),
-                     nb_fit(weights, labelled, vocabulary, key, "domain"), svm_fit(labelled, text, "level"))
+                     nb_fit(weights, labelled, vocabulary, key, "domain"), svm_fit(labelled, key, text, "level"))
 
 
 def classify(logs: DataFrame, models: LogModels, key: str = "id", text: str = "body_raw") -> DataFrame:
@@ -131,9 +78,10 @@ def classify(logs: DataFrame, models: LogModels, key: str = "id", text: str = "b
         key, F.col("label").alias("category"), F.col("confidence").alias("_c1"), "probabilities")
     dom = nb_predict(logs, weights, models.domain, key).select(
         key, F.col("label").alias("domain"), F.col("confidence").alias("_c2"))
-    sev = svm_predict(logs.select(key, text), models.severity, text).select(
-        key, F.col("label").alias("severity_label"), F.col("confidence").alias("_c3"), extract_entities(F.col(text)).alias("entities"))
-    return cat.join(dom, key).join(sev, key).select(
+    sev = svm_predict(logs, models.severity, key, text).select(
+        key, F.col("label").alias("severity_label"), F.col("confidence").alias("_c3"))
+    named = logs.select(key, extract_entities(F.col(text)).alias("entities"))
+    return cat.join(dom, key).join(sev, key).join(named, key).select(
         key, "category", "domain", "severity_label", ((F.col("_c1") + F.col("_c2") + F.col("_c3")) / 3).alias("confidence"),
         "probabilities", "entities")
 

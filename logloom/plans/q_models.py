@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from logloom import fixed
 from logloom.functions import labels
 from logloom.operators import classify as C
+from logloom.operators import svm
 from logloom.operators import training as Z
 from logloom.plans.logview import more, with_logs
 from logloom.plans.q_anomaly import HEUR, NAME_SQL, _heuristic, rounded
@@ -125,10 +126,45 @@ def _(t):
         F.array_join(F.try_element_at("entities", F.lit("ip_address")), " "), F.lit("")).alias("ip_address"))
 
 
+def _levels(t):
+    return t.wide_logs.select("id", "body_raw", labels.keyword_labels(F.col("body_raw"), F.col("service_name"))["severity"].alias("level"))
+
+
 @query("svm_predict")
 def _(t):
-    rows = t.wide_logs.select("id", "body_raw", labels.keyword_labels(F.col("body_raw"), F.col("service_name"))["severity"].alias("level"))
-    return rounded(C.svm_predict(rows, C.svm_fit(rows, "body_raw", "level"), "body_raw").select("id", "label", "confidence"), "confidence")
+    rows = _levels(t)
+    return rounded(svm.svm_predict(rows, svm.svm_fit(rows, "id", "body_raw", "level"), "id", "body_raw"), "confidence")
+
+
+@query("svm_update")
+def _(t):
+    """A model of one half of the rows, updated with the other half."""
+    rows = _levels(t)
+    model = svm.svm_fit(rows.filter("id % 2 = 0"), "id", "body_raw", "level")
+    model = svm.svm_update(model, rows.filter("id % 2 = 1"), "id", "body_raw", "level")
+    return rounded(svm.svm_predict(rows, model, "id", "body_raw"), "confidence")
+
+
+GIVEN_LABELS = ["error", "info", "warning"]
+GIVEN = ["gw AS (SELECT k, label, term, ((df * k + length(term)) % 11 - 5) / 10::DOUBLE AS w FROM vo, (VALUES (1, 'error'), (2, 'info'), (3, 'warning')) v(k, label))",
+         """gm AS (SELECT l.id, g.k, g.label, (g.k - 2) / 4::DOUBLE + coalesce(s, 0) AS m FROM logs l CROSS JOIN (SELECT DISTINCT k, label FROM gw) g
+ LEFT JOIN (SELECT id, label, sum(weight * w) AS s FROM tw JOIN gw USING (term) GROUP BY ALL) x ON x.id = l.id AND x.label = g.label)"""]
+
+
+def _given_model(t):
+    """Weights that a formula gives, over the vocabulary of the rows."""
+    v = materialize(C.tfidf_fit(t.wide_logs, "id", "body_raw"), "vocabulary")
+    classes = F.array(*[F.struct(F.lit(i + 1).alias("k"), F.lit(x).alias("label")) for i, x in enumerate(GIVEN_LABELS)])
+    inner = v.select("term", "df", F.explode(classes).alias("c")).select(
+        "c.label", "term", (((F.col("df") * F.col("c.k") + F.length("term")) % 11 - 5) / 10.0).alias("weight"))
+    bias = t.spark.createDataFrame([(x, None, (i - 1) / 4) for i, x in enumerate(GIVEN_LABELS)], "label string, term string, weight double")
+    return svm.Svm(v, materialize(inner.unionByName(bias), "given"), GIVEN_LABELS)
+
+
+@query("svm_score", more(*TF, *GIVEN) + """
+SELECT id, arg_max(label, round(m, 9)) AS label, round(1 / (1 + exp(-max(abs(m)))), 6) AS confidence FROM (SELECT * FROM gm ORDER BY id, k) GROUP BY id""")
+def _(t):
+    return rounded(svm.svm_predict(t.wide_logs, _given_model(t), "id", "body_raw"), "confidence")
 
 
 @query("classify_rows")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.operators import anomaly, classify, forecast, forest, security, templates, training, vectors
+from logloom.operators import anomaly, classify, forecast, forest, security, svm, templates, training, vectors
 from logloom.plans.registry import QUERIES, Tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -146,15 +146,6 @@ def test_too_few_rows(spark):
     assert training.fit_gap(0.95, 0.8) == "overfit"
 
 
-def test_svm_update_keeps_known_classes(spark):
-    rows = spark.createDataFrame([("disk full error", "high"), ("all fine here", "low")] * 10, "m string, y string")
-    model = classify.svm_fit(rows, "m", "y")
-    new = spark.createDataFrame([("disk broken", "high"), ("strange", "other")], "m string, y string")
-    again = classify.svm_update(model, rows, new, "m", "y")
-    assert sorted(again.stages[0].labels) == ["high", "low"]
-    assert {r.label for r in classify.svm_predict(rows.limit(1), again, "m").collect()} == {"high"}
-
-
 def test_report_counts_every_service(spark):
     from logloom.operators import metrics
     rows = spark.range(150).selectExpr("concat('svc', id) AS service_name", "1 AS severity", "timestamp'2024-01-01' AS timestamp_utc")
@@ -218,7 +209,7 @@ def test_models_are_trained_over_the_whole_job_by_default(spark, monkeypatch):
     assert len(defaults(training.tune)["alphas"]) == 5 and len(defaults(training.tune)["cs"]) == 4
     assert [defaults(training.tune)[k] for k in ("folds", "strength_folds", "max_iter")] == [5, 3, 500]
     assert [defaults(training.train_behavioural)[k] for k in ("trees", "classifier_trees")] == [200, 100]
-    assert defaults(training.train_all)["n_trees"] == 100 and defaults(classify.svm_fit)["max_iter"] == 1000
+    assert defaults(training.train_all)["n_trees"] == 100 and defaults(svm.svm_fit)["passes"] == 1000
     from logloom.plans import q_anomaly, q_models
     _, model = q_anomaly._forest(Tables(spark, SMALL))
     assert model.nodes["tree"].nunique() == 100 and model.nodes["feature"].max() == 4
