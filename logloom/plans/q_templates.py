@@ -11,18 +11,36 @@ from logloom.plans.q_anomaly import rounded
 from logloom.plans.registry import query
 
 
-@query("mine_templates")
+SHAPE = """sh AS (SELECT id, body_raw, string_split(trim(regexp_replace(regexp_replace(body_raw, '[_:=/\\\\\\[\\]()]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS tk FROM logs)"""
+# leaders, as no shape of these rows is similar to a shape that follows another one
+MINED = [SHAPE, """ms AS (SELECT l.service_name, l.timestamp_utc, list_transform(tk, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tk
+ FROM sh JOIN logs l USING (id))""",
+         "md AS (SELECT service_name, tk, array_to_string(tk, ' ') AS text, min(timestamp_utc) AS at, count(*) AS n FROM ms GROUP BY service_name, tk)",
+         """pa AS (SELECT a.service_name, a.text, b.text AS lead, len(list_filter(list_zip(a.tk, b.tk), lambda p: p[1] = p[2] AND p[1] <> '<*>')) AS same,
+ len(list_filter(b.tk, lambda x: x = '<*>')) AS wild, b.at FROM md a JOIN md b ON a.service_name = b.service_name AND len(a.tk) = len(b.tk) AND a.tk[1] = b.tk[1]
+ AND (b.at < a.at OR b.at = a.at AND b.text < a.text))""",
+         "si AS (SELECT pa.* FROM pa JOIN md USING (service_name, text) WHERE same >= 0.4 * len(tk))",
+         "le AS (SELECT * FROM md WHERE NOT EXISTS (SELECT 1 FROM si WHERE si.service_name = md.service_name AND si.text = md.text))",
+         """me AS (SELECT service_name, text, text AS lead FROM le UNION ALL SELECT si.service_name, si.text, first(si.lead ORDER BY same DESC, wild DESC, si.at, si.lead)
+ FROM si JOIN le ON le.service_name = si.service_name AND le.text = si.lead GROUP BY ALL)""",
+         """po AS (SELECT service_name, lead, i, CASE WHEN min(tk[i]) = max(tk[i]) THEN min(tk[i]) ELSE '<*>' END AS t
+ FROM (SELECT me.service_name, me.lead, tk, unnest(range(1, len(tk) + 1)) AS i FROM me JOIN md USING (service_name, text)) GROUP BY ALL)""",
+         "te AS (SELECT service_name, lead, string_agg(t, ' ' ORDER BY i) AS template_text, count(*) FILTER (t = '<*>') AS w FROM po GROUP BY ALL)",
+         "mt AS (SELECT md.service_name, md.text, md.n, te.template_text, te.w FROM md JOIN me USING (service_name, text) JOIN te USING (service_name, lead))"]
+
+
+@query("mine_templates", more(*MINED) + """
+SELECT service_name, template_text, sum(n)::BIGINT AS rows, min(w)::INTEGER AS parameters FROM mt GROUP BY service_name, template_text""")
 def _(t):
     return M.mine_templates(t.wide_logs).groupBy("service_name", "template_text").agg(
         F.count(F.lit(1)).alias("rows"), F.min(F.size("parameters")).alias("parameters"))
 
 
-@query("mine_templates_total", with_logs("SELECT count(*) AS rows, count(DISTINCT service_name) AS services FROM logs"))
+@query("mine_templates_total", more(*MINED) + """
+SELECT sum(n)::BIGINT AS rows, count(DISTINCT service_name) AS services, count(DISTINCT (service_name, template_text)) AS templates FROM mt""")
 def _(t):
-    return M.mine_templates(t.wide_logs).agg(F.count("template_text").alias("rows"), F.count_distinct("service_name").alias("services"))
-
-
-SHAPE = """sh AS (SELECT id, body_raw, string_split(trim(regexp_replace(regexp_replace(body_raw, '[_:=/\\\\\\[\\]()]', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS tk FROM logs)"""
+    return M.mine_templates(t.wide_logs).agg(F.count("template_text").alias("rows"), F.count_distinct("service_name").alias("services"),
+                                             F.count_distinct("service_name", "template_text").alias("templates"))
 
 
 @query("extract_parameters", more(SHAPE) + """
