@@ -192,7 +192,7 @@ def with_injection(df: DataFrame, text: str, model: DataFrame | None = None,
 
 
 # --- reconnaissance ---------------------------------------------------------------------
-def _accesses(logs: DataFrame) -> DataFrame:
+def target_accesses(logs: DataFrame) -> DataFrame:
     body = F.col("body_raw")
     source = F.coalesce(F.nullif(F.regexp_extract(body, fixed.IP_PATTERN, 0), F.lit("")), F.col("service_name"))
     return (logs.withColumn("source", source).withColumn("target", extract_target(body))
@@ -202,7 +202,7 @@ def _accesses(logs: DataFrame) -> DataFrame:
 def recon_ticks(logs: DataFrame, window: int = 60, diversity: int = 10) -> DataFrame:
     """source, at, unique_targets, is_recon, recon_type, threat_score per source and instant."""
     kinds = {k: F.col("target").startswith(k + ":") for k in ("port", "path", "user")}
-    ticks = trailing_distinct(_accesses(logs).select("source", "target", "at"), ["source"], "target", "at",
+    ticks = trailing_distinct(target_accesses(logs).select("source", "target", "at"), ["source"], "target", "at",
                               window * SECOND, SLOT, kinds)
     is_recon = F.col("distinct_items") >= diversity
     kind = (F.when(~is_recon, "unknown").when(F.col("port") > 3, "port_scan").when(F.col("path") > 5, "directory_enum")
@@ -214,13 +214,13 @@ def recon_ticks(logs: DataFrame, window: int = 60, diversity: int = 10) -> DataF
 
 def recon_detect(logs: DataFrame, window: int = 60, diversity: int = 10) -> DataFrame:
     """Each access with the distinct targets its source touched in the trailing window."""
-    return _accesses(logs).join(recon_ticks(logs, window, diversity), ["source", "at"]).drop("at")
+    return target_accesses(logs).join(recon_ticks(logs, window, diversity), ["source", "at"]).drop("at")
 
 
 def recon_target_samples(logs: DataFrame, window: int = 60, diversity: int = 10, n: int = 10) -> DataFrame:
     """source, targets: n targets of the window behind the first detection of each source."""
     first = recon_ticks(logs, window, diversity).filter("is_recon").groupBy("source").agg(F.min("at").alias("_first"))
-    seen = (_accesses(logs).select("source", "target", "at").join(first, "source")
+    seen = (target_accesses(logs).select("source", "target", "at").join(first, "source")
             .filter((F.col("at") <= F.col("_first")) & (F.col("at") >= F.col("_first") - window * SECOND))
             .select("source", "target").distinct())
     return top_n(seen, ["source"], [F.col("target")], n).groupBy("source").agg(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from logloom.operators import forecast
 from logloom.plans.logview import ISO_SQL, log_view, more, ts_text, with_logs
 from logloom.plans.q_functions import FAILURE_SQL, SOURCE_SQL, TARGET_SQL
+from logloom.plans.q_templates import MINED
 from logloom.plans.registry import query
 from logloom.session import scratch_path
 from logloom.sources import ingest, parsers, tables
@@ -62,20 +63,63 @@ def _(t):
     return _run(t, s, ["window_start", "source"]).withColumn("window_start", ts_text("window_start"))
 
 
-@query("stream_templates", with_logs("SELECT tenant_id, service_name, count(DISTINCT masked) AS templates FROM logs GROUP BY ALL"))
+def _ticked(t, days=400):
+    """The stream with one row of a source of its own far behind the others, which lets the watermark pass them all."""
+    tick = t.logs.limit(1).withColumn("timestamp_utc", F.expr(f"timestamp_utc + INTERVAL {days} DAYS")).withColumn("service_name", F.lit("tick"))
+    bodies = F.explode(F.array(F.lit("Failed password for tick"), F.lit("GET /tick")))
+    tick = tick.withColumn("body_raw", bodies)
+    path = scratch_path(t.spark, "tick")
+    tick.write.parquet(path)
+    return _stream(t).unionByName(t.spark.readStream.schema(tick.schema).parquet(path))
+
+
+@query("stream_bruteforce_events", more(f"f AS (SELECT {SOURCE_SQL} AS source, timestamp_utc AS ts FROM logs WHERE {FAILURE_SQL} AND {SOURCE_SQL} IS NOT NULL)") + """
+SELECT source, epoch_us(ts) AS "at", (SELECT count(*) FROM f g WHERE g.source = f.source AND g.ts <= f.ts AND g.ts >= f.ts - INTERVAL 6 HOUR) AS failure_count
+FROM (SELECT DISTINCT source, ts FROM f) f""")
 def _(t):
-    store = ingest.Store(t.spark, scratch_path(t.spark, "store"))
-    jobs.stream_templates(_stream(t).drop("template_text", "template_hash"), store, scratch_path(t.spark, "check")).start().awaitTermination()
-    return store.templates.read().groupBy("tenant_id", "service_name").agg(F.count(F.lit(1)).alias("templates"))
+    return _run(t, jobs.stream_bruteforce_events(_ticked(t), 6 * 3600), ["source", "at"]).filter("source <> 'tick'")
+
+
+@query("stream_recon_events", more(f"f AS (SELECT {SOURCE_SQL} AS source, {TARGET_SQL} AS target, timestamp_utc AS ts FROM logs WHERE {TARGET_SQL} IS NOT NULL)") + """
+SELECT f.source, epoch_us(f.ts) AS "at", count(DISTINCT g.target) AS unique_targets, count(DISTINCT CASE WHEN starts_with(g.target, 'port:') THEN g.target END) AS port,
+ count(DISTINCT CASE WHEN starts_with(g.target, 'path:') THEN g.target END) AS path, count(DISTINCT CASE WHEN starts_with(g.target, 'user:') THEN g.target END) AS user
+FROM (SELECT DISTINCT source, ts FROM f) f JOIN f g ON g.source = f.source AND g.ts <= f.ts AND g.ts >= f.ts - INTERVAL 12 HOUR GROUP BY ALL""")
+def _(t):
+    return _run(t, jobs.stream_recon_events(_ticked(t), 12 * 3600), ["source", "at"]).filter("source <> 'tick'")
+
+
+@query("stream_templates", more(*MINED, """mp AS (SELECT l.tenant_id, l.service_name, mt.template_text, l.timestamp_utc FROM sh JOIN logs l USING (id) JOIN mt ON mt.service_name = l.service_name
+ AND mt.text = array_to_string(list_transform(tk, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END), ' '))""") + f"""
+SELECT tenant_id, service_name, template_text, strftime(min(timestamp_utc), {ISO_SQL}) AS first_seen, strftime(max(timestamp_utc), {ISO_SQL}) AS last_seen, count(*) AS rows
+FROM mp GROUP BY ALL""")
+def _(t):
+    path = scratch_path(t.spark, "templates")
+    jobs.stream_templates(_stream(t), path, scratch_path(t.spark, "check")).start().awaitTermination()
+    return jobs.read_templates(t.spark, path).select("tenant_id", "service_name", "template_text", ts_text("first_seen_utc").alias("first_seen"),
+                                                     ts_text("last_seen_utc").alias("last_seen"), "rows")
+
+
+RUNNING = ["h AS (SELECT service_name AS series, date_trunc('hour', timestamp_utc) AS b, count(*)::DOUBLE AS v FROM logs GROUP BY ALL)",
+           "n AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY b) AS i, count(*) OVER (PARTITION BY series) AS c FROM h)",
+           """s AS (SELECT series, i, c, v AS level, 0::DOUBLE AS trend, v AS baseline FROM n WHERE i = 1 UNION ALL
+ SELECT n.series, n.i, n.c, 0.3::DOUBLE * n.v + 0.7::DOUBLE * (s.level + s.trend),
+  0.1::DOUBLE * (0.3::DOUBLE * n.v + 0.7::DOUBLE * (s.level + s.trend) - s.level) + 0.9::DOUBLE * s.trend, 0.01::DOUBLE * n.v + 0.99::DOUBLE * s.baseline
+ FROM s JOIN n ON n.series = s.series AND n.i = s.i + 1)"""]
 
 
-@query("stream_update", with_logs("SELECT service_name AS series, count(DISTINCT date_trunc('hour', timestamp_utc)) AS n FROM logs GROUP BY 1"))
+@query("stream_update", more(*RUNNING) + """
+SELECT series, i AS n, round(level, 6) AS level, round(trend, 6) AS trend, round(baseline, 6) AS baseline FROM s WHERE i = c""")
 def _(t):
+    """Three batches whose hours are interleaved, so every batch brings rows that belong before those already there."""
     hourly = forecast.hourly_counts(t.logs.withColumnRenamed("service_name", "series"), "timestamp_utc", ["series"])
-    path = scratch_path(t.spark, "hourly")
-    hourly.write.parquet(path)
-    stream = t.spark.readStream.schema(hourly.schema).parquet(path)
-    return _run(t, jobs.stream_update(stream), ["series"]).select("series", "n")
+    path, width = scratch_path(t.spark, "hourly"), "bucket_ts"
+    for i in range(3):
+        hourly.filter(F.pmod(F.hour(width), F.lit(3)) == i).coalesce(1).write.parquet(f"{path}/part={i}")
+    hourly.limit(1).withColumn("series", F.lit("tick")).withColumn(width, F.expr("bucket_ts + INTERVAL 4000 DAYS")).write.parquet(f"{path}/part=9")
+    stream = t.spark.readStream.schema(hourly.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.parquet").parquet(path)
+    out = _run(t, jobs.stream_update(stream, watermark="1000 days"), ["series"]).filter("series <> 'tick'")
+    return out.select("series", "n", *[F.round(c, 6).alias(c) for c in ("level", "trend", "baseline")])
 
 
 @query("ingest_events", with_logs("""

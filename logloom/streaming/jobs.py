@@ -6,29 +6,19 @@ minutes: later rows still reach the log table but not closed windows."""
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logloom.functions.labels import extract_source, extract_target, is_auth_failure
-from logloom.functions.text import first_group
+from logloom.functions.text import first_group, template_hash
 from logloom.operators.templates import mine_fast, templates_of, upsert_templates
-from logloom.session import materialize
 from logloom.sources import files, parsers
 from logloom.sources.ingest import Store, with_ids
+from logloom.streaming.stateful import (WATERMARK, stream_bruteforce_events, stream_clusters, stream_recon_events,  # noqa: F401
+                                        stream_update)
 from logloom import fixed
 
-WATERMARK = "10 minutes"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """State larger than memory, and the state API below, need this provider."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
 
 def stream_trend(logs: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """Rows and errors per hour."""
@@ -72,51 +62,29 @@ def stream_recon(logs: DataFrame, window: str = "1 minute", slide: str = "30 sec
                     (F.col("unique_targets") >= diversity).alias("is_recon")))
 
 
-class _SeriesState(StatefulProcessor):
-    """Level, trend and slow baseline per series."""
-
-    def __init__(self, alpha: float, beta: float, slow: float):
-        self.alpha, self.beta, self.slow = alpha, beta, slow
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("series", "level double, trend double, baseline double, n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        level, trend, base, n = self.state.get() if self.state.exists() else (0.0, 0.0, 0.0, 0)
-        points = pd.concat(list(rows)).sort_values("bucket_ts")
-        for v in points["value"].astype(float):
-            if n == 0:
-                level, trend, base = v, 0.0, v
-            else:
-                before = level
-                level = self.alpha * v + (1 - self.alpha) * (level + trend)
-                trend = self.beta * (level - before) + (1 - self.beta) * trend
-                base = self.slow * v + (1 - self.slow) * base
-            n += 1
-        self.state.update((level, trend, base, n))
-        yield pd.DataFrame({"series": [key[0]], "level": [level], "trend": [trend], "baseline": [base], "n": [n]})
-
-    def close(self) -> None:
-        pass
-
-
-def stream_update(series: DataFrame, alpha: float = 0.3, beta: float = 0.1, slow: float = 0.01) -> DataFrame:
-    """Running state per series from a stream of (series, bucket_ts, value); update mode."""
-    use_rocksdb(series.sparkSession)
-    return series.groupBy("series").transformWithStateInPandas(
-        statefulProcessor=_SeriesState(alpha, beta, slow),
-        outputStructType="series string, level double, trend double, baseline double, n long",
-        outputMode="Update", timeMode="None")
-
-
-def stream_templates(logs: DataFrame, store: Store, checkpoint: str):
-    """Template discovery: the templates of each batch are merged into the known ones, which keep their
-    state and get the newest last_seen. A batch that runs again changes nothing."""
-    def discover(batch: DataFrame, batch_id: int) -> None:
-        found = materialize(templates_of(mine_fast(batch)), "stream-templates")
-        store.templates.write(upsert_templates(store.templates.read(), found))
+def stream_templates(logs: DataFrame, path: str, checkpoint: str, depth: int = 4, sim_th: float = 0.4):
+    """Template discovery: each batch appends the templates it touched to `path` (read_templates). A batch that runs
+    again replaces its own folder."""
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return logs.writeStream.foreachBatch(discover).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return (stream_clusters(logs, depth, sim_th).writeStream.outputMode("update").foreachBatch(put)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True))
+
+
+def read_templates(spark: SparkSession, path: str) -> DataFrame:
+    """The template table as of the newest batch: tenant_id, service_name, template_hash, template_text, first_seen_utc,
+    last_seen_utc, rows, embedding_state."""
+    changes = spark.read.parquet(path)
+    # a leader's newest text holds for all tenants that met it
+    newest = changes.groupBy("service_name", "leader").agg(F.max_by("template_text", F.struct("batch", F.length("template_text"))).alias("template_text"))
+    named = changes.drop("template_text", "batch").join(newest.withColumnsRenamed({"service_name": "_s", "leader": "_l"}),
+                                                      F.col("service_name").eqNullSafe(F.col("_s")) & (F.col("leader") == F.col("_l")))
+    out = named.groupBy("tenant_id", "service_name", "template_text").agg(
+        F.min("first_at").alias("_a"), F.max("last_at").alias("_b"), F.sum("rows").alias("rows"))
+    return out.select("tenant_id", "service_name", template_hash(F.col("service_name"), F.col("template_text")).alias("template_hash"), "template_text",
+                      F.timestamp_micros("_a").alias("first_seen_utc"), F.timestamp_micros("_b").alias("last_seen_utc"), "rows",
+                      F.lit("queued").alias("embedding_state"))
 
 
 def stream_ingest(spark: SparkSession, root: str, store: Store, checkpoint: str, now: dt.datetime, tenant: str):
