@@ -1,12 +1,15 @@
 """Forecasts over bucketed series: columns series, bucket_ts, value (one row per bucket).
 
-Raw rows are first counted per bucket, so a series has at most one point per hour or day; only
-the two recurrences below fold a whole series at once."""
+The smoothing recurrences are affine in their state, so runs of values are composed to maps in parallel
+and only the maps are folded per series."""
 
 from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,18 +28,88 @@ def hourly_counts(df: DataFrame, ts: str, series: list[str] = (), fill_gaps: boo
     return grid.join(counts, [*series, "bucket_ts"], "left").na.fill(0.0, ["value"])
 
 
-def _points(series: DataFrame) -> DataFrame:
-    """One row per series with its values in time order."""
-    return series.groupBy("series").agg(
-        F.sort_array(F.collect_list(F.struct("bucket_ts", F.col("value").cast("double").alias("v")))).alias("_p")
-    ).select("series", F.transform("_p", lambda p: p["v"]).alias("values"))
+def _powers(step: np.ndarray, gain: np.ndarray, n: int) -> np.ndarray:
+    """step^0 gain, ..., step^(n - 1) gain, by doubling."""
+    out, power = gain[None, :], step
+    while len(out) < n:
+        out, power = np.vstack([out, out @ power.T]), power @ power
+    return out[:n]
+
+
+def _slices(alpha: float, beta: float, slow: float):
+    """Each run of one series in a sorted partition, a batch at a time, as the affine map that its values make of a
+    state (level, trend), and as those of two plain averages: with all values, and without the first one."""
+    step = np.array([[1 - alpha, 1 - alpha], [-alpha * beta, 1 - alpha * beta]])
+    gain = np.array([alpha, alpha * beta])
+    table = {}
+
+    def composed(x: np.ndarray) -> tuple:
+        n = len(x)
+        if len(table.get("holt", ())) < n:
+            table["holt"] = _powers(step, gain, n)
+            for name, rate in (("fast", alpha), ("slow", slow)):
+                table[name] = rate * (1 - rate) ** np.arange(n)
+        m, v = np.linalg.matrix_power(step, n), table["holt"][:n][::-1].T @ x
+        fast, slowly = (float(table[k][:n][::-1] @ x) for k in ("fast", "slow"))
+        return (*m.ravel().tolist(), *v.tolist(), (1 - alpha) ** n, fast, (1 - slow) ** n, slowly)
+
+    def run(batches):
+        part, seq = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes = batch["series"].to_numpy()
+            same = np.array([a == b or (a is None and b is None) for a, b in zip(codes[1:], codes[:-1])], bool)
+            cuts = np.concatenate([[0], np.flatnonzero(~same) + 1, [len(batch)]]) if len(batch) > 1 else np.array([0, 1])
+            values, out = batch["value"].to_numpy(float), []
+            for low, high in zip(cuts[:-1], cuts[1:]):
+                x = values[low:high]
+                second = float(x[1]) if len(x) > 1 else None
+                out.append((codes[low], part, seq, len(x), float(x[0]), second, float(x[-1]), *composed(x), *composed(x[1:])))
+                seq += 1
+            yield pd.DataFrame(out, columns=SLICE)
+
+    return run
+
+
+MAP = ["a", "b", "c", "d", "e", "f", "fk", "fv", "sk", "sv"]
+SLICE = ["series", "part", "seq", "n", "first", "second", "last", *MAP, *[m + "1" for m in MAP]]
+
+
+def _composed(series: DataFrame, alpha: float, beta: float, slow: float) -> DataFrame:
+    """series, n, first, second, last_value, slices: one row per series with its maps in order of time.
+
+    Values are dealt to tasks by ranges of (series, time), so one long series is shared by many tasks; what is
+    gathered per series is one map per task and Arrow batch. Rows without a value take no part."""
+    rows = series.select("series", "bucket_ts", F.col("value").cast("double").alias("value")).filter("value IS NOT NULL")
+    kind = rows.schema["series"].dataType.simpleString()
+    dealt = rows.repartitionByRange("series", "bucket_ts", "value").sortWithinPartitions("series", "bucket_ts", "value").select("series", "value")
+    types = f"series {kind}, part int, seq long, n long, " + ", ".join(f"{c} double" for c in SLICE[4:])
+    maps = dealt.mapInPandas(_slices(alpha, beta, slow), types)
+    gathered = maps.groupBy("series").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct(*SLICE[1:]))).alias("slices"))
+    first = F.element_at("slices", 1)
+    return gathered.select("series", "n", "slices", first["first"].alias("first"), F.coalesce(
+        first["second"], F.try_element_at("slices", F.lit(2))["first"]).alias("second"), F.element_at("slices", -1)["last"].alias("last_value"))
+
+
+def _fold(start: Column, skip_first: Column, apply) -> Column:
+    """`apply`(state, map) over all slices; the first slice without its first value where `skip_first` holds."""
+    def at(m: Column, i: Column) -> Column:
+        cut = skip_first & (i == 0)
+        return F.struct(*[F.when(cut, m[c + "1"]).otherwise(m[c]).alias(c) for c in MAP])
+
+    return F.aggregate(F.transform("slices", at), start, apply)
+
+
+def _holt_map(s: Column, m: Column) -> Column:
+    return F.struct((m["a"] * s["level"] + m["b"] * s["trend"] + m["e"]).alias("level"),
+                    (m["c"] * s["level"] + m["d"] * s["trend"] + m["f"]).alias("trend"))
 
 
 def ses_state(series: DataFrame, alpha: float = 0.3) -> DataFrame:
     """series, n, level after simple exponential smoothing."""
-    v = F.col("values")
-    fold = F.aggregate(F.slice(v, F.lit(2), F.size(v)), F.element_at(v, 1), lambda a, x: alpha * x + (1 - alpha) * a)
-    return _points(series).select("series", F.size("values").alias("n"), fold.alias("level"))
+    level = _fold(F.col("first"), F.lit(True), lambda s, m: m["fk"] * s + m["fv"])
+    return _composed(series, alpha, 0.0, 0.0).select("series", "n", level.alias("level"))
 
 
 def ses(series: DataFrame, alpha: float = 0.3, horizon: int = 1) -> DataFrame:
@@ -45,20 +118,13 @@ def ses(series: DataFrame, alpha: float = 0.3, horizon: int = 1) -> DataFrame:
         "series", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"), F.col("level").alias("forecast"))
 
 
-def _holt_step(state: Column, x: Column, alpha: float, beta: float) -> Column:
-    level = alpha * x + (1 - alpha) * (state["level"] + state["trend"])
-    return F.struct(level.alias("level"), (beta * (level - state["level"]) + (1 - beta) * state["trend"]).alias("trend"))
-
-
 def holt_state(series: DataFrame, alpha: float = 0.3, beta: float = 0.1) -> DataFrame:
     """series, n, level, trend, fitted, last_value. A series of one value is not fitted."""
-    v = F.col("values")
-    start = F.struct(F.element_at(v, 1).alias("level"), (F.element_at(v, 2) - F.element_at(v, 1)).alias("trend"))
-    fold = F.aggregate(F.slice(v, F.lit(2), F.size(v)), start, lambda s, x: _holt_step(s, x, alpha, beta))
+    start = F.struct(F.col("first").alias("level"), (F.col("second") - F.col("first")).alias("trend"))
     none = F.struct(F.lit(0.0).alias("level"), F.lit(0.0).alias("trend"))
-    return (_points(series).withColumn("_s", F.when(F.size(v) >= 2, fold).otherwise(none))
-            .select("series", F.size("values").alias("n"), "_s.level", "_s.trend", (F.size("values") >= 2).alias("fitted"),
-                    F.element_at("values", -1).alias("last_value")))
+    state = F.when(F.col("n") >= 2, _fold(start, F.lit(True), _holt_map)).otherwise(none)
+    return _composed(series, alpha, beta, 0.0).withColumn("_s", state).select(
+        "series", "n", "_s.level", "_s.trend", (F.col("n") >= 2).alias("fitted"), "last_value")
 
 
 def holt(series: DataFrame, alpha: float = 0.3, beta: float = 0.1, horizon: int = 1) -> DataFrame:
@@ -197,15 +263,11 @@ def overall_risk(factors: DataFrame) -> DataFrame:
 def update_series(state: DataFrame, new: DataFrame, alpha: float = 0.3, beta: float = 0.1, slow: float = 0.01) -> DataFrame:
     """Folds new points onto a stored state (series, level, trend, baseline). An unknown series
     starts at its first new value with trend 0 and that value as baseline."""
-    v = F.col("values")
     known = F.col("level").isNotNull()
-    first = F.struct(F.element_at(v, 1).alias("level"), F.lit(0.0).alias("trend"))
-    start = F.when(known, F.struct("level", "trend")).otherwise(first)
-    rest = F.when(known, v).otherwise(F.slice(v, F.lit(2), F.size(v)))
-    joined = _points(new).join(state, "series", "left")
-    base = F.aggregate(rest, F.when(known, F.col("baseline")).otherwise(F.element_at(v, 1)),
-                       lambda a, x: slow * x + (1 - slow) * a)
-    out = joined.select("series", F.aggregate(rest, start, lambda s, x: _holt_step(s, x, alpha, beta)).alias("_s"),
-                        base.alias("baseline")).select("series", "_s.level", "_s.trend", "baseline")
+    joined = _composed(new, alpha, beta, slow).join(state, "series", "left")
+    start = F.when(known, F.struct("level", "trend")).otherwise(F.struct(F.col("first").alias("level"), F.lit(0.0).alias("trend")))
+    base = _fold(F.when(known, F.col("baseline")).otherwise(F.col("first")), ~known, lambda s, m: m["sk"] * s + m["sv"])
+    out = joined.select("series", _fold(start, ~known, _holt_map).alias("_s"), base.alias("baseline")).select(
+        "series", "_s.level", "_s.trend", "baseline")
     return out.unionByName(state.join(new.select("series").distinct(), "series", "left_anti")
                            .select("series", "level", "trend", "baseline"))
