@@ -180,7 +180,7 @@ def failure_forecast(rates: DataFrame, horizon: int = 60, error_threshold: float
     t, known = F.col("trend"), F.col("n") >= 10
     p = F.when(t > 0, F.least(p * 1.2, F.lit(1.0))).otherwise(p)
     return s.select(
-        "series", "n", F.when(known, p).otherwise(0.5).alias("failure_probability"),
+        "series", F.col("n").cast("int").alias("n"), F.when(known, p).otherwise(0.5).alias("failure_probability"),
         F.when(known, _first_step(F.col("level"), t, F.lit(error_threshold), horizon, True)).alias("time_to_failure"),
         F.when(known, F.col("level") + horizon * t).alias("predicted_rate"), F.col("last_value").alias("current_rate"),
         F.when(~known, "unknown").when(t > 0.001, "increasing").when(t < -0.001, "decreasing").otherwise("stable").alias("trend"),

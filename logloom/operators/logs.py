@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logloom import fixed
 from logloom.schema import TEMPLATE_KEY
 from logloom.scale import top_n
+from logloom.session import materialize
 
 def newest() -> list[Column]:
     return [F.col("timestamp_utc").desc(), F.col("id").desc()]
@@ -173,44 +173,59 @@ def search_logs(logs: DataFrame, terms: list[str], service: str | None = None, n
             .orderBy("term_rank", *newest()).limit(n))
 
 
-TERMS_PER_PASS = 5_000
-
-
-def rows_holding_terms(rows: DataFrame, texts: list[str], terms: DataFrame, per_pass: int = TERMS_PER_PASS) -> DataFrame:
-    """rows x matching term, for a table of terms (columns term_id, term) of any size.
-
-    Each pass searches up to `per_pass` terms at once with one automaton per Arrow batch, so no
-    row-term pairs are formed other than matches. More terms mean more passes, cut by a hash."""
-    terms = terms.select("term_id", F.lower("term").alias("term")).distinct()
-    total = terms.count()
-    passes = max(1, -(-2 * total // per_pass)) if total > per_pass else 1
-    joined_text = F.lower(F.concat_ws("\n", *texts))
-    out = None
-    for p in range(passes):
-        part = terms.filter(F.pmod(F.xxhash64("term"), F.lit(passes)) == p).limit(2 * per_pass + 1).collect()
-        if len(part) > 2 * per_pass:
-            raise ValueError("uneven term hashing; use a larger per_pass")
-        matched = rows.withColumn("term_id", F.explode_outer(
-            _term_matcher([(r.term_id, r.term) for r in part])(joined_text))).filter(F.col("term_id").isNotNull())
-        out = matched if out is None else out.unionByName(matched)
-    return out
-
-
-def _term_matcher(terms: list[tuple[int, str]]):
-    import ahocorasick
-
-    @F.pandas_udf("array<bigint>")
-    def match(texts: pd.Series) -> pd.Series:
-        machine = ahocorasick.Automaton()
-        for term_id, term in terms:
-            ids = machine.get(term, ())
-            machine.add_word(term, (*ids, term_id))
-        if not terms:
-            return texts.map(lambda _: [])
-        machine.make_automaton()
-        return texts.map(lambda t: [] if t is None else sorted({i for _, ids in machine.iter(t) for i in ids}))
-
-    return match
+def _tokens(*texts: str) -> Column:
+    """Different lower-case tokens between blanks of the columns together."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", *texts)), r"\s+"), lambda w: w != ""))
+
+
+def _grams(word: Column) -> Column:
+    """Different runs of one, two and three characters; linear in the length of the word."""
+    one = F.filter(F.split(word, ""), lambda c: c != "")
+    two = F.zip_with(one, F.slice(one, 2, 1_000_000_000), lambda x, y: F.concat(x, y))
+    three = F.zip_with(two, F.slice(one, 3, 1_000_000_000), lambda x, y: F.concat(x, y))
+    return F.array_distinct(F.filter(F.concat(one, two, three), lambda g: g.isNotNull()))
+
+
+def words_holding(words: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(piece, word): every different word of `words` that holds a piece of `pieces`.
+
+    The grams that occur in pieces are looked up in an index of the words' grams; each piece takes its rarest
+    gram of at most three characters, and the words under it are compared in full."""
+    pieces = pieces.select("piece").distinct()
+    size = F.least(F.length("piece"), F.lit(3))
+    asked = pieces.select("piece", F.explode(F.filter(_grams(F.col("piece")), lambda g: F.length(g) == size)).alias("gram"))
+    index = words.select("word").distinct().select("word", F.explode(_grams(F.col("word"))).alias("gram")).join(
+        asked.select("gram").distinct(), "gram")
+    index = materialize(index, "gram-index")
+    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = asked.join(counts, "gram", "left").groupBy("piece").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+    return rarest.join(index, "gram").filter(F.col("word").contains(F.col("piece"))).select("piece", "word")
+
+
+def rows_holding_terms(rows: DataFrame, carry: list[str], texts: list[str], terms: DataFrame, n: int | None = None) -> DataFrame:
+    """`carry` columns (which must tell rows apart) and term_id of every row one of whose `texts` holds the term, for a
+    table of terms (term_id, term) of any size; with `n`, the newest n rows of each term.
+
+    Tokens of the rows meet the tokens that hold the longest piece of a term by an equi-join; terms of several
+    pieces are then looked for in the row itself. Blank terms are in no row."""
+    terms = terms.select("term_id", F.trim(F.lower("term")).alias("term")).filter("term <> ''").distinct()
+    pieces = F.filter(F.split("term", r"\s+"), lambda w: w != "")
+    longest = F.element_at(F.sort_array(F.transform(pieces, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+    terms = materialize(terms.select("term_id", "term", longest.alias("piece"), (F.size(pieces) > 1).alias("several")), "terms")
+    slim = rows.select(*dict.fromkeys([*carry, *texts]))
+    placed = slim.withColumn("word", F.explode(_tokens(*texts)))
+    found = materialize(words_holding(placed.select("word"), terms), "term-words")
+    single = terms.filter("NOT several").join(found, "piece").select("term_id", "word")
+    by_word = placed.select(*carry, "word").join(single.select("word").distinct(), "word", "left_semi")
+    if n is not None:  # a row beyond the newest n of a word is beyond the newest n of every term in that word
+        by_word = top_n(by_word, ["word"], newest(), n).drop("rn")
+    out = by_word.join(single, "word").select(*carry, "term_id")
+    joint = terms.filter("several").join(found, "piece").select("term_id", "term", "word")
+    held = [F.lower(F.col(c)).contains(F.col("term")) for c in texts]
+    checked = placed.join(joint, "word").filter(F.coalesce(F.array_max(F.array(*held)), F.lit(False))).select(*carry, "term_id")
+    both = out.unionByName(checked).distinct()
+    return both if n is None else top_n(both, ["term_id"], newest(), n).drop("rn")
 
 
 def search_logs_bulk(logs: DataFrame, questions: DataFrame, n: int = 15) -> DataFrame:
@@ -219,7 +234,7 @@ def search_logs_bulk(logs: DataFrame, questions: DataFrame, n: int = 15) -> Data
     Rows are ranked once per distinct term, keeping n; a question then merges the short lists of
     its terms. A row beyond the first n of a term cannot enter the answer, because the earlier
     rows of that term already fill it."""
-    asked = questions.select("question_id", "service_filter", F.posexplode("search_terms").alias("term_rank", "term"))
+    asked = questions.select("question_id", "service_filter", F.posexplode(F.slice("search_terms", 1, 5)).alias("term_rank", "term"))
     asked = asked.filter(~F.lower("term").isin(*fixed.GENERIC_TERMS)).withColumn("term", F.lower("term"))
     asked = asked.select("question_id", "term_rank", F.xxhash64("term").alias("term_id"), "term")
     named = (questions.filter(F.col("service_filter").isNotNull())
@@ -227,22 +242,20 @@ def search_logs_bulk(logs: DataFrame, questions: DataFrame, n: int = 15) -> Data
              .withColumn("term_id", F.xxhash64("term")))
     slim = logs.select("id", "timestamp_utc", "service_name", "severity", "body_raw")
 
-    by_term = top_n(rows_holding_terms(slim, ["body_raw", "service_name"], asked.select("term_id", "term")),
-                    ["term_id"], newest(), n).drop("rn")
+    by_term = materialize(rows_holding_terms(slim, ["id", "timestamp_utc"], ["body_raw", "service_name"], asked.select("term_id", "term"), n), "by-term")
     names = slim.select("service_name").distinct()
-    service_hits = rows_holding_terms(names, ["service_name"], named.select("term_id", "term"))
-    latest = top_n(slim, ["service_name"], newest(), n).drop("rn")
+    service_hits = rows_holding_terms(names, ["service_name"], ["service_name"], named.select("term_id", "term"))
+    latest = top_n(slim.select("service_name", "id", "timestamp_utc"), ["service_name"], newest(), n).drop("rn")
     by_service = named.select("question_id", "term_id").join(service_hits, "term_id").join(latest, "service_name")
-    service_first = top_n(by_service, ["question_id"], newest(), n).withColumn("via", F.lit("service"))
-
-    merged = asked.select("question_id", "term_rank", "term_id").join(by_term, "term_id")
-    first = merged.groupBy("question_id", "id").agg(
-        F.min("term_rank").alias("term_rank"),
-        *[F.any_value(c).alias(c) for c in ("timestamp_utc", "service_name", "severity", "body_raw")])
-    by_terms = top_n(first, ["question_id"], [F.col("term_rank"), *newest()], n).withColumn("via", F.lit("terms"))
-    by_terms = by_terms.join(service_first.select("question_id").distinct(), "question_id", "left_anti")
-    cols = ["question_id", "rn", "via", "id", "timestamp_utc", "service_name", "severity", "body_raw"]
-    return service_first.select(*cols).unionByName(by_terms.select(*cols))
+    service_first = materialize(top_n(by_service.select("question_id", "id", "timestamp_utc"), ["question_id"], newest(), n), "by-service")
+
+    merged = asked.select("question_id", "term_rank", "term_id").join(
+        service_first.select("question_id").distinct(), "question_id", "left_anti").join(by_term, "term_id")
+    first = merged.groupBy("question_id", "id").agg(F.min("term_rank").alias("term_rank"), F.any_value("timestamp_utc").alias("timestamp_utc"))
+    by_terms = top_n(first, ["question_id"], [F.col("term_rank"), *newest()], n)
+    hits = service_first.select("question_id", "rn", "id", F.lit("service").alias("via")).unionByName(
+        by_terms.select("question_id", "rn", "id", F.lit("terms").alias("via")))
+    return hits.join(slim, "id").select("question_id", "rn", "via", "id", "timestamp_utc", "service_name", "severity", "body_raw")
 
 
 def contains_text(df: DataFrame, text: str, columns: list[str] = ("body_raw", "template_text", "service_name")) -> DataFrame:

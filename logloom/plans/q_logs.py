@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from logloom import fixed
 from logloom.functions import labels
+from logloom.functions.questions import tag_questions
+from logloom.functions.text import collapse_spaces
 from logloom.operators import logs as L
 from logloom.operators import metrics, security
 from logloom.plans.logview import ISO_SQL, TEMPLATES_SQL, VECTORS_SQL, more, ts_text, with_logs, with_templates
+from logloom.plans.q_functions import _tag_sql
 from logloom.plans.registry import query
 
 START, END = "2024-01-05 00:00:00", "2024-01-20 12:00:00"
@@ -196,22 +199,37 @@ def _(t):
     return L.search_logs(t.logs, ["refused"], "ngin").select("id", "service_name")
 
 
-ASKED_SQL = """asked AS (SELECT min(id) AS question_id,
-  concat('show me ', lower(template_text), ' entries') AS text FROM logs GROUP BY service_name, template_text)"""
+#: What the users of conversations ask: two kinds name a service, two go on with the user's own words.
+BULK_HEADS = ["Show me errors from sshd: ", "find login logs of nginx ", "why did errors happen: ", "find failed password or "]
 
-@query("search_logs_bulk", more(ASKED_SQL, """q AS (SELECT question_id, unnest(['refused', 'password', 'click', 'log', 'login']) AS term,
-   unnest([0, 1, 2, 3, 4]) AS term_rank FROM asked WHERE question_id % 2 = 0
-   UNION ALL SELECT question_id, unnest(['memory', 'completed']), unnest([0, 1]) FROM asked WHERE question_id % 2 = 1)""",
- """f AS (SELECT question_id, id, min(term_rank) AS term_rank, any_value(timestamp_utc) AS ts FROM q JOIN logs
-   ON contains(lower(body_raw), term) OR contains(lower(service_name), term) WHERE term <> 'log' GROUP BY question_id, id)""") + """
-SELECT question_id, id, rn, 'terms' AS via FROM (SELECT question_id, id, CAST(row_number() OVER (PARTITION BY question_id
-  ORDER BY term_rank, ts DESC, id DESC) AS INT) AS rn FROM f) WHERE rn <= 15""")
+
+def _bulk_questions(t):
+    k = F.col("turn") % 4
+    head = F.when(k == 0, BULK_HEADS[0]).when(k == 1, BULK_HEADS[1]).when(k == 2, BULK_HEADS[2]).otherwise(BULK_HEADS[3])
+    return t.conversations.filter("role = 'user'").select(
+        "conv_id", "turn", F.concat(head, collapse_spaces(F.col("text"))).alias("question"))
+
+
+def _bulk_sql():
+    case = " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(BULK_HEADS))
+    asked = f"""q AS (SELECT conv_id, turn, concat(CASE turn % 4 {case} END, trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS question FROM conversations WHERE role = 'user'),
+tg AS ({_tag_sql()}),
+tq AS (SELECT conv_id * 1000 + turn AS question_id, service_filter, string_split(terms, ' | ') AS terms FROM tg),
+sv AS (SELECT question_id, id, timestamp_utc FROM tq JOIN logs ON contains(lower(service_name), service_filter)),
+sr AS (SELECT question_id, id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY timestamp_utc DESC, id DESC) AS INT) AS rn FROM sv QUALIFY rn <= 15),
+te AS (SELECT question_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS r FROM tq WHERE question_id NOT IN (SELECT question_id FROM sr)),
+dt AS (SELECT DISTINCT term FROM te WHERE trim(term) <> '' AND term NOT IN {tuple(fixed.GENERIC_TERMS)}),
+lo AS (SELECT id, timestamp_utc, lower(body_raw) AS b, lower(service_name) AS s FROM logs),
+ma AS (SELECT term, id, timestamp_utc FROM dt JOIN lo ON contains(b, trim(term)) OR contains(s, trim(term))
+ QUALIFY row_number() OVER (PARTITION BY term ORDER BY timestamp_utc DESC, id DESC) <= 15),
+fo AS (SELECT question_id, id, min(r) AS r, any_value(timestamp_utc) AS ts FROM te JOIN ma USING (term) GROUP BY ALL),
+fr AS (SELECT question_id, id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY r, ts DESC, id DESC) AS INT) AS rn FROM fo QUALIFY rn <= 15)"""
+    return more(asked) + "SELECT question_id, id, rn, 'service' AS via FROM sr UNION ALL SELECT question_id, id, rn, 'terms' FROM fr"
+
+
+@query("search_logs_bulk", _bulk_sql())
 def _(t):
-    asked = t.logs.groupBy("service_name", "template_text").agg(F.min("id").alias("question_id"))
-    even = F.array(*[F.lit(x) for x in ("refused", "password", "click", "log", "login")])
-    odd = F.array(F.lit("memory"), F.lit("completed"))
-    tagged = asked.select("question_id", F.lit(None).cast("string").alias("service_filter"),
-                          F.when(F.col("question_id") % 2 == 0, even).otherwise(odd).alias("search_terms"))
+    tagged = tag_questions(_bulk_questions(t), "question").withColumn("question_id", F.col("conv_id") * 1000 + F.col("turn"))
     return L.search_logs_bulk(t.logs, tagged).select("question_id", "id", "rn", "via")
 
 

@@ -66,9 +66,21 @@ def test_exact_quantiles(spark, points):
     assert whole.q_0 == pytest.approx(np.percentile(pdf["at"] * 1.5, 50))
 
 
-def test_rows_holding_terms_in_several_passes(spark):
+def held(rows, terms):
+    return {(i, j) for i, *texts in rows for j, term in terms if term and term.strip() and any(x and term.strip().lower() in x.lower() for x in texts)}
+
+
+def test_rows_holding_terms_equal_contains(spark):
     words = [f"word{i:03d}" for i in range(60)]
-    rows = spark.createDataFrame([(i, f"xx {words[i]} and {words[(i * 7) % 60]} yy") for i in range(60)], "id long, body string")
-    terms = spark.createDataFrame(list(enumerate(words)), "term_id long, term string")
-    got = {(r.id, r.term_id) for r in rows_holding_terms(rows, ["body"], terms, per_pass=20).collect()}
-    assert got == {(i, j) for i in range(60) for j in (i, (i * 7) % 60)}
+    rows = [(i, f"xx {words[i]} and\t{words[(i * 7) % 60]} yy", f"svc-{i % 5}") for i in range(60)]
+    rows += [(100, None, None), (101, "", "Aé日本 x"), (102, "out of memory in worker", "svc-1"), (103, "of memory out", "x" * 20_000 + "end")]
+    terms = list(enumerate([*words, "ord01", "d", "OUT of memory", "f mem", "vc-", "日", "é日", "nothing here", "zzz", "", None, "  ", "xend", "and\tword"]))
+    frame_ = spark.createDataFrame(rows, "id long, body string, svc string").withColumn("timestamp_utc", F.timestamp_micros("id"))
+    found = rows_holding_terms(frame_, ["id", "timestamp_utc"], ["body", "svc"], spark.createDataFrame(terms, "term_id long, term string"))
+    got = [(r.id, r.term_id) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == held(rows, terms)
+    newest = rows_holding_terms(frame_, ["id", "timestamp_utc"], ["body", "svc"], spark.createDataFrame(terms, "term_id long, term string"), 3)
+    best = {}
+    for i, j in sorted(held(rows, terms), reverse=True):
+        best.setdefault(j, []).append(i)
+    assert {(r.id, r.term_id) for r in newest.collect()} == {(i, j) for j, ids in best.items() for i in ids[:3]}
