@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.session import materialize
+from logloom.session import discard, materialize
 
 #: Members of one bucket that one task compares with one another.
 CHUNK = 512
@@ -155,7 +155,9 @@ def missing_links(entries: DataFrame, sizes: DataFrame, payload: DataFrame, root
 
     total = each.count()
     found = _in_calls(compared, ["key", "i", "j"], total, link).distinct()
-    return found.join(tried, ["a", "b"], "left_anti")
+    out = materialize(found.join(tried, ["a", "b"], "left_anti"), f"{name}-more")
+    discard(each)
+    return out
 
 
 def connected(edges: DataFrame, name: str) -> DataFrame:
@@ -166,6 +168,7 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
 
     e = materialize(edges.filter("a <> b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-links")
+    e_table = e
     before = mark(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -176,7 +179,9 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
         small = star.join(low, "u")
         e = small.select("u", F.col("m").alias("v")).unionByName(
             small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        e = materialize(e, f"{name}-stars")
+        last, e = e_table, materialize(e, f"{name}-stars")
+        e_table = e
+        discard(last)
         after = mark(e)
         if after == before:
             break
@@ -194,8 +199,10 @@ def grouped_links(entries: DataFrame, payload: DataFrame, likeness: Likeness, le
     tried = materialize(first, f"{name}-tried")
     held = materialize(verify(tried), f"{name}-held")
     roots = connected(held, name)
-    more = materialize(missing_links(entries, sizes, payload, roots, tried, likeness, least, name, chunk, whole, same), f"{name}-more")
+    more = missing_links(entries, sizes, payload, roots, tried, likeness, least, name, chunk, whole, same)
+    discard(tried, sizes)
     if more.isEmpty():
         return roots, held
-    held = materialize(held.unionByName(verify(more)), f"{name}-held")
-    return connected(held, name), held
+    both = materialize(held.unionByName(verify(more)), f"{name}-held")
+    discard(held, more)
+    return connected(both, name), both
