@@ -31,6 +31,8 @@ CSV_KNOWN = [
 ]
 
 LOG_SUFFIXES = [".log", ".txt", ".jsonl", ".csv"]
+# A file of more estimated lines than this is mined in the fast mode.
+FAST_MODE_LINES, BYTES_PER_LINE = 50_000, 100
 MAX_FILE_BYTES = 500 * 1024 * 1024
 
 # --- timestamps: tried in this order ----------------------------------------------------

@@ -143,7 +143,7 @@ FOLDER_SQL = with_logs("""SELECT concat('service_name=', service_name) AS servic
 
 
 def _stored(t, store):
-    return tables.read_logs(t.spark, store.logs_path).groupBy("service_name").agg(
+    return store.logs().groupBy("service_name").agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("template_hash").alias("templates"),
         F.date_format(F.min("timestamp_utc"), "yyyy-MM-dd HH:mm:ss").alias("first_seen"))
 
@@ -151,14 +151,14 @@ def _stored(t, store):
 @query("ingest_folder", FOLDER_SQL)
 def _(t):
     store = ingest.Store(t.spark, scratch_path(t.spark, "store"))
-    ingest.ingest_folder(t.spark, _log_folder(t), store, NOW, "org-1")
+    ingest.ingest_folder(t.spark, _log_folder(t), store, NOW, "org-1", "fast")
     return _stored(t, store)
 
 
 @query("stream_ingest", FOLDER_SQL)
 def _(t):
     store = ingest.Store(t.spark, scratch_path(t.spark, "store"))
-    jobs.stream_ingest(t.spark, _log_folder(t), store, scratch_path(t.spark, "check"), NOW, "org-1").start().awaitTermination()
+    jobs.stream_ingest(t.spark, _log_folder(t), store, scratch_path(t.spark, "check"), NOW, "org-1", "fast").start().awaitTermination()
     return _stored(t, store)
 
 
@@ -166,7 +166,30 @@ def _(t):
 def _(t):
     store = ingest.Store(t.spark, scratch_path(t.spark, "store"))
     ingest.ingest_folder(t.spark, _log_folder(t), store, NOW, "org-1")
-    return tables.ledger_list(tables.ledger_read(t.spark, store.ledger_path), "org-1").agg(F.sum("events_inserted").alias("events"))
+    return tables.ledger_list(store.ledger(), "org-1").agg(F.sum("events_inserted").alias("events"))
+
+
+@query("ingest_statistics", with_logs("""
+SELECT run, CASE run WHEN 1 THEN 5 + 2 ELSE 5 + 2 END::BIGINT AS files, CASE run WHEN 1 THEN 1 ELSE 7 END::BIGINT AS skipped, CASE run WHEN 1 THEN a + b ELSE 0 END::BIGINT AS lines,
+ CASE run WHEN 1 THEN a + b - r ELSE 0 END::BIGINT AS events, 0::BIGINT AS errors, CASE run WHEN 1 THEN r ELSE 0 END::BIGINT AS rejected
+FROM (SELECT count(*) AS a, count(*) FILTER (severity >= 4) AS b, count(*) FILTER (severity >= 4 AND id % 10 = 3) AS r FROM logs), (VALUES (1), (2)) v(run)"""))
+def _(t):
+    """Five text files, a JSON-lines file with some lines that hold no object, a copy of it; and a second run."""
+    path = scratch_path(t.spark, "folder")
+    line = F.concat_ws(" ", F.date_format("timestamp_utc", "yyyy-MM-dd HH:mm:ss"), "body_raw")
+    t.logs.select(line.alias("value"), "service_name").repartition(1).write.partitionBy("service_name").text(f"{path}/text")
+    obj = F.to_json(F.struct(F.col("body_raw").alias("msg"), F.col("severity").alias("Level"), "id"))
+    bad = t.logs.filter("severity >= 4").select(F.when(F.col("id") % 10 == 3, "[1, 2]").otherwise(obj).alias("value")).coalesce(1)
+    for copy in ("one", "two"):
+        bad.write.text(f"{path}/{copy}")
+    fs = t.spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(t.spark._jsc.hadoopConfiguration())
+    for copy in ("one", "two"):
+        for f in fs.listStatus(t.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{copy}")):
+            if f.getPath().getName().endswith(".txt"):
+                fs.rename(f.getPath(), t.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{copy}/part.jsonl"))
+    store = ingest.Store(t.spark, scratch_path(t.spark, "store"))
+    runs = [ingest.ingest_folder(t.spark, path, store, NOW, "org-1", "fast").withColumn("run", F.lit(i)) for i in (1, 2)]
+    return runs[0].unionByName(runs[1]).select("run", "files", "skipped", "lines", "events", "errors", "rejected")
 
 
 @query("write_and_read_logs", with_logs("SELECT CAST(timestamp_utc AS DATE)::VARCHAR AS event_date, count(*) AS rows FROM logs GROUP BY 1"))

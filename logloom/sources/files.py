@@ -37,22 +37,27 @@ def service_from_path(path: Column, root: str) -> Column:
     return F.when(plain.startswith(base), F.translate(F.lower(name), " -", "__")).otherwise("unknown")
 
 
-def discover(spark: SparkSession, root: str, max_bytes: int = fixed.MAX_FILE_BYTES) -> DataFrame:
-    """path, length, format and service of the log files under root. Hidden files and folders
-    and files above `max_bytes` (0 = no limit) are left out. File content is not read."""
-    found = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-             .select("path", "length"))
+def log_files(found: DataFrame, root: str, max_bytes: int = fixed.MAX_FILE_BYTES) -> DataFrame:
+    """path, length, format and service of the log files among (path, length). Hidden files and folders
+    and files above `max_bytes` (0 = no limit) are left out."""
     rest = F.substring(plain_path(F.col("path")), len(root.rstrip("/")) + 1, 1_000_000)
     keep = suffix_of(F.col("path")).isin(*fixed.LOG_SUFFIXES) & ~rest.rlike(r"/\.")
     if max_bytes > 0:
         keep = keep & (F.col("length") <= max_bytes)
     return (found.filter(keep).withColumn("format", format_of(F.col("path")))
-            .withColumn("service_name", service_from_path(F.col("path"), root)).orderBy("path"))
+            .withColumn("service_name", service_from_path(F.col("path"), root)))
+
+
+def discover(spark: SparkSession, root: str, max_bytes: int = fixed.MAX_FILE_BYTES) -> DataFrame:
+    """The log files under root, by path (see log_files). File content is not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    return log_files(found, root, max_bytes).orderBy("path")
 
 
 def file_hashes(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, length, SHA-256. A task holds one whole file, so keep the size cap of discover."""
-    return spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").load(paths).select(
+    """path, length, SHA-256 of the files that can be read whole; those that cannot have no row, which the ingest job
+    reports. A task holds one whole file, so keep the size cap of discover."""
+    return spark.read.format("binaryFile").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(paths).select(
         "path", "length", F.sha2("content", 256).alias("file_hash"))
 
 
@@ -64,7 +69,7 @@ def new_files(files: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """value, file_path for every line that is not blank. Bad bytes decode to the replacement mark."""
-    lines = spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").text(paths)
+    lines = spark.read.option("recursiveFileLookup", "true").text(paths)
     return lines.select(F.regexp_replace("value", r"[\r\n]+$", "").alias("value"),
                         decoded_path(F.col("_metadata.file_path")).alias("file_path")
                         ).filter(F.trim(F.regexp_replace("value", r"\s", "")) != "")
@@ -72,7 +77,7 @@ def read_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 def read_csv_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
     """fields (map header -> text), file_path. Files are read per distinct header line."""
-    first = (spark.read.option("ignoreCorruptFiles", "true").text(paths)
+    first = (spark.read.text(paths)
              .filter(F.col("_metadata.file_block_start") == 0)
              .select(F.col("_metadata.file_path").alias("p"), "value", F.monotonically_increasing_id().alias("n"))
              .groupBy("p").agg(F.min_by("value", "n").alias("header")))
@@ -82,8 +87,7 @@ def read_csv_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
         names = next(iter(_split_header(g.header)), [])
         cols = [f"c{i}" for i in range(len(names))]
         raw = (spark.read.schema(", ".join(f"{c} string" for c in cols))
-               .option("header", "true").option("enforceSchema", "true").option("escape", '"')
-               .option("ignoreCorruptFiles", "true").csv(g.paths))
+               .option("header", "true").option("enforceSchema", "true").option("escape", '"').csv(g.paths))
         unique = [(n, c) for i, (n, c) in enumerate(zip(names, cols)) if n not in names[:i]]
         part = raw.select(
             F.map_from_arrays(F.array(*[F.lit(n) for n, _ in unique]), F.array(*[F.col(c) for _, c in unique])).alias("fields"),

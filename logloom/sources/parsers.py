@@ -70,6 +70,12 @@ def json_rejects(lines: DataFrame) -> DataFrame:
     return lines.filter(_json_map(F.col("value")).isNull())
 
 
+def csv_rejects(rows: DataFrame) -> DataFrame:
+    """CSV rows without content."""
+    found = F.coalesce(*[F.nullif(F.try_element_at(F.col("fields"), F.lit(n)), F.lit("")) for n in fixed.CSV_MESSAGE])
+    return rows.filter(found.isNull())
+
+
 def parse_csv(rows: DataFrame, default_year: int | None = None) -> DataFrame:
     """fields (map header -> text) to the parsed columns; rows without content are dropped."""
     def get(names):

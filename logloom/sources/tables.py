@@ -58,6 +58,46 @@ def template_table(spark: SparkSession, path: str) -> VersionedTable:
     return VersionedTable(spark, path, TEMPLATE_SCHEMA)
 
 
+# --- batches that become visible in one step --------------------------------------------
+class BatchTables:
+    """Tables below one root whose rows come in batches: <table>/batch=<id>. A batch is seen by readers only once
+    its id stands in <root>/commits, one empty file that is made after all of its tables are written. A batch that
+    was interrupted anywhere before leaves nothing visible, and the run that repeats it replaces its folders."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _at(self, *parts: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def committed(self) -> list[str]:
+        """Ids only; the newest ones last by name."""
+        fs, where = self._at("commits")
+        return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+    def commit(self, batch: str) -> None:
+        fs, where = self._at("commits", batch)
+        fs.mkdirs(where.getParent())
+        fs.createNewFile(where)
+
+    def put(self, table: str, batch: str, rows: DataFrame, by: str | None = None) -> None:
+        writer = rows.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(f"{self.root}/{table}/batch={batch}")
+
+    def get(self, table: str, schema) -> DataFrame:
+        """Rows of all committed batches, with the id of their batch."""
+        folders = [f"{self.root}/{table}/batch={b}" for b in self.committed() if _exists(self.spark, f"{self.root}/{table}/batch={b}")]
+        if not folders:
+            return self.spark.createDataFrame([], schema).withColumn("batch", F.lit(None).cast("string"))
+        return self.spark.read.option("basePath", f"{self.root}/{table}").schema(schema).parquet(*folders).withColumn(
+            "batch", F.regexp_extract(F.col("_metadata.file_path"), "/batch=([^/]+)/", 1))
+
+    def clear(self, table: str) -> None:
+        fs, where = self._at(table)
+        fs.delete(where, True)
+
+
 # --- ledger of files taken in -----------------------------------------------------------
 def ledger_read(spark: SparkSession, path: str) -> DataFrame:
     if not _exists(spark, path):

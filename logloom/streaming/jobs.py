@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from logloom.functions.labels import extract_source, extract_target, is_auth_failure
 from logloom.functions.text import first_group, template_hash
-from logloom.operators.templates import mine_fast, templates_of, upsert_templates
-from logloom.sources import files, parsers
-from logloom.sources.ingest import Store, with_ids
+from logloom.session import materialize
+from logloom.sources import files
+from logloom.sources.ingest import Store, take_files
 from logloom.streaming.stateful import (WATERMARK, stream_bruteforce_events, stream_clusters, stream_recon_events,  # noqa: F401
                                         stream_update)
 from logloom import fixed
@@ -87,22 +87,20 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
                       F.lit("queued").alias("embedding_state"))
 
 
-def stream_ingest(spark: SparkSession, root: str, store: Store, checkpoint: str, now: dt.datetime, tenant: str):
-    """Continuous folder ingest of text files. The source log takes every file once; each batch
-    writes its own folder batch=N with overwrite, so a batch that runs again replaces itself."""
-    lines = (spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{log,txt}").text(root)
-             .select("value", files.decoded_path(F.col("_metadata.file_path")).alias("file_path")))
-    lines = lines.filter(F.trim("value") != "").withColumn("service_name", files.service_from_path(F.col("file_path"), root))
+def stream_ingest(spark: SparkSession, root: str, store: Store, checkpoint: str, now: dt.datetime, tenant: str, mode: str = "auto",
+                  max_bytes: int = fixed.MAX_FILE_BYTES):
+    """Continuous folder ingest of all formats. The source log lists every file once; each batch takes its files as
+    the folder job does: content hashes, ledger, rejects and rows become visible together, and a batch that runs
+    again after its commit finds its files in the ledger."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    listed = (spark.readStream.schema(schema).format("binaryFile").option("recursiveFileLookup", "true").load(root)
+              .select("path", "length"))
+    found = files.log_files(listed, root, max_bytes)
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        rows = parsers.normalize(parsers.parse_text(batch, now.year), now, tenant)
-        mined = mine_fast(with_ids(rows, f"stream-{batch_id}"))
-        path = f"{store.logs_path}/batch={batch_id}"
-        mined.withColumn("event_date", F.to_date("timestamp_utc")).write.mode("overwrite").partitionBy("event_date").parquet(path)
-        stored = spark.read.parquet(path)
-        store.templates.write(upsert_templates(store.templates.read(), templates_of(stored)))
-
-    return lines.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        take_files(spark, materialize(batch, "listed"), root, store, now, tenant, mode)
+
+    return found.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 def run_to_table(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> None:

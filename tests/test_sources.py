@@ -42,20 +42,22 @@ def test_discover(spark, tree):
 
 def test_folder_ingest_and_second_run(spark, tree):
     store = ingest.Store(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    stats = ingest.ingest_folder(spark, tree, store, NOW, max_bytes=4000).first()
-    assert (stats.files, stats.skipped, stats.events) == (5, 1, 5)
-    rows = {r.body_raw: r for r in tables.read_logs(spark, store.logs_path).collect()}
+    stats = ingest.ingest_folder(spark, tree, store, NOW, mode="fast", max_bytes=4000).first()
+    assert (stats.files, stats.skipped, stats.lines, stats.events, stats.errors, stats.rejected) == (5, 1, 8, 5, 0, 3)
+    assert sorted((os.path.basename(r.file_path), r.reason) for r in store.rejects().collect()) == [
+        ("data.csv", "no_content"), ("root-file.jsonl", "no_object"), ("root-file.jsonl", "no_object")]
+    rows = {r.body_raw: r for r in store.logs().collect()}
     assert rows["failed, again"].severity == 4 and rows["failed, again"].service_name == "core"
     assert rows["failed, again"].attributes == {"Pid": "77"} and rows["plain words"].severity == 3
     assert rows['{"msg": "hello", "level": "warn"}'].severity == 3
     assert len({r.id for r in rows.values()}) == 5
     assert store.templates.read().count() == stats.new_templates == 5
-    ledger = tables.ledger_list(tables.ledger_read(spark, store.ledger_path), "org-123")
+    ledger = tables.ledger_list(store.ledger(), "org-123")
     assert ledger.count() == 4 and ledger.agg(F.sum("events_inserted")).first()[0] == 5
     again = ingest.ingest_folder(spark, tree, store, NOW, max_bytes=4000).first()
     assert again.events == 0 and again.skipped == 5
-    tables.ledger_clear(spark, store.ledger_path)
-    assert tables.ledger_read(spark, store.ledger_path).count() == 0
+    store.clear_ledger()
+    assert store.ledger().count() == 0
 
 
 def test_chosen_files_must_be_under_root(spark, tree):
@@ -63,14 +65,94 @@ def test_chosen_files_must_be_under_root(spark, tree):
     with pytest.raises(ValueError):
         ingest.ingest_files(spark, tree, ["/etc/passwd.log"], store, NOW)
     ingest.ingest_files(spark, tree, [f"{tree}/web/other.csv"], store, NOW, service="special")
-    assert {r.service_name for r in tables.read_logs(spark, store.logs_path).collect()} == {"special"}
+    assert {r.service_name for r in store.logs().collect()} == {"special"}
+
+
+def contents(store):
+    logs = sorted(map(tuple, store.logs().select("id", "service_name", "body_raw", "template_hash").collect()), key=repr)
+    return (logs, sorted(map(tuple, store.templates.read().select("tenant_id", "service_name", "template_text", "first_seen_utc").collect()), key=repr),
+            sorted(map(tuple, store.ledger().select("file_hash", "lines_processed", "events_inserted").collect())),
+            sorted(map(tuple, store.rejects().select("value", "reason").collect()), key=repr))
+
+
+@pytest.mark.parametrize("stop_at", ["logs", "templates", "rejects", "ledger", "commit"])
+def test_a_stop_between_any_two_writes_and_a_rerun_leave_the_same_tables(spark, tree, monkeypatch, stop_at):
+    whole = ingest.Store(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    ingest.ingest_folder(spark, tree, whole, NOW, max_bytes=4000)
+    store = ingest.Store(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    put, commit = store.batches.put, store.batches.commit
 
+    def halting(table, *args, **kw):
+        put(table, *args, **kw)
+        if table == stop_at:
+            raise RuntimeError("stopped")
 
-def test_stream_ingest_takes_each_file_once(spark, tree):
+    def never(batch):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(store.batches, "put", halting)
+    if stop_at == "commit":
+        monkeypatch.setattr(store.batches, "commit", never)
+    with pytest.raises(RuntimeError):
+        ingest.ingest_folder(spark, tree, store, NOW, max_bytes=4000)
+    assert contents(store) == ([], [], [], [])
+    monkeypatch.setattr(store.batches, "put", put)
+    monkeypatch.setattr(store.batches, "commit", commit)
+    assert ingest.ingest_folder(spark, tree, store, NOW, max_bytes=4000).first().events == 5
+    assert contents(store) == contents(whole)
+
+
+def test_unreadable_files_are_reported(spark, tree, monkeypatch):
+    """One file is gone between the listing and the reading."""
+    store = ingest.Store(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    hashes = files.file_hashes
+    monkeypatch.setattr(files, "file_hashes", lambda s, paths: hashes(s, [p for p in paths if not p.endswith("other.csv")]))
+    stats = ingest.ingest_folder(spark, tree, store, NOW, max_bytes=4000).first()
+    assert (stats.files, stats.skipped, stats.errors, stats.events) == (5, 1, 1, 4)
+    lost = store.rejects().filter("reason = 'unreadable'").collect()
+    assert [os.path.basename(r.file_path) for r in lost] == ["other.csv"]
+    monkeypatch.setattr(files, "file_hashes", hashes)
+    assert ingest.ingest_folder(spark, tree, store, NOW, max_bytes=4000).first().events == 1
+
+
+def test_large_files_are_mined_fast(spark, tree, monkeypatch):
+    monkeypatch.setattr(ingest.fixed, "FAST_MODE_LINES", 1)
+    store = ingest.Store(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    with open(os.path.join(tree, "web", "big.log"), "w") as f:
+        f.write("".join(f"request {i} took {i} ms\n" for i in range(50)))
+    with open(os.path.join(tree, "web", "small.log"), "w") as f:
+        f.write("request 7 took 9 ms\n")
+    ingest.ingest_folder(spark, tree, store, NOW, max_bytes=4000)
+    got = {os.path.basename(r.file_path): r.template_text for r in store.logs().filter("body_raw like 'request%'").collect()}
+    assert got == {"big.log": "request <NUM> took <NUM> ms", "small.log": "request <*> took <*> ms"}
+
+
+def test_a_named_batch_of_events_is_taken_once(spark):
+    store = ingest.Store(spark, tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    events = spark.createDataFrame([("hello 1",), ("hello 2",)], "message string")
+    assert ingest.ingest_events(events, store, NOW, batch="b1").first().events == 2
+    assert ingest.ingest_events(events, store, NOW, batch="b1").first().events == 0
+    assert store.logs().count() == 2 and store.templates.read().count() == 1
+    ready = store.templates.read().withColumn("embedding_state", F.lit("ready"))
+    store.templates.write(ready)
+    ingest.ingest_events(events, store, NOW, batch="b2")
+    assert [r.embedding_state for r in store.templates.read().collect()] == ["ready"]
+
+
+def test_stream_ingest_takes_each_content_once(spark, tree):
+    """All formats; a second run adds nothing, and a file that comes later is taken then."""
     base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     store = ingest.Store(spark, base + "/store")
-    for _ in range(2):
-        jobs.stream_ingest(spark, tree, store, base + "/check", NOW, "org-1").start().awaitTermination()
-    rows = tables.read_logs(spark, store.logs_path)
-    assert rows.filter(F.col("body_raw").contains("ERROR code 500")).count() == 2  # two files, one row each
-    assert store.templates.read().count() >= 2
+
+    def run():
+        jobs.stream_ingest(spark, tree, store, base + "/check", NOW, "org-123", "fast", 4000).start().awaitTermination()
+
+    run()
+    folder = ingest.Store(spark, base + "/folder")
+    ingest.ingest_folder(spark, tree, folder, NOW, mode="fast", max_bytes=4000)
+    assert contents(store) == contents(folder)
+    run()
+    with open(os.path.join(tree, "web", "later.log"), "w") as f:
+        f.write("2024-01-16 10:30:00 INFO Later\n")
+    run()
+    assert store.logs().count() == folder.logs().count() + 1 and store.ledger().count() == folder.ledger().count() + 1
