@@ -93,6 +93,12 @@ SECURITY_WORDS = [
     "attack", "malicious", "intrusion", "unauthorized", "denied", "blocked", "violation",
     "exploit", "injection", "breach",
 ]
+# Words that mark a row as a threat when the threat model is tuned.
+THREAT_TRUTH_WORDS = [
+    "attack", "malicious", "unauthorized", "breach", "exploit", "injection", "xss", "csrf", "sql injection", "brute force",
+    "ddos", "dos", "flood", "intrusion", "vulnerability", "failed login", "authentication failed", "access denied",
+    "permission denied", "invalid password", "root", "sudo", "shell", "exec", "eval", "script", "../", "etc/passwd",
+]
 ANOMALY_WORDS = [
     "exception", "failed", "error", "crash", "timeout", "refused", "denied", "unauthorized", "invalid",
 ]

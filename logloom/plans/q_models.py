@@ -109,6 +109,30 @@ def _(t):
     return rounded(Z.roc_points(rows, "s", "y"), "threshold", "tpr", "fpr", "auc")
 
 
+ROC_SCORE = "(id % 101) / 101 * 0.6::DOUBLE + CASE WHEN service_name = c THEN 0.2::DOUBLE ELSE 0 END"
+
+
+@query("roc_one_vs_rest", more(f"""r AS (SELECT c, s, sum(y)::DOUBLE AS p, sum(1 - y)::DOUBLE AS n FROM (SELECT c, round(({ROC_SCORE}) * 1e9) AS s,
+  CASE WHEN service_name = c THEN 1 ELSE 0 END AS y FROM logs, (SELECT DISTINCT service_name AS c FROM logs)) GROUP BY c, s)""",
+ "q AS (SELECT c, s, p, n, sum(p) OVER w AS rp, sum(n) OVER w AS rn, sum(p) OVER a AS tp, sum(n) OVER a AS tn FROM r WINDOW w AS (PARTITION BY c ORDER BY s DESC), a AS (PARTITION BY c))") + """
+SELECT c AS class, count(*) AS points, round(max(rp / tp), 6) AS last_tpr, round(sum(n * (2 * rp - p) / (2 * tp * tn)), 6) AS auc FROM q GROUP BY c""")
+def _(t):
+    names = t.logs.select(F.col("service_name").alias("class")).distinct()
+    classes = F.array(*[F.lit(r["class"]) for r in names.orderBy("class").collect()])  # the classes of a model
+    rows = t.wide_logs.select("id", "service_name", F.explode(classes).alias("class")).select(
+        "class", (F.col("service_name") == F.col("class")).cast("int").alias("y"),
+        ((F.col("id") % 101) / 101 * 0.6 + F.when(F.col("service_name") == F.col("class"), 0.2).otherwise(0.0)).alias("s"))
+    points = Z.roc_points(rows, "s", "y", by=["class"])
+    return rounded(points.groupBy("class").agg(F.count(F.lit(1)).alias("points"), F.max("tpr").alias("last_tpr"), F.first("auc").alias("auc")), "last_tpr", "auc")
+
+
+@query("tune_threats")
+def _(t):
+    # the log view's own words for attacks
+    table, _ = Z.tune_threats(t.wide_logs, ["union select", "failed password", "refused"])
+    return rounded(table, "train_auc", "train_accuracy", "validation_auc", "validation_accuracy")
+
+
 @query("category_from_severity", with_logs(f"""
 SELECT id, CASE WHEN severity >= 4 THEN 'error' WHEN severity = 3 THEN 'warning' WHEN {sql_any('lower(body_raw)', ['security', 'attack'])} THEN 'security' ELSE 'normal' END AS category,
  {sql_case(fixed.TEXT_DOMAIN_WORDS, 'application', 'lower(body_raw)')} AS domain, round((0.8::DOUBLE + 0.6::DOUBLE + 0.8::DOUBLE) / 3, 6) AS mean_confidence FROM logs"""))
