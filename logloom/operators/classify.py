@@ -11,7 +11,8 @@ from logloom.operators.svm import svm_fit, svm_predict
 from logloom.operators.tfidf import term_counts, tfidf_fit, tfidf_transform  # noqa: F401
 from logloom.session import materialize
 
-MAX_CLASSES = 1000
+#: Classes whose scores are summed together.
+CLASS_BLOCK = 200
 
 
 def nb_fit(weights: DataFrame, labels: DataFrame, vocabulary: DataFrame, key: str, label: str, alpha: float = 1.0
@@ -30,20 +31,24 @@ def nb_fit(weights: DataFrame, labels: DataFrame, vocabulary: DataFrame, key: st
 
 
 def nb_predict(docs: DataFrame, weights: DataFrame, model: tuple[DataFrame, DataFrame], key: str) -> DataFrame:
-    """key, label, confidence, probabilities for every document."""
+    """key, label, confidence, probabilities for every document. The gains of CLASS_BLOCK classes at a time are one
+    table with a row per term (at most MAX_FEATURES), which is broadcast; the weights of a document are summed once
+    per block, for all its classes together."""
     classes, terms = model
-    rows = classes.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    spec = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.log_prior).alias("p"), F.lit(r.log_default).alias("d"))
-                     for r in sorted(rows, key=lambda r: r.label)])
-    total = weights.groupBy(key).agg(F.sum("weight").alias("_w"))
-    # the terms table is bounded by MAX_CLASSES * MAX_FEATURES rows; Spark broadcasts it when it is small
-    gains = weights.join(terms, "term").groupBy(key, "label").agg(F.sum(F.col("weight") * F.col("gain")).alias("_g"))
-    per_doc = gains.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("label", "_g"))).alias("_m"))
-    scored = docs.select(key).join(total, key, "left").join(per_doc, key, "left").withColumn("_s", F.transform(
-        spec, lambda c: F.struct((c["p"] + F.coalesce(F.col("_w"), F.lit(0.0)) * c["d"] + F.coalesce(
-            F.try_element_at(F.col("_m"), c["label"]), F.lit(0.0))).alias("s"), c["label"].alias("label"))))
+    spec = sorted(classes.collect(), key=lambda r: r.label)  # one row per class
+    scored, entries = docs.select(key), []
+    for start in range(0, len(spec), CLASS_BLOCK):
+        block = spec[start:start + CLASS_BLOCK]
+        columns = [f"_g{start + i}" for i in range(len(block))]
+        per_term = terms.filter(F.col("label").isin([r.label for r in block])).groupBy("term").pivot(
+            "label", [r.label for r in block]).agg(F.sum("gain")).toDF("term", *columns)
+        w = F.col("weight")
+        sums = weights.join(F.broadcast(per_term), "term", "left").groupBy(key).agg(F.sum(w).alias(f"_w{start}"), *[
+            F.sum(w * F.coalesce(c, F.lit(0.0))).alias(c) for c in columns])
+        scored = scored.join(sums, key, "left")
+        entries += [F.struct((F.lit(r.log_prior) + F.coalesce(f"_w{start}", F.lit(0.0)) * F.lit(r.log_default) + F.coalesce(c, F.lit(0.0))).alias("s"),
+                             F.lit(r.label).alias("label")) for r, c in zip(block, columns)]
+    scored = scored.select(key, F.array(*entries).alias("_s"))
     scored = scored.withColumn("_top", F.array_max(F.transform("_s", lambda e: e["s"])))
     scored = scored.withColumn("_z", F.aggregate("_s", F.lit(0.0), lambda a, e: a + F.exp(e["s"] - F.col("_top"))))
     probs = F.map_from_entries(F.transform("_s", lambda e: F.struct(

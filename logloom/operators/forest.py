@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from logloom.functions.labels import model_severity_name
 from logloom.operators.anomaly import anomaly_type, contributing_factors
 from logloom.scale import top_n
+from logloom.session import materialize
 
 EULER = 0.5772156649
 NODE_SCHEMA = ("tree int, node int, feature int, threshold double, left int, right int, size int, depth int")
@@ -52,9 +53,9 @@ def _build(sample: np.ndarray, max_depth: int, rng) -> list[tuple]:
     return nodes
 
 
-def forest_fit(df: DataFrame, columns: list[str], key: str = "id", n_trees: int = 100, sample_size: int = 256,
-               contamination: float = 0.1, seed: int = 42) -> ForestModel:
-    """Fits on hash-chosen samples, so the result does not depend on partitioning. Rows first pass
+def forest_grow(df: DataFrame, columns: list[str], key: str = "id", n_trees: int = 100, sample_size: int = 256,
+                seed: int = 42) -> ForestModel:
+    """A model without a threshold. Trees grow on hash-chosen samples, so the result does not depend on partitioning. Rows first pass
     one coarse hash filter; every tree then takes the `sample_size` rows lowest by its own hash."""
     stats = df.agg(F.count(F.lit(1)).alias("n"), *[x for c in columns for x in (
         F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
@@ -83,10 +84,23 @@ def forest_fit(df: DataFrame, columns: list[str], key: str = "id", n_trees: int
         return out
 
     nodes = samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()  # bounded by the tree sizes
-    model = ForestModel(nodes, columns, means, stds, size)
-    scored = forest_score(df, model)
+    return ForestModel(nodes, columns, means, stds, size)
+
+
+def forest_fit_score(df: DataFrame, columns: list[str], key: str = "id", n_trees: int = 100, sample_size: int = 256,
+                     contamination: float = 0.1, seed: int = 42) -> tuple[ForestModel, DataFrame]:
+    """The model with the threshold that calls the share `contamination` of the rows anomalies, and the scored rows
+    that the threshold was taken from: each row is scored once."""
+    model = forest_grow(df, columns, key, n_trees, sample_size, seed)
+    scored = materialize(forest_score(df, model), "forest-scores")
     model.threshold = scored.agg(F.percentile_approx("anomaly_score", 1 - contamination, 10_000)).first()[0]
-    return model
+    return model, scored.withColumn("is_anomaly", F.col("anomaly_score") > model.threshold)
+
+
+def forest_fit(df: DataFrame, columns: list[str], key: str = "id", n_trees: int = 100, sample_size: int = 256,
+               contamination: float = 0.1, seed: int = 42) -> ForestModel:
+    """forest_fit_score without the scored rows."""
+    return forest_fit_score(df.select(key, *columns), columns, key, n_trees, sample_size, contamination, seed)[0]
 
 
 def forest_score(df: DataFrame, model: ForestModel, strict: bool = False) -> DataFrame:
@@ -122,7 +136,12 @@ def forest_score(df: DataFrame, model: ForestModel, strict: bool = False) -> Dat
 
 def detect_anomalies(logs: DataFrame, features: DataFrame, model: ForestModel, key: str = "id") -> DataFrame:
     """Log rows with score, flag, type, confidence, explanation code and contributing factors."""
-    scored = forest_score(features, model).select(key, "anomaly_score", "is_anomaly")
+    return explained(logs, forest_score(features, model), key)
+
+
+def explained(logs: DataFrame, scored: DataFrame, key: str = "id") -> DataFrame:
+    """detect_anomalies for rows that are scored already (key, anomaly_score, is_anomaly)."""
+    scored = scored.select(key, "anomaly_score", "is_anomaly")
     name = model_severity_name(F.col("severity"))
     rows = logs.join(scored, key)
     kind = anomaly_type(name, F.col("body_raw"))

@@ -207,8 +207,8 @@ def train_behavioural(logs: DataFrame, contamination: float = 0.05, trees: int =
     feats = with_columns(logs, behaviour_features(F.col("body_raw")))
     feats = feats.withColumn("_level", F.col("severity").cast("double")).withColumn("_len", F.length("body_raw") / 100.0)
     names = fixed.BEHAVIOUR_FEATURES
-    outliers = forest.forest_fit(feats, names + ["_level", "_len"], n_trees=trees, contamination=contamination, seed=seed)
-    marked = forest.forest_score(feats, outliers).withColumn("label", F.col("is_anomaly").cast("double"))
+    _, marked = forest.forest_fit_score(feats, names + ["_level", "_len"], n_trees=trees, contamination=contamination, seed=seed)
+    marked = marked.withColumn("label", F.col("is_anomaly").cast("double"))
     share = marked.agg(F.avg("label")).first()[0] or 0.5
     share = min(max(share, 1e-6), 1 - 1e-6)
     marked = marked.withColumn("weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -14,10 +13,11 @@ from pyspark.sql import functions as F
 from logloom.functions.text import log_tokens, word_ngrams
 from logloom.operators.logs import newest, sample_logs, template_count
 from logloom.scale import top_n
+from logloom.session import materialize
 from logloom.schema import TEMPLATE_KEY
 
-QUERIES_PER_BLOCK = 4_096
-VECTORS_PER_BLOCK = 200_000
+#: Queries of one pass over the vectors: rows, and bytes as doubles.
+QUERIES_PER_CHUNK, QUERY_BYTES = 4_096, 32 << 20
 
 
 def same_dimension(vectors: DataFrame, dimension: int, column: str = "vector") -> DataFrame:
@@ -50,50 +50,53 @@ def _best(ids: np.ndarray, q_ids: np.ndarray, sims: np.ndarray, k: int) -> pd.Da
     return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
 
 
+def _chunks(queries: DataFrame, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Queries as (ids, unit vectors), at most `rows` and QUERY_BYTES at a time; the driver holds one such part."""
+    ids, vectors, size = [], [], None
+    for r in queries.toLocalIterator():
+        if r.vector is None:
+            continue
+        if size is None:
+            size = len(r.vector)
+        elif len(r.vector) != size:
+            raise ValueError(f"vector dimension {len(r.vector)} among queries of {size}")
+        ids.append(r.query_id)
+        vectors.append(np.array(r.vector, np.float64))
+        if len(ids) >= rows or len(ids) * size * 8 >= QUERY_BYTES:
+            yield np.array(ids), _unit(np.stack(vectors))
+            ids, vectors = [], []
+    if ids:
+        yield np.array(ids), _unit(np.stack(vectors))
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", column: str = "vector",
-                broadcast_limit: int = QUERIES_PER_BLOCK) -> DataFrame:
+                broadcast_limit: int = QUERIES_PER_CHUNK) -> DataFrame:
     """query_id, <key>, score, rank: exact cosine top-k of every query (query_id, vector).
 
-    Each Arrow batch of vectors keeps its k best per query, so pairs are never emitted. Up to
-    `broadcast_limit` queries travel with the task; more are cut into blocks, vectors likewise,
-    and each task multiplies one block pair."""
+    Queries go in parts of bounded bytes, of at most `broadcast_limit`; each part is one pass over the vectors where
+    they lie. An Arrow batch of vectors keeps its k best per query, so pairs are never emitted, and the answer
+    of a part is written before the next one starts. Vectors and queries of another dimension are an error; null
+    ones take no part."""
+    spark = vectors.sparkSession
     q = queries.select("query_id", "vector")
-    v = vectors.select(F.col(key).alias("vec_id"), F.col(column).alias("vector"))
-    n_queries = q.limit(broadcast_limit + 1).count()
-    schema = "query_id long, vec_id long, score double"
-    if n_queries == 0:
-        best = q.sparkSession.createDataFrame([], schema)
-    elif n_queries <= broadcast_limit:
-        rows = q.orderBy("query_id").collect()
-        q_ids = np.array([r.query_id for r in rows])
-        mat = _unit(np.array([r.vector for r in rows], dtype=np.float64))
-        v = same_dimension(v, mat.shape[1])
-
-        def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    v = vectors.select(F.col(key).alias("vec_id"), F.col(column).alias("vector")).filter("vector IS NOT NULL")
+    out = None
+    for q_ids, mat in _chunks(q, broadcast_limit):
+        shared = spark.sparkContext.broadcast((q_ids, mat))
+
+        def local(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, right = shared.value
             for b in batches:
                 if len(b):
-                    m = _unit(np.stack(b["vector"].to_numpy()).astype(np.float64))
-                    yield _best(b["vec_id"].to_numpy(), q_ids, m @ mat.T, k)
-
-        best = v.mapInPandas(local, schema)
-    else:
-        qb = math.ceil(q.count() / (broadcast_limit / 2))
-        vb = math.ceil(max(v.count(), 1) / VECTORS_PER_BLOCK)
-        left = v.withColumn("_vb", F.pmod(F.xxhash64("vec_id"), F.lit(vb))).withColumn(
-            "_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)).cast("array<long>")))
-        right = q.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(qb))).withColumn(
-            "_vb", F.explode(F.sequence(F.lit(0), F.lit(vb - 1)).cast("array<long>")))
-
-        def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-            sims = _unit(np.stack(a["vector"].to_numpy()).astype(np.float64)) @ _unit(
-                np.stack(b["vector"].to_numpy()).astype(np.float64)).T
-            return _best(a["vec_id"].to_numpy(), b["query_id"].to_numpy(), sims, k)
-
-        best = left.groupBy("_vb", "_qb").cogroup(right.groupBy("_vb", "_qb")).applyInPandas(block, schema)
-    ranked = top_n(best, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k, "rank")
-    return ranked.withColumnRenamed("vec_id", key) if key != "vec_id" else ranked
+                    yield _best(b["vec_id"].to_numpy(), ids, _unit(np.stack(b["vector"].to_numpy()).astype(np.float64)) @ right.T, k)
+
+        best = same_dimension(v, mat.shape[1]).mapInPandas(local, "query_id long, vec_id long, score double")
+        ranked = materialize(top_n(best, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k, "rank"), "vector-topk")
+        shared.unpersist()
+        out = ranked if out is None else out.unionByName(ranked)
+    if out is None:
+        out = spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    return out.withColumnRenamed("vec_id", key) if key != "vec_id" else out
 
 
 def hashed_embedding(text: Column, dimension: int = 64) -> Column:

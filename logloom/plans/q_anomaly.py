@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from logloom import fixed
@@ -164,15 +166,39 @@ def _forest(t):
     return f, forest.forest_fit(f, A.FOREST_COLUMNS)
 
 
+def _scored(t):
+    f = materialize(A.frequency_features(t.wide_logs), "features")
+    return forest.forest_fit_score(f, A.FOREST_COLUMNS)[1]
+
+
 @query("forest_score")
 def _(t):
-    f, model = _forest(t)
-    return forest.forest_score(f, model).select("id", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly")
+    return _scored(t).select("id", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly")
 
 
 @query("detect_anomalies")
 def _(t):
-    f, model = _forest(t)
-    return forest.detect_anomalies(t.logs, f, model).select(
+    return forest.explained(t.logs, _scored(t)).select(
         "id", "is_anomaly", F.round("anomaly_score", 6).alias("anomaly_score"), "anomaly_type",
         F.round("anomaly_confidence", 6).alias("anomaly_confidence"), F.size("factors").alias("factors"))
+
+
+#: Two small trees over severity and length of the message: tree, node, feature, threshold, left, right, size, depth.
+GIVEN_TREES = [(0, 0, 0, 2.5, 1, 2, 256, 0), (0, 1, -1, 0.0, -1, -1, 120, 1), (0, 2, 1, 60.0, 3, 4, 136, 1), (0, 3, -1, 0.0, -1, -1, 30, 2),
+               (0, 4, -1, 0.0, -1, -1, 1, 2), (1, 0, 1, 40.0, 1, 2, 256, 0), (1, 1, 0, 1.0, 3, 4, 166, 1), (1, 2, -1, 0.0, -1, -1, 90, 1),
+               (1, 3, -1, 0.0, -1, -1, 64, 2), (1, 4, -1, 0.0, -1, -1, 2, 2)]
+GIVEN_SQL = ["gn AS (SELECT * FROM (VALUES " + ", ".join(map(str, GIVEN_TREES)) + ") v(tree, node, feature, threshold, l, r, size, depth))",
+             """wk AS (SELECT id, tree, 0 AS node, severity, length(body_raw) AS n FROM logs, (SELECT DISTINCT tree FROM gn)
+ UNION ALL SELECT id, wk.tree, CASE WHEN CASE feature WHEN 0 THEN severity ELSE n END < threshold THEN l ELSE r END, severity, n
+ FROM wk JOIN gn ON gn.tree = wk.tree AND gn.node = wk.node WHERE feature >= 0)""",
+             "pl AS (SELECT s, CASE WHEN s <= 1 THEN 0 ELSE 2 * (ln(greatest(s, 2) - 1) + 0.5772156649::DOUBLE) - 2 * (greatest(s, 2) - 1) / greatest(s, 2)::DOUBLE END AS c FROM (SELECT size AS s FROM gn UNION SELECT 256))",
+             """gs AS (SELECT id, power(2, -avg(depth + c) / (SELECT c FROM pl WHERE s = 256)) AS score FROM wk JOIN gn ON gn.tree = wk.tree AND gn.node = wk.node
+ JOIN pl ON pl.s = size WHERE feature < 0 GROUP BY id)"""]
+
+
+@query("forest_score_given", more(*GIVEN_SQL) + "SELECT id, round(score, 6) AS anomaly_score, score > 0.45 AS is_anomaly FROM gs")
+def _(t):
+    nodes = pd.DataFrame(GIVEN_TREES, columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth"])
+    model = forest.ForestModel(nodes, ["severity", "_len"], np.zeros(2), np.ones(2), 256, 0.45)
+    rows = t.wide_logs.withColumn("_len", F.length("body_raw"))
+    return forest.forest_score(rows, model).select("id", F.round("anomaly_score", 6).alias("anomaly_score"), "is_anomaly")
