@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from logloom.llm.common import with_row_id
 from logloom.scale import exact_quantiles
-from logloom.session import materialize
+from logloom.session import discard, materialize
 
 ORDER = 5
 #: Share of the trusted documents of a language that its threshold keeps.
 QUANTILE = 0.97
 #: Rows of a file whose n-grams are looked up together.
 CHUNK_ROWS = 4096
+#: Distinct n-grams that a task holds at most.
+HELD_GRAMS = 500_000
 START, END = "\x02", "\x03"
 
 
@@ -29,37 +31,32 @@ def plain_words(text: str | None) -> list[str]:
     return (text or "").split()
 
 
-def grams_of(word: str, order: int) -> Iterator[str]:
-    """What the highest order counts: all n-grams of full length, and shorter ones at the start."""
-    for end in range(2, len(word) + 1):
-        yield word[max(0, end - order):end]
+def running(text: str | None, order: int = ORDER) -> str:
+    """The text as the model reads it: its words with single blanks, start marks before and an end mark behind it.
+    Empty without words."""
+    words = plain_words(text)
+    return START * (order - 1) + " ".join(words) + END if words else ""
 
 
-def needed_grams(word: str, order: int) -> Iterator[str]:
-    """Every n-gram and context that the probability of a word may ask for."""
-    for end in range(1, len(word) + 1):
-        for begin in range(max(0, end - order), end):
-            yield word[begin:end]
+def grams_of(marked: str, order: int) -> list[str]:
+    """The n-gram that ends at each character, in the order of the text."""
+    return [marked[i:i + order] for i in range(len(marked) - order + 1)]
 
 
 def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n): summed in the tasks first, so that the shuffle carries distinct n-grams."""
+    """(gram, n) of the running texts: summed in the tasks first, so that the shuffle carries distinct n-grams."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: Counter = Counter()
+        grams: Counter = Counter()
 
         def out() -> pd.DataFrame:
-            grams: Counter = Counter()
-            for w, n in words.items():
-                for g in grams_of(START + w + END, order):
-                    grams[g] += n
             return pd.DataFrame({"gram": pd.Series(list(grams), dtype=object), "n": list(grams.values())})
 
         for batch in batches:
             for text in batch["text"]:
-                words.update(plain_words(text))
-                if len(words) > 200_000:
+                grams.update(grams_of(running(text, order), order))
+                if len(grams) > HELD_GRAMS:
                     yield out()
-                    words.clear()
+                    grams.clear()
         yield out()
 
     return texts.mapInPandas(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -79,15 +76,11 @@ def _discounts(table: DataFrame) -> list[float]:
 def fit(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, p, gamma): the interpolated probability of the last character of each n-gram, and the
     weight that it leaves to shorter contexts where it is a context itself. Lower orders count the
-    distinct characters before an n-gram instead of its occurrences, but for n-grams at the start of
-    a word, which nothing precedes. All counts come from joins of n-gram tables dealt by hash."""
-    counts = materialize(gram_counts(texts, order), "grams")
-    at_start = F.col("gram").startswith(START)
-    levels = {order: counts.filter(F.length("gram") == order)}
+    distinct characters before an n-gram instead of its occurrences. All counts come from joins of n-gram tables
+    dealt by hash; n-grams run across the borders of words."""
+    levels = {order: materialize(gram_counts(texts, order), "grams")}
     for n in range(order - 1, 0, -1):
-        follow = levels[n + 1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-        first = counts.filter(at_start & (F.length("gram") == n)) if n > 1 else None
-        levels[n] = materialize(follow.unionByName(first) if first is not None else follow, f"grams-{n}")
+        levels[n] = materialize(levels[n + 1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"grams-{n}")
     symbols = levels[1].count() + 1
     below, probs, gammas = None, [], []
     for n in range(1, order + 1):
@@ -108,21 +101,23 @@ def fit(texts: DataFrame, order: int = ORDER) -> DataFrame:
     p, g = probs[0], gammas[0]
     for more_p, more_g in zip(probs[1:], gammas[1:]):
         p, g = p.unionByName(more_p), g.unionByName(more_g)
-    return materialize(p.join(g, "gram", "full"), "model")
+    model = materialize(p.join(g, "gram", "full"), "model")
+    discard(*levels.values(), *probs)
+    return model
 
 
-def log_probability(word: str, known: dict[str, tuple[float, float]], unseen: float, order: int = ORDER) -> float:
-    """Natural log-probability of all characters after the start mark. `known` has (p, gamma) by
-    n-gram, with nan for what is missing; `unseen` is the probability of a new character."""
+def log_probability(marked: str, known: dict[str, tuple[float, float]], unseen: float, order: int = ORDER) -> float:
+    """Natural log-probability of all characters after the start marks, from a small model in memory. `known` has
+    (p, gamma) by n-gram, with nan for what is missing; `unseen` is the probability of a new character."""
     total = 0.0
-    for end in range(2, len(word) + 1):
+    for end in range(order, len(marked) + 1):
         weight = 1.0
-        for begin in range(max(0, end - order), end):
-            p = known.get(word[begin:end], _NONE)[0]
+        for begin in range(end - order, end):
+            p = known.get(marked[begin:end], _NONE)[0]
             if p == p:
                 total += math.log(weight * p)
                 break
-            gamma = known.get(word[begin:end - 1], _NONE)[1]
+            gamma = known.get(marked[begin:end - 1], _NONE)[1]
             if gamma == gamma:
                 weight *= gamma
         else:
@@ -133,55 +128,67 @@ def log_probability(word: str, known: dict[str, tuple[float, float]], unseen: fl
 _NONE = (math.nan, math.nan)
 
 
+def resolved(grams: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, logp) of distinct n-grams of the highest order: their own probability where the model has it, else that
+    of the next shorter one times what the context leaves to it. The probability of a new character is what the
+    empty context leaves to one symbol. Each length is one join over its distinct n-grams."""
+    empty = model.filter("gram = ''").first()
+    symbols = model.filter(F.length("gram") == 1).filter("p is not null").count() + 1
+    unseen = (empty["gamma"] if empty and empty["gamma"] is not None else 1.0) / symbols
+    p = model.filter("p is not null").select("gram", "p")
+    gamma = model.filter("gamma is not null").select(F.col("gram").alias("ctx"), "gamma")
+    below = None
+    for n in range(1, order + 1):
+        here = grams.select(F.expr(f"substring(gram, {order - n + 1})").alias("gram")).distinct()
+        joined = here.join(p.filter(F.length("gram") == n), "gram", "left")
+        if below is None:
+            below = joined.select("gram", F.coalesce("p", F.lit(unseen)).alias("q"))
+            continue
+        joined = joined.withColumns({"ctx": F.expr(f"substring(gram, 1, {n - 1})"), "rest": F.expr("substring(gram, 2)")})
+        joined = joined.join(gamma.filter(F.length("ctx") == n - 1), "ctx", "left").join(below.withColumnRenamed("gram", "rest"), "rest")
+        below = joined.select("gram", F.coalesce("p", F.coalesce("gamma", F.lit(1.0)) * F.col("q")).alias("q"))
+    return below.select("gram", F.log("q").alias("logp"))
+
+
 def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, text_col: str = "text") -> DataFrame:
-    """(_f, _r, perplexity) per document: of its characters and word ends; null without words.
+    """(_f, _r, perplexity) per document: of the characters of its running text and its end; null without words.
 
-    Documents are taken in chunks of neighbouring rows. Each chunk's distinct n-grams are joined with
-    the model, and the answers meet the chunk again; neither the model nor a chunk's table is ever
-    broadcast. The probability of a new character is what the empty context leaves to one symbol."""
+    Documents are taken in chunks of neighbouring rows. The distinct n-grams of all chunks meet the model once, and
+    the answers meet their chunks again; neither the model nor a chunk's table is ever broadcast."""
     rows = with_row_id(docs.select(text_col)).select(
         "_f", "_r", F.col(text_col).cast("string").alias("text"), F.floor(F.col("_r") / CHUNK_ROWS).cast("long").alias("_c"))
+    rows = rows.select("_f", "_r", "text", F.xxhash64("_f", "_c").alias("_c"))
 
     def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, set] = {}
+        held: set = set()
+        chunk = None
 
-        def out() -> Iterator[pd.DataFrame]:
-            for (f, c), words in held.items():
-                grams = {g for w in words for g in needed_grams(START + w + END, order)}
-                yield pd.DataFrame({"_f": f, "_c": c, "gram": pd.Series(list(grams), dtype=object)})
-            held.clear()
+        def out() -> pd.DataFrame:
+            return pd.DataFrame({"_c": chunk, "gram": pd.Series(list(held), dtype=object)})
 
         for batch in batches:
-            for (f, c), part in batch.groupby(["_f", "_c"]):
-                if (f, c) not in held:
-                    yield from out()
-                words = held.setdefault((f, c), set())
-                for text in part["text"]:
-                    words.update(plain_words(text))
-        yield from out()
-
-    asked = rows.mapInPandas(wanted, "_f long, _c long, gram string")
-    answers = asked.join(model, "gram")
-    empty = model.filter("gram = ''").first()
-    symbols = model.filter(F.length("gram") == 1).filter("p is not null").count() + 1
-    unseen = (empty["gamma"] if empty and empty["gamma"] is not None else 1.0) / symbols
+            for c, text in zip(batch["_c"], batch["text"]):
+                if held and (c != chunk or len(held) > HELD_GRAMS):
+                    yield out()
+                    held.clear()
+                chunk = c
+                held.update(grams_of(running(text, order), order))
+        if held:
+            yield out()
+
+    asked = materialize(rows.mapInPandas(wanted, "_c long, gram string"), "asked")
+    answers = asked.join(materialize(resolved(asked.select("gram").distinct(), model, order), "resolved"), "gram")
 
     def score(docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        known = dict(zip(table["gram"], zip(table["p"], table["gamma"])))
-        of: dict[str, float] = {}
+        known = dict(zip(table["gram"], table["logp"]))
         out = []
         for text in docs["text"]:
-            total, size = 0.0, 0
-            for w, n in Counter(plain_words(text)).items():
-                if w not in of:
-                    of[w] = log_probability(START + w + END, known, unseen, order)
-                total += n * of[w]
-                size += n * (len(w) + 1)
-            out.append(math.exp(min(700.0, -total / size)) if size else None)
+            grams = grams_of(running(text, order), order)
+            total = math.fsum(map(known.__getitem__, grams))
+            out.append(math.exp(min(700.0, -total / len(grams))) if grams else None)
         return pd.DataFrame({"_f": docs["_f"], "_r": docs["_r"], "perplexity": pd.Series(out, dtype="float64")})
 
-    scored = rows.groupBy("_f", "_c").cogroup(answers.groupBy("_f", "_c")).applyInPandas(
-        score, "_f long, _r long, perplexity double")
+    scored = rows.groupBy("_c").cogroup(answers.groupBy("_c")).applyInPandas(score, "_f long, _r long, perplexity double")
     return scored.withColumn("perplexity", F.when(~F.isnan("perplexity"), F.col("perplexity")))
 
 

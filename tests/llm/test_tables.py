@@ -1,5 +1,6 @@
 """The operators on small tables: brute force, nulls, empty and repeated rows, clashing names."""
 
+import math
 import random
 import zlib
 
@@ -223,10 +224,30 @@ def test_quality_model_against_a_plain_one(spark, tmp_path):
         for k in range(len(ctx) + 1):
             unseen *= known[ctx[k:]][1]
         assert abs(total + unseen - 1) < 1e-9
+    found = [r["perplexity"] for r in quality.perplexities(docs, quality.fit(docs.filter("doc_id < 40").select("text"), 3), 3).collect()]
+    texts = [t for _, t, _ in rows]
+    unseen = 1 / (len(chars) + 1)  # the weight of the empty context is counted on the way
+    plain = []
+    for t in texts:
+        marked = quality.running(t, 3)
+        plain.append(math.exp(-quality.log_probability(marked, known, unseen, 3) / (len(marked) - 2)) if marked else None)
+    assert sorted(x for x in found if x is not None) == pytest.approx(sorted(x for x in plain if x is not None), rel=1e-9) and sum(x is None for x in found) == 2
     none = quality.judge(docs, spark.createDataFrame([], "doc_id long"))
     assert none.filter("kept").count() == 0 and quality.judge(docs.limit(0), spark.createDataFrame([(1,)], "doc_id long")).count() == 0
 
 
+def test_quality_sees_repeated_words_and_long_texts(spark, tmp_path):
+    """A good text whose words are repeated or run together backwards is told from the text itself."""
+    rng = random.Random(9)
+    words = ["the", "river", "ran", "down", "to", "sea", "and", "slowly", "past", "hills"]
+    good = [" ".join(words[(i + j) % 10] for j in range(40)) for i in range(10) for _ in range(3)]
+    mixed = " ".join(rng.sample(words * 4, 40))
+    rows = [(i, t, "en") for i, t in enumerate(good)] + [(100, "the " * 40, "en"), (101, mixed, "en"), (102, good[0], "en"), (103, good[0] + " and " + good[0] * 300, "en")]
+    out = {r["doc_id"]: r for r in quality.judge(table(spark, tmp_path, rows), spark.createDataFrame([(i,) for i in range(30)], "doc_id long")).collect()}
+    assert not out[100]["kept"] and not out[101]["kept"] and out[102]["kept"]
+    assert out[100]["perplexity"] > 2 * out[102]["perplexity"] and out[103]["perplexity"] < 2 * out[102]["perplexity"]
+
+
 def _p(known, ctx, c):
     weight = 1.0
     for k in range(len(ctx) + 1):
