@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +19,11 @@ ORDER = 5
 #: Share of the trusted documents of a language that its threshold keeps.
 QUANTILE = 0.97
 #: Rows of a file whose n-grams are looked up together.
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 2048
 #: Distinct n-grams that a task holds at most.
 HELD_GRAMS = 500_000
+#: Characters that are looked at together.
+HELD_CHARS = 2_000_000
 START, END = "\x02", "\x03"
 
 
@@ -43,6 +46,38 @@ def grams_of(marked: str, order: int) -> list[str]:
     return [marked[i:i + order] for i in range(len(marked) - order + 1)]
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def hashed_grams(marked: list[str], order: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all n-grams of the texts together: the texts joined, where in them each n-gram starts, its 64-bit hash, and how
+    many n-grams each text has. Texts are empty or have at least `order` characters."""
+    whole = "".join(marked)
+    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    counts = np.maximum(sizes - order + 1, 0)
+    firsts = np.cumsum(sizes) - sizes
+    at = np.repeat(firsts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    h = np.zeros(max(len(codes) - order + 1, 0), np.uint64)
+    for k in range(order):
+        h = (h ^ codes[k:k + len(h)]) * _MIX
+        h ^= h >> np.uint64(29)
+    return whole, at, h[at].view(np.int64), counts
+
+
+def _parts(texts: Iterable[str | None], order: int) -> Iterator[list[str]]:
+    """Running texts, about HELD_CHARS at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(running(text, order))
+        size += len(held[-1])
+        if size >= HELD_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, n) of the running texts: summed in the tasks first, so that the shuffle carries distinct n-grams."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,8 +87,11 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
             return pd.DataFrame({"gram": pd.Series(list(grams), dtype=object), "n": list(grams.values())})
 
         for batch in batches:
-            for text in batch["text"]:
-                grams.update(grams_of(running(text, order), order))
+            for part in _parts(batch["text"], order):
+                whole, at, h, _ = hashed_grams(part, order)
+                _, first, n = np.unique(h, return_index=True, return_counts=True)
+                for i, k in zip(at[first].tolist(), n.tolist()):
+                    grams[whole[i:i + order]] += k
                 if len(grams) > HELD_GRAMS:
                     yield out()
                     grams.clear()
@@ -160,33 +198,33 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, text_col
     rows = rows.select("_f", "_r", "text", F.xxhash64("_f", "_c").alias("_c"))
 
     def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: set = set()
-        chunk = None
-
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"_c": chunk, "gram": pd.Series(list(held), dtype=object)})
-
+        seen, chunk = np.empty(0, np.int64), None
         for batch in batches:
-            for c, text in zip(batch["_c"], batch["text"]):
-                if held and (c != chunk or len(held) > HELD_GRAMS):
-                    yield out()
-                    held.clear()
-                chunk = c
-                held.update(grams_of(running(text, order), order))
-        if held:
-            yield out()
-
-    asked = materialize(rows.mapInPandas(wanted, "_c long, gram string"), "asked")
-    answers = asked.join(materialize(resolved(asked.select("gram").distinct(), model, order), "resolved"), "gram")
+            for c, part in batch.groupby("_c", sort=False):
+                if c != chunk or len(seen) > HELD_GRAMS:
+                    seen, chunk = np.empty(0, np.int64), c
+                for texts in _parts(part["text"], order):
+                    whole, at, h, _ = hashed_grams(texts, order)
+                    unique, first = np.unique(h, return_index=True)
+                    new = ~np.isin(unique, seen, assume_unique=True)
+                    seen = np.concatenate([seen, unique[new]])
+                    grams = [whole[i:i + order] for i in at[first[new]].tolist()]
+                    yield pd.DataFrame({"_c": c, "h": unique[new], "gram": pd.Series(grams, dtype=object)})
+
+    asked = materialize(rows.mapInPandas(wanted, "_c long, h long, gram string"), "asked")
+    known = materialize(resolved(asked.select("gram").distinct(), model, order), "resolved")
+    answers = asked.join(known, "gram").select("_c", "h", "logp")
 
     def score(docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        known = dict(zip(table["gram"], table["logp"]))
-        out = []
-        for text in docs["text"]:
-            grams = grams_of(running(text, order), order)
-            total = math.fsum(map(known.__getitem__, grams))
-            out.append(math.exp(min(700.0, -total / len(grams))) if grams else None)
-        return pd.DataFrame({"_f": docs["_f"], "_r": docs["_r"], "perplexity": pd.Series(out, dtype="float64")})
+        table = table.drop_duplicates("h").sort_values("h")
+        keys, logp, out = table["h"].to_numpy(), table["logp"].to_numpy(), []
+        for texts in _parts(docs["text"], order):
+            _, _, h, counts = hashed_grams(texts, order)
+            sums = np.concatenate([[0.0], np.cumsum(logp[np.searchsorted(keys, h)] if len(h) else [])])
+            ends = np.cumsum(counts)
+            total = sums[ends] - sums[ends - counts]
+            out += [math.exp(min(700.0, -x / n)) if n else None for x, n in zip(total.tolist(), counts.tolist())]
+        return pd.DataFrame({"_f": docs["_f"], "_r": docs["_r"], "perplexity": pd.Series(out, index=docs.index, dtype="float64")})
 
     scored = rows.groupBy("_c").cogroup(answers.groupBy("_c")).applyInPandas(score, "_f long, _r long, perplexity double")
     return scored.withColumn("perplexity", F.when(~F.isnan("perplexity"), F.col("perplexity")))
