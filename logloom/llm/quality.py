@@ -19,7 +19,7 @@ ORDER = 5
 #: Share of the trusted documents of a language that its threshold keeps.
 QUANTILE = 0.97
 #: Rows of a file whose n-grams are looked up together.
-CHUNK_ROWS = 2048
+CHUNK_ROWS = 4096
 #: Distinct n-grams that a task holds at most.
 HELD_GRAMS = 500_000
 #: Characters that are looked at together.
@@ -209,15 +209,17 @@ def perplexities(docs: DataFrame, model: DataFrame, order: int = ORDER, text_col
                     new = ~np.isin(unique, seen, assume_unique=True)
                     seen = np.concatenate([seen, unique[new]])
                     grams = [whole[i:i + order] for i in at[first[new]].tolist()]
-                    yield pd.DataFrame({"_c": c, "h": unique[new], "gram": pd.Series(grams, dtype=object)})
+                    yield pd.DataFrame({"_c": c, "gram": pd.Series(grams, dtype=object)})
 
-    asked = materialize(rows.mapInPandas(wanted, "_c long, h long, gram string"), "asked")
+    asked = materialize(rows.mapInPandas(wanted, "_c long, gram string"), "asked")
     known = materialize(resolved(asked.select("gram").distinct(), model, order), "resolved")
-    answers = asked.join(known, "gram").select("_c", "h", "logp")
+    answers = materialize(asked.join(known, "gram").select("_c", "gram", "logp"), "answers")
+    discard(asked, known)
 
     def score(docs: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        table = table.drop_duplicates("h").sort_values("h")
-        keys, logp, out = table["h"].to_numpy(), table["logp"].to_numpy(), []
+        _, _, keys, _ = hashed_grams(table["gram"].to_list(), order)
+        keys, first = np.unique(keys, return_index=True)
+        logp, out = table["logp"].to_numpy(float)[first], []
         for texts in _parts(docs["text"], order):
             _, _, h, counts = hashed_grams(texts, order)
             sums = np.concatenate([[0.0], np.cumsum(logp[np.searchsorted(keys, h)] if len(h) else [])])
