@@ -86,11 +86,12 @@ def services(df: DataFrame, tenant: str | None = None) -> DataFrame:
     return rows.select("service_name").distinct().orderBy("service_name")
 
 
-def top_templates(logs: DataFrame, templates: DataFrame, k: int = 50, **filters) -> DataFrame:
-    """The k most frequent templates. Aggregate and cut come before the metadata join; templates
-    without metadata drop out."""
-    top = (filter_logs(logs, **filters).groupBy(*TEMPLATE_KEY).agg(F.count(F.lit(1)).alias("count"))
-           .orderBy(F.col("count").desc(), *TEMPLATE_KEY).limit(k))
+def top_templates(logs: DataFrame, templates: DataFrame, k: int | None = 50, **filters) -> DataFrame:
+    """The k most frequent templates (None: all of them). Aggregate and cut come before the metadata join;
+    templates without metadata drop out."""
+    top = filter_logs(logs, **filters).groupBy(*TEMPLATE_KEY).agg(F.count(F.lit(1)).alias("count"))
+    if k is not None:
+        top = top.orderBy(F.col("count").desc(), *TEMPLATE_KEY).limit(k)
     return top.join(templates, TEMPLATE_KEY).orderBy(F.col("count").desc(), *TEMPLATE_KEY)
 
 
