@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from logloom.functions.text import log_tokens, word_ngrams
 from logloom.operators.logs import newest, sample_logs, template_count
 from logloom.scale import top_n
-from logloom.session import materialize
+from logloom.session import discard, materialize, spread
 from logloom.schema import TEMPLATE_KEY
 
-#: Queries of one pass over the vectors: rows, and bytes as doubles.
-QUERIES_PER_CHUNK, QUERY_BYTES = 4_096, 32 << 20
+#: Bytes, as doubles, of the queries of one pass over the vectors.
+QUERY_BYTES = 64 << 20
+#: A task multiplies at most so many queries and vectors at a time, and emits its answers in batches of so many queries.
+QUERIES_PER_CHUNK, QUERIES_PER_STEP, VECTORS_PER_STEP, ROWS_PER_BATCH = 4_096, 1_024, 1_024, 10_000
 
 
 def same_dimension(vectors: DataFrame, dimension: int, column: str = "vector") -> DataFrame:
@@ -33,25 +35,29 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / norms
 
 
-def _best(ids: np.ndarray, q_ids: np.ndarray, sims: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best rows of each query column, ties by lower id."""
-    out_q, out_v, out_s = [], [], []
-    for j, q in enumerate(q_ids):
-        s = sims[:, j]
-        if len(s) > k:
-            cut = np.partition(s, len(s) - k)[len(s) - k]
-            idx = np.flatnonzero(s >= cut)
-        else:
-            idx = np.arange(len(s))
-        idx = idx[np.lexsort((ids[idx], -s[idx]))][:k]
-        out_q.append(np.full(len(idx), q))
-        out_v.append(ids[idx])
-        out_s.append(s[idx])
-    return pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
-
-
-def _chunks(queries: DataFrame, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Queries as (ids, unit vectors), at most `rows` and QUERY_BYTES at a time; the driver holds one such part."""
+def _offer(kept: tuple[np.ndarray, np.ndarray], ids: np.ndarray, sims: np.ndarray, k: int) -> None:
+    """Merges similarities (queries x rows) into the kept scores and ids (queries x k, best first, ties by lower id).
+    Only what reaches the k-th score kept so far is sorted."""
+    scores, places = kept
+    if sims.shape[1] > k:
+        floor = np.maximum(scores[:, -1], np.partition(sims, sims.shape[1] - k, axis=1)[:, -k]) if np.isneginf(scores[0, -1]) else scores[:, -1]
+    else:
+        floor = scores[:, -1]
+    q, at = np.nonzero(sims >= floor[:, None])
+    if not len(q):
+        return
+    touched = np.unique(q)
+    row = np.concatenate([np.repeat(touched, k), q])
+    s = np.concatenate([scores[touched].ravel(), sims[q, at]])
+    i = np.concatenate([places[touched].ravel(), ids[at]])
+    order = np.lexsort((i, -s, row))
+    first = np.searchsorted(row[order], touched)
+    take = order[first[:, None] + np.arange(k)]
+    scores[touched], places[touched] = s[take], i[take]
+
+
+def _chunks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Queries as (ids, unit vectors), at most QUERY_BYTES at a time; the driver holds one such part."""
     ids, vectors, size = [], [], None
     for r in queries.toLocalIterator():
         if r.vector is None:
@@ -62,7 +68,7 @@ def _chunks(queries: DataFrame, rows: int) -> Iterator[tuple[np.ndarray, np.ndar
             raise ValueError(f"vector dimension {len(r.vector)} among queries of {size}")
         ids.append(r.query_id)
         vectors.append(np.array(r.vector, np.float64))
-        if len(ids) >= rows or len(ids) * size * 8 >= QUERY_BYTES:
+        if len(ids) * size * 8 >= QUERY_BYTES:
             yield np.array(ids), _unit(np.stack(vectors))
             ids, vectors = [], []
     if ids:
@@ -73,27 +79,40 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_
                 broadcast_limit: int = QUERIES_PER_CHUNK) -> DataFrame:
     """query_id, <key>, score, rank: exact cosine top-k of every query (query_id, vector).
 
-    Queries go in parts of bounded bytes, of at most `broadcast_limit`; each part is one pass over the vectors where
-    they lie. An Arrow batch of vectors keeps its k best per query, so pairs are never emitted, and the answer
-    of a part is written before the next one starts. Vectors and queries of another dimension are an error; null
-    ones take no part."""
+    Queries go in parts of bounded bytes; each part is one pass over the vectors, which are written once if there are
+    several. A task multiplies at most `broadcast_limit` queries with VECTORS_PER_STEP vectors at a time and keeps the k
+    best of every query, so pairs are never emitted; the answer of a part is written before the next one starts.
+    Vectors and queries of another dimension are an error; null ones take no part."""
     spark = vectors.sparkSession
-    q = queries.select("query_id", "vector")
+    q = materialize(queries.select("query_id", "vector").filter("vector IS NOT NULL"), "vector-queries")
     v = vectors.select(F.col(key).alias("vec_id"), F.col(column).alias("vector")).filter("vector IS NOT NULL")
+    v = materialize(v, "vectors")
     out = None
-    for q_ids, mat in _chunks(q, broadcast_limit):
+    for q_ids, mat in _chunks(q):
         shared = spark.sparkContext.broadcast((q_ids, mat))
 
         def local(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, right = shared.value
+            scores = np.full((len(ids), k), -np.inf)
+            places = np.full((len(ids), k), np.iinfo(np.int64).max)
             for b in batches:
-                if len(b):
-                    yield _best(b["vec_id"].to_numpy(), ids, _unit(np.stack(b["vector"].to_numpy()).astype(np.float64)) @ right.T, k)
-
-        best = same_dimension(v, mat.shape[1]).mapInPandas(local, "query_id long, vec_id long, score double")
+                for low in range(0, len(b), VECTORS_PER_STEP):
+                    part = b.iloc[low:low + VECTORS_PER_STEP]
+                    left = _unit(np.stack(part["vector"].to_numpy()).astype(np.float64)).T
+                    found = part["vec_id"].to_numpy()
+                    for at in range(0, len(ids), step):
+                        cut = slice(at, at + step)
+                        _offer((scores[cut], places[cut]), found, right[cut] @ left, k)
+            for at in range(0, len(ids), ROWS_PER_BATCH):
+                here, rank = np.nonzero(scores[at:at + ROWS_PER_BATCH] > -np.inf)
+                yield pd.DataFrame({"query_id": ids[at + here], "vec_id": places[at + here, rank], "score": scores[at + here, rank]})
+
+        step = max(1, min(broadcast_limit, QUERIES_PER_STEP))
+        best = same_dimension(spread(v), mat.shape[1]).mapInPandas(local, "query_id long, vec_id long, score double")
         ranked = materialize(top_n(best, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k, "rank"), "vector-topk")
-        shared.unpersist()
+        shared.destroy()
         out = ranked if out is None else out.unionByName(ranked)
+    discard(q, v)
     if out is None:
         out = spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
     return out.withColumnRenamed("vec_id", key) if key != "vec_id" else out
