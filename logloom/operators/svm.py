@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators.tfidf import tfidf_fit, tfidf_transform
+from logloom.operators.tfidf import class_sums, numbered, tfidf_fit, tfidf_vectors
 from logloom.session import materialize
 
 LEARNING_RATE, REGULARISATION, PASSES = 0.001, 0.01, 1000
@@ -57,12 +57,8 @@ def labels_of(weights: DataFrame) -> list[str]:
 
 def feature_rows(docs: DataFrame, key: str, text: str, label: str, vocabulary: DataFrame) -> DataFrame:
     """key, label, terms (position in the sorted vocabulary), values of every document; none for no known term."""
-    numbered = F.broadcast(vocabulary.select("term", F.col("number")))
-    terms = tfidf_transform(docs, key, text, vocabulary.drop("number")).join(numbered, "term").groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("number", "weight"))).alias("_f"))  # at most as many as the vocabulary
-    rows = docs.select(key, F.col(label).cast("string").alias("label")).join(terms, key, "left")
-    return rows.select(key, "label", F.coalesce(F.col("_f.number"), F.array().cast("array<int>")).alias("terms"),
-                       F.coalesce(F.col("_f.weight"), F.array().cast("array<double>")).alias("values"))
+    rows = tfidf_vectors(docs.select(key, F.col(label).cast("string").alias("label"), F.col(text).alias("_text")), "_text", *numbered(vocabulary))
+    return rows.select(key, "label", F.col("_x.terms").alias("terms"), F.col("_x.values").alias("values"))
 
 
 def _numbered(vocabulary: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -189,22 +185,28 @@ def svm_update(model: Svm, new: DataFrame, key: str, text: str, label: str) -> S
     return Svm(model.vocabulary, weights, model.labels, model.learning_rate, model.regularisation)
 
 
-def svm_margins(docs: DataFrame, model: Svm, key: str, text: str) -> DataFrame:
-    """key, margins (one per class, in the order of model.labels) of every document."""
-    found = {(r["label"]): r["weight"] for r in model.weights.filter("term IS NULL").collect()}
-    per_term = model.weights.filter("term IS NOT NULL").groupBy("term").pivot("label", model.labels).agg(F.sum("weight"))
-    columns = [f"_m{i}" for i in range(len(model.labels))]
-    per_term = per_term.toDF("term", *columns)  # at most MAX_FEATURES rows
-    weights = tfidf_transform(docs, key, text, model.vocabulary).join(F.broadcast(per_term), "term")
-    sums = weights.groupBy(key).agg(*[F.sum(F.col("weight") * F.coalesce(c, F.lit(0.0))).alias(c) for c in columns])
-    margins = F.array(*[F.coalesce(c, F.lit(0.0)) + F.lit(found[x]) for c, x in zip(columns, model.labels)])
-    return docs.select(key).join(sums, key, "left").select(key, margins.alias("margins"))
+def svm_score(docs: DataFrame, model: Svm, text: str) -> DataFrame:
+    """Adds label of the largest margin (the first of equal ones), and confidence: the sigmoid of the largest absolute
+    margin. The weights (at most classes x MAX_FEATURES numbers) are shared; a row is scored where it lies."""
+    terms, idf = numbered(model.vocabulary)
+    place, named = {t: i for i, t in enumerate(terms)}, {x: i for i, x in enumerate(model.labels)}
+    weights, bias = np.zeros((len(terms), len(named))), [0.0] * len(named)
+    for r in model.weights.groupBy("label", "term").agg(F.sum("weight").alias("weight")).collect():
+        if r["label"] not in named or (r["term"] is not None and r["term"] not in place):
+            continue
+        if r["term"] is None:
+            bias[named[r["label"]]] = r["weight"]
+        else:
+            weights[place[r["term"]], named[r["label"]]] = r["weight"]
+    rows = tfidf_vectors(docs, text, terms, idf, "_v")
+    given = F.array(*[F.lit(b) for b in bias])
+    rows = rows.withColumn("_m", F.zip_with(class_sums("_v", weights), given, lambda s, b: s + b))
+    best = F.array_position("_m", F.array_max("_m"))
+    strongest = F.array_max(F.transform("_m", lambda m: F.abs(m)))
+    names = F.array(*[F.lit(x) for x in model.labels])
+    return rows.select(*docs.columns, F.element_at(names, best.cast("int")).alias("label"), (1 / (1 + F.exp(-strongest))).alias("confidence"))
 
 
 def svm_predict(docs: DataFrame, model: Svm, key: str, text: str) -> DataFrame:
-    """key, label of the largest margin (the first of equal ones), confidence: the sigmoid of the largest absolute margin."""
-    best = F.array_position("margins", F.array_max("margins"))
-    strongest = F.array_max(F.transform("margins", lambda m: F.abs(m)))
-    names = F.array(*[F.lit(x) for x in model.labels])
-    return svm_margins(docs, model, key, text).select(key, F.element_at(names, best.cast("int")).alias("label"),
-                                                      (1 / (1 + F.exp(-strongest))).alias("confidence"))
+    """key, label, confidence of every document."""
+    return svm_score(docs.select(key, F.col(text).alias("_text")), model, "_text").drop("_text")

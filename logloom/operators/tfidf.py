@@ -1,8 +1,14 @@
-"""TF-IDF over word 1- and 2-grams with a bounded vocabulary."""
+"""TF-IDF over word 1- and 2-grams with a bounded vocabulary.
+
+A document is one row, so its terms are counted and its weights scaled inside the row: nothing is grouped by document,
+and the memory of a task does not grow with the documents it reads."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.text import log_tokens, word_ngrams
@@ -10,24 +16,78 @@ from logloom.functions.text import log_tokens, word_ngrams
 MAX_FEATURES = 5000
 
 
-def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, count over word 1- and 2-grams."""
-    words = docs.select(key, log_tokens(F.col(text)).alias("_w"))
-    grams = words.select(key, F.explode_outer(word_ngrams(F.col("_w"))).alias("term")).filter("term IS NOT NULL")
-    return grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("count"))
+def grams(docs: DataFrame, text: str, name: str = "_grams") -> DataFrame:
+    """Adds the word 1- and 2-grams of every document, with repeats."""
+    return docs.withColumn(name, word_ngrams(log_tokens(F.col(text))))
 
 
 def tfidf_fit(docs: DataFrame, key: str, text: str, max_features: int = MAX_FEATURES, min_df: int = 2) -> DataFrame:
     """term, df, idf of the most frequent terms; ties by term. At most max_features rows."""
     n = docs.agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(1))
-    df = term_counts(docs, key, text).groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
+    terms = grams(docs.select(text), text).select(F.explode(F.array_distinct("_grams")).alias("term")).filter("term IS NOT NULL")
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
     top = df.orderBy(F.col("df").desc(), "term").limit(max_features).withColumn("_k", F.lit(1))
     return top.join(n, "_k").select("term", "df", (F.log((F.col("_n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def numbered(vocabulary: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The sorted terms and their idf; at most MAX_FEATURES of them."""
+    rows = sorted((r["term"], r["idf"]) for r in vocabulary.select("term", "idf").collect())
+    return [t for t, _ in rows], np.array([i for _, i in rows], float)
+
+
+def as_lists(rows: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType) -> pa.ListArray:
+    """One list per row from flat values that are sorted by row."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32()), pa.array(values, kind))
+
+
+def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The row of every list entry, and the entries."""
+    return np.asarray(pc.list_parent_indices(lists)), np.asarray(pc.list_flatten(lists))
+
+
+def tfidf_vectors(docs: DataFrame, text: str, terms: list[str], idf: np.ndarray, name: str = "_x") -> DataFrame:
+    """Adds struct<terms: array<int>, values: array<double>>: the places of the known terms of every document in the
+    sorted vocabulary, ascending, and their weights, with unit length; empty without a known term."""
+    shared = docs.sparkSession.sparkContext.broadcast((pa.array(terms, pa.string()), idf))
+
+    @F.arrow_udf("struct<terms: array<int>, values: array<double>>")
+    def weigh(found: pa.Array) -> pa.Array:
+        known, idf = shared.value
+        rows = np.asarray(pc.list_parent_indices(found)).astype(np.int64)
+        places = pc.index_in(pc.list_flatten(found).cast(pa.string()), value_set=known)
+        hit = np.asarray(pc.is_valid(places))
+        cells, counts = np.unique(rows[hit] * len(idf) + np.asarray(places.drop_null()).astype(np.int64), return_counts=True)
+        row, term = np.divmod(cells, max(len(idf), 1))
+        weight = (1 + np.log(counts)) * idf[term]
+        norms = np.sqrt(np.bincount(row, weight * weight, len(found)))
+        return pa.StructArray.from_arrays([as_lists(row, term, len(found), pa.int32()),
+                                           as_lists(row, weight / norms[row], len(found), pa.float64())], ["terms", "values"])
+
+    return docs.withColumn(name, weigh(word_ngrams(log_tokens(F.col(text)))))
+
+
+def class_sums(vectors: str, weights: np.ndarray) -> F.Column:
+    """array<double>: of every class, the sum of value * weight over the terms of a vector column; `weights` is terms x classes."""
+    shared = SparkSession.active().sparkContext.broadcast(weights)
+
+    @F.arrow_udf("array<double>")
+    def sums(terms: pa.Array, values: pa.Array) -> pa.Array:
+        weights = shared.value
+        rows, term = flat(terms)
+        value = flat(values)[1]
+        out = np.stack([np.bincount(rows, value * column[term], len(terms)) for column in weights.T], axis=1) if len(term) else np.zeros((len(terms), weights.shape[1]))
+        return as_lists(np.repeat(np.arange(len(terms)), weights.shape[1]), out.ravel(), len(terms), pa.float64())
+
+    return sums(F.col(f"{vectors}.terms"), F.col(f"{vectors}.values"))
+
+
 def tfidf_transform(docs: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
     """key, term, weight with unit length per document. Documents without a known term have no rows."""
-    raw = term_counts(docs, key, text).join(F.broadcast(vocabulary), "term").select(  # at most max_features rows
-        key, "term", ((1 + F.log("count")) * F.col("idf")).alias("_w"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("_w") / F.col("_norm")).alias("weight"))
+    terms, idf = numbered(vocabulary)
+    if not terms:
+        return docs.select(key, F.lit(None).cast("string").alias("term"), F.lit(None).cast("double").alias("weight")).filter("false")
+    names = docs.sparkSession.createDataFrame(list(enumerate(terms)), "_t int, term string")
+    pairs = tfidf_vectors(docs, text, terms, idf).select(key, F.explode(F.arrays_zip("_x.terms", "_x.values")).alias("_p"))
+    return pairs.select(key, F.col("_p.terms").alias("_t"), F.col("_p.values").alias("weight")).join(
+        F.broadcast(names), "_t").select(key, "term", "weight")
