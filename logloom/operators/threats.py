@@ -131,17 +131,62 @@ def injection_fit(bad: DataFrame, good: DataFrame, text: str = "body_raw") -> tu
     return odds, h.agg((F.avg("h") + 2 * F.stddev_pop("h")).alias("entropy_threshold"))
 
 
-def matched_rules(text: Column, rules: dict[str, list[str]] | None = None, strict: bool = False) -> Column:
-    """array<array<string>>: the patterns that match, per attack type in rule order. One pattern
-    that joins all of a type is tried first, so most rows run 14 tests. `strict` lower-cases the
-    text and keeps the case of the patterns."""
-    target, flag = (F.lower(text), "") if strict else (text, "(?i)")
-    per_type = []
-    for patterns in (rules or INJECTION_RULES).values():
-        any_of = flag + "(?:" + "|".join(patterns) + ")"
-        each = F.array_compact(F.array(*[F.when(target.rlike(flag + p), F.lit(p)) for p in patterns]))
-        per_type.append(F.when(target.rlike(any_of), each).otherwise(F.array().cast("array<string>")))
-    return F.array(*per_type)
+def needed_literal(pattern: str) -> str:
+    """The longest run of plain characters, in lower case, that every match of a pattern holds; empty if none is certain."""
+    runs, run, i = [""], "", 0
+    while i < len(pattern):
+        c, step = pattern[i], 1
+        if c == "\\":
+            e, step = pattern[i + 1:i + 2], 2
+            if e in "rnt":
+                run += {"r": "\r", "n": "\n", "t": "\t"}[e]
+            elif e and e in "swdSWDbB":
+                runs, run = [*runs, run], ""
+            elif e.isalnum() or not e:
+                return ""
+            else:
+                run += e
+        elif c == "|":
+            return ""
+        elif c in "*?{":  # the last character may be missing
+            runs, run = [*runs, run[:-1]], ""
+            step = pattern.index("}", i) - i + 1 if c == "{" else 1
+        elif c in "([":  # leave out the whole group or class
+            runs, run, depth, j = [*runs, run], "", 0, i
+            while j < len(pattern):
+                if pattern[j] == "\\":
+                    j += 1
+                elif c == "[" and pattern[j] == "]" and j > i + 1 and pattern[i + 1:j] != "^":
+                    break
+                elif c == "(" and pattern[j] == "[":
+                    return ""
+                elif c == "(" and pattern[j] in "()":
+                    depth += 1 if pattern[j] == "(" else -1
+                    if not depth:
+                        break
+                j += 1
+            step = j - i + 1
+        elif c in ".^$+":
+            runs, run = [*runs, run], ""
+        else:
+            run += c
+        i += step
+    found = max([*runs, run], key=len)
+    return found.lower() if found.isascii() else ""
+
+
+def matched_rules(text: Column, rules: dict[str, list[str]] | None = None, strict: bool = False, low: Column | None = None) -> Column:
+    """array<array<string>>: the patterns that match, per attack type in rule order. A pattern is tried only on texts that
+    hold its needed literal in lower case. `strict` lower-cases the text and keeps the case of the patterns; `low` is
+    the lower-cased text where a column has it."""
+    low = F.lower(text) if low is None else low
+    target, flag = (low, "") if strict else (text, "(?i)")
+
+    def hit(pattern: str) -> Column:
+        literal = needed_literal(pattern)
+        return low.contains(literal) & target.rlike(flag + pattern) if literal else target.rlike(flag + pattern)
+
+    return F.array(*[F.array_compact(F.array(*[F.when(hit(p), F.lit(p)) for p in patterns])) for patterns in (rules or INJECTION_RULES).values()])
 
 
 def ngram_scores(df: DataFrame, text: str, model: DataFrame) -> DataFrame:
@@ -164,7 +209,8 @@ def with_injection(df: DataFrame, text: str, model: DataFrame | None = None,
     """Adds matched, pattern_count, attack_type, ngram_score, entropy, high_entropy, is_injection
     and injection_score. `model` is the (ngram, score) table; without it the n-gram score is 0."""
     types = list(rules or INJECTION_RULES)
-    out = df.withColumn("matched", matched_rules(F.col(text), rules, strict))
+    out = df.withColumn("_low", F.lower(F.col(text)))
+    out = out.withColumn("matched", matched_rules(F.col(text), rules, strict, F.col("_low"))).drop("_low")
     out = out.withColumn("_sizes", F.transform("matched", lambda m: F.size(m)))
     out = out.withColumn("pattern_count", F.aggregate("_sizes", F.lit(0), lambda a, n: a + n))
     names = F.array(*[F.lit(x) for x in types])
