@@ -68,40 +68,86 @@ def _numbered(vocabulary: DataFrame) -> tuple[DataFrame, list[str]]:
     return vocabulary.join(F.broadcast(places), "term"), terms
 
 
-def _dense(terms: np.ndarray, values: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The terms of a batch and its rows over those terms."""
+def _dense(terms: np.ndarray, values: np.ndarray, rows: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of a batch, its different rows over those terms with their signs, and how often each row stands in it."""
     used, column = np.unique(terms, return_inverse=True)
-    block = np.zeros((n, len(used)))
+    block = np.zeros((len(signs), len(used)))
     block[rows, column] = values
-    return used, block
+    where: dict[bytes, int] = {}
+    same = [where.setdefault(x.tobytes() + y.tobytes(), i) for i, (x, y) in enumerate(zip(block, signs))]
+    first, times = np.unique(same, return_counts=True)
+    return used, block[first], signs[first], times
+
+
+def _together(starts: np.ndarray, terms: np.ndarray, values: np.ndarray):
+    """Terms that stand in the same rows in one proportion, as the words of a log template do, are turned into one column
+    of the same length. Returns starts, columns and values of the rows over the columns, the terms that occur, the
+    column of each and its share of it: weight of a term = share * weight of the column, as far as rows move it."""
+    rows = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    order = np.lexsort((rows, terms))
+    order = order[values[order] != 0]
+    rows, terms, values = rows[order], terms[order], values[order]
+    lows = np.flatnonzero(np.diff(terms, prepend=-1))
+    highs = np.append(lows[1:], len(terms))
+    ratio = values / np.repeat(values[lows], highs - lows)
+    rounded, where, leads = np.round(ratio, 13), {}, []
+    column = np.empty(len(lows), np.int64)
+    for k, (low, high) in enumerate(zip(lows, highs)):
+        column[k] = where.setdefault(rows[low:high].tobytes() + rounded[low:high].tobytes(), len(leads))
+        if column[k] == len(leads):
+            leads.append(k)
+    length = np.sqrt(np.bincount(column, values[lows] ** 2))
+    stays = np.isin(np.repeat(np.arange(len(lows)), highs - lows), leads)
+    rows, at = rows[stays], np.repeat(column, highs - lows)[stays]
+    back = np.argsort(rows, kind="stable")
+    return (np.searchsorted(rows[back], np.arange(len(starts))), at[back], (ratio[stays] * length[at])[back],
+            terms[lows], column, values[lows] / length[column])
 
 
 def steps(weights: np.ndarray, bias: np.ndarray, starts: np.ndarray, terms: np.ndarray, values: np.ndarray, signs: np.ndarray,
           rate: float, strength: float, passes: int, batch: int = BATCH) -> None:
     """`passes` over rows given as one flat list of terms and values (row i: starts[i] to starts[i + 1]) changes
     weights (terms x classes) and bias in place. A row whose margin is below 1 pulls the weights to its side; every
-    row shrinks them. Shrinking is kept as one factor, so a batch touches only its own terms."""
+    row shrinks them. Shrinking is kept as one factor, so a batch touches only its own columns. Equal rows of a batch
+    step from the same weights, so they are looked at once and pull as often as they stand there."""
     n = len(signs)
+    starts, columns, values, of, column, share = _together(starts, terms, values)
     rows = np.repeat(np.arange(n), np.diff(starts))
+    joined = np.zeros((int(column.max(initial=-1)) + 1, len(bias)))
+    np.add.at(joined, column, share[:, None] * weights[of])
+    weights[of] -= share[:, None] * joined[column]  # no row sees this part, it only shrinks
+    chunk = np.dtype((np.void, joined.strides[0] or 8))
+    moved = joined.view(chunk)[:, 0] if joined.size else None  # to copy all classes of a column at once
 
     def block(low: int):
         high = min(low + batch, n)
         cut = slice(starts[low], starts[high])
-        return *_dense(terms[cut], values[cut], rows[cut] - low, high - low), signs[low:high], (1 - rate * strength) ** (high - low)
+        used, x, y, times = _dense(columns[cut], values[cut], rows[cut] - low, signs[low:high])
+        return used, x, np.ascontiguousarray(x.T), y, y * (rate * times)[:, None], (1 - rate * strength) ** (high - low)
 
     lows, kept, cells = range(0, n, batch), {}, 0
     for _ in range(passes):
         factor = 1.0
         for low in lows:
             here = kept.get(low) or block(low)
-            used, x, y, shrink = here
-            if low not in kept and cells + x.size <= KEPT_CELLS:
-                kept[low], cells = here, cells + x.size
-            pull = np.where(y * (factor * (x @ weights[used]) + bias) < 1, y, 0.0) * rate
+            used, x, turned, y, force, shrink = here
+            if low not in kept and cells + 2 * x.size <= KEPT_CELLS:
+                kept[low], cells = here, cells + 2 * x.size
+            own = joined.take(used, axis=0)
+            margin = x.dot(own)
+            margin *= factor
+            margin += bias
+            margin *= y
+            pull = force * (margin < 1)
             factor *= shrink
-            weights[used] += x.T @ (pull / factor)
-            bias += pull.sum(axis=0)
+            bias += np.add.reduce(pull, axis=0)
+            if len(used):
+                pull /= factor
+                own += turned.dot(pull)
+                moved[used] = own.view(chunk)[:, 0]
+        joined *= factor
         weights *= factor
+    weights[of] += share[:, None] * joined[column]
 
 
 def _round(rows: DataFrame, key: str, start: dict, terms: list[str], labels: list[str], parts: int, passes: int, rate: float, strength: float) -> DataFrame:

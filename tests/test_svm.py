@@ -112,3 +112,25 @@ def test_prediction_of_rows_without_known_terms(spark):
     none = frame(spark, [])
     assert svm.svm_predict(none, model, "id", "m").collect() == []
     assert svm.svm_update(model, none, "id", "m", "y").weights.count() >= 3
+
+
+def test_terms_of_a_template_are_one_column_and_equal_rows_one_row():
+    """Words that always stand together move together; steps and weights stay those of the single terms, from any start."""
+    rng = np.random.default_rng(9)
+    x = np.zeros((200, 9))
+    kind = rng.integers(0, 3, 200)
+    x[kind == 0, :3] = [0.2, 0.4, 0.6]
+    x[kind == 1, 3:6] = np.array([0.5, 0.1, 0.3]) * rng.choice([1.0, 2.0], (np.sum(kind == 1), 1))
+    x[kind == 2, 6:8] = rng.random((np.sum(kind == 2), 2))
+    signs = np.where(rng.random((200, 2)) < 0.5, 1.0, -1.0)
+    rows, terms = np.nonzero(x)
+    starts = np.searchsorted(rows, np.arange(201))
+    _, columns, _, of, column, share = svm._together(starts, terms, x[rows, terms])
+    assert len(of) == 8 and column.max() == 3 and len(columns) < len(terms)
+    assert np.allclose(np.bincount(column, share**2), 1)
+    used, block, _, times = svm._dense(np.array([0, 2, 0, 2]), np.array([1.0, 2.0, 1.0, 2.0]), np.array([0, 0, 1, 1]), np.ones((3, 1)))
+    assert used.tolist() == [0, 2] and block.tolist() == [[1, 2], [0, 0]] and times.tolist() == [2, 1]
+    w, b = rng.random((9, 2)), rng.random(2)
+    want = single_steps(x, signs, w.copy(), b.copy(), 0.001, 0.01, 30)
+    svm.steps(w, b, starts, terms, x[rows, terms], signs, 0.001, 0.01, 30, 1)
+    assert np.abs(w - want[0]).max() < 1e-12 and np.abs(b - want[1]).max() < 1e-12
