@@ -18,13 +18,16 @@ CLASS_BLOCK = 200
 ALPHA = 1.0
 
 
-def nb_fit(vectors: DataFrame, vocabulary: DataFrame, label: str, column: str = "_x") -> tuple[DataFrame, DataFrame]:
-    """(classes, terms) of rows with a vector column of tfidf_vectors. classes: label, log_prior, log_default (a term never
+def nb_fit(vectors: DataFrame, vocabulary: DataFrame | int, label: str, column: str = "_x") -> tuple[DataFrame, DataFrame]:
+    """(classes, terms) of rows with a vector column of tfidf_vectors over a vocabulary (or its size). classes: label, log_prior, log_default (a term never
     seen in the class). terms: label, term (its place in the sorted vocabulary), gain over log_default. At most classes x
     max_features rows."""
     pairs = vectors.select(F.col(label).alias("label"), F.explode(F.arrays_zip(f"{column}.terms", f"{column}.values")).alias("_p"))
     sums = pairs.filter("label IS NOT NULL").groupBy("label", F.col("_p.terms").alias("term")).agg(F.sum("_p.values").alias("_s"))
-    size = vocabulary.agg(F.count(F.lit(1)).alias("_v")).withColumn("_k", F.lit(1))
+    if isinstance(vocabulary, int):
+        size = vectors.sparkSession.range(1).select(F.lit(vocabulary).cast("long").alias("_v"), F.lit(1).alias("_k"))
+    else:
+        size = vocabulary.agg(F.count(F.lit(1)).alias("_v")).withColumn("_k", F.lit(1))
     counts = vectors.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("_n"))
     whole = counts.agg(F.sum("_n").alias("_all")).withColumn("_k", F.lit(1))
     mass = sums.groupBy("label").agg(F.sum("_s").alias("_t"))

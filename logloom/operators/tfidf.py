@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions.text import log_tokens, word_ngrams
+from logloom.session import materialize
 
 MAX_FEATURES = 5000
 
@@ -46,27 +47,78 @@ def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(pc.list_parent_indices(lists)), np.asarray(pc.list_flatten(lists))
 
 
+VECTOR = "struct<terms: array<int>, values: array<double>>"
+
+
+def _weighed(row: np.ndarray, term: np.ndarray, counts: np.ndarray, idf: np.ndarray, n: int) -> pa.StructArray:
+    """The vectors of n rows from the counts of their terms, sorted by row and term."""
+    weight = (1 + np.log(counts)) * idf[term]
+    norms = np.sqrt(np.bincount(row, weight * weight, n))
+    return pa.StructArray.from_arrays([as_lists(row, term, n, pa.int32()), as_lists(row, weight / norms[row], n, pa.float64())], ["terms", "values"])
+
+
+def _counted(found: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place in the vocabulary and count of every known term, sorted by row and place."""
+    rows = np.asarray(pc.list_parent_indices(found)).astype(np.int64)
+    places = pc.index_in(pc.list_flatten(found).cast(pa.string()), value_set=known)
+    hit = np.asarray(pc.is_valid(places))
+    cells, counts = np.unique(rows[hit] * len(known) + np.asarray(places.drop_null()).astype(np.int64), return_counts=True)
+    return *np.divmod(cells, max(len(known), 1)), counts
+
+
 def tfidf_vectors(docs: DataFrame, text: str, terms: list[str], idf: np.ndarray, name: str = "_x") -> DataFrame:
     """Adds struct<terms: array<int>, values: array<double>>: the places of the known terms of every document in the
     sorted vocabulary, ascending, and their weights, with unit length; empty without a known term."""
     shared = docs.sparkSession.sparkContext.broadcast((pa.array(terms, pa.string()), idf))
 
-    @F.arrow_udf("struct<terms: array<int>, values: array<double>>")
+    @F.arrow_udf(VECTOR)
     def weigh(found: pa.Array) -> pa.Array:
         known, idf = shared.value
-        rows = np.asarray(pc.list_parent_indices(found)).astype(np.int64)
-        places = pc.index_in(pc.list_flatten(found).cast(pa.string()), value_set=known)
-        hit = np.asarray(pc.is_valid(places))
-        cells, counts = np.unique(rows[hit] * len(idf) + np.asarray(places.drop_null()).astype(np.int64), return_counts=True)
-        row, term = np.divmod(cells, max(len(idf), 1))
-        weight = (1 + np.log(counts)) * idf[term]
-        norms = np.sqrt(np.bincount(row, weight * weight, len(found)))
-        return pa.StructArray.from_arrays([as_lists(row, term, len(found), pa.int32()),
-                                           as_lists(row, weight / norms[row], len(found), pa.float64())], ["terms", "values"])
+        return _weighed(*_counted(found, known), idf, len(found))
 
     return docs.withColumn(name, weigh(word_ngrams(log_tokens(F.col(text)))))
 
 
+# --- several vocabularies over nested subsets, each text read twice in all --------------
+def nested_fits(docs: DataFrame, text: str, since: str, steps: list[float], max_features: int = MAX_FEATURES, min_df: int = 2) -> list[DataFrame]:
+    """tfidf_fit of the rows whose `since` is at most s, for each s of `steps`; the texts are read once for all."""
+    taken = [F.count_if(F.col(since) <= s) for s in steps]
+    sizes = docs.agg(*taken).first()
+    terms = grams(docs.select(text, since), text).select(since, F.explode(F.array_distinct("_grams")).alias("term")).filter("term IS NOT NULL")
+    df = terms.groupBy("term").agg(*[c.alias(f"_df{i}") for i, c in enumerate(taken)])
+    df = materialize(df.filter(F.greatest(F.lit(0), *[f"_df{i}" for i in range(len(steps))]) >= min_df), "term-counts")
+    return [df.select("term", F.col(f"_df{i}").alias("df")).filter(F.col("df") >= min_df).orderBy(F.col("df").desc(), "term").limit(max_features)
+            .select("term", "df", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).alias("idf")) for i, n in enumerate(sizes)]
+
+
+def term_counts(docs: DataFrame, text: str, terms: list[str], name: str = "_counts") -> DataFrame:
+    """Adds struct<terms, values>: the places of the known terms of every document in the sorted list, ascending, and their counts."""
+    shared = docs.sparkSession.sparkContext.broadcast(pa.array(terms, pa.string()))
+
+    @F.arrow_udf("struct<terms: array<int>, values: array<int>>")
+    def count(found: pa.Array) -> pa.Array:
+        row, term, counts = _counted(found, shared.value)
+        return pa.StructArray.from_arrays([as_lists(row, term, len(found), pa.int32()), as_lists(row, counts, len(found), pa.int32())], ["terms", "values"])
+
+    return docs.withColumn(name, count(word_ngrams(log_tokens(F.col(text)))))
+
+
+def weigh_counts(docs: DataFrame, counts: str, terms: list[str], part: list[str], idf: np.ndarray, name: str = "_x") -> DataFrame:
+    """tfidf_vectors over the sorted terms `part`, from the term_counts over the sorted terms `terms`, which hold them."""
+    place = {t: i for i, t in enumerate(part)}
+    shared = docs.sparkSession.sparkContext.broadcast((np.array([place.get(t, -1) for t in terms], np.int64), idf))
+
+    @F.arrow_udf(VECTOR)
+    def weigh(found: pa.Array, counts: pa.Array) -> pa.Array:
+        places, idf = shared.value
+        row, term = flat(found)
+        term = places[term]
+        hit = term >= 0
+        return _weighed(row[hit], term[hit], flat(counts)[1][hit], idf, len(found))
+
+    return docs.withColumn(name, weigh(F.col(f"{counts}.terms"), F.col(f"{counts}.values")))
+
+
 def class_sums(vectors: str, weights: np.ndarray) -> F.Column:
     """array<double>: of every class, the sum of value * weight over the terms of a vector column; `weights` is terms x classes."""
     shared = SparkSession.active().sparkContext.broadcast(weights)

@@ -18,11 +18,13 @@ from logloom import fixed
 from logloom.functions.features import behaviour_features, threat_features, with_columns
 from logloom.functions.labels import model_severity_name
 from logloom.functions.text import contains_any, log_tokens, word_ngrams
-from logloom.operators import anomaly, classify, forest, threats
+from logloom.operators import anomaly, classify, forest, tfidf, threats
 from logloom.scale import positions, running_totals
-from logloom.session import discard, materialize
+from logloom.session import discard, materialize, spread
 
 MIN_TRAINING_ROWS = 100
+#: Shares of the training rows in a learning curve.
+FRACTIONS = tuple(i / 10 for i in range(1, 11))
 
 
 def hashed_positions(df: DataFrame, keys: list[str], seed: int, id_col: str = "id") -> DataFrame:
@@ -116,11 +118,38 @@ def roc_points(df: DataFrame, score: str, label: str, by: list[str] = ()) -> Dat
                                        (F.col("run_neg") / F.col("_n")).alias("fpr"), "auc")
 
 
-def learning_curve(df: DataFrame, fit_score, fractions: Sequence[float] = tuple(i / 10 for i in range(1, 11)), seed: int = 42, id_col: str = "id"):
-    """[(fraction, score)] over nested subsets; fit_score(train, test) -> number."""
+def nested(df: DataFrame, fractions: Sequence[float], seed: int = 42, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(train, test), each stored once. _since of a train row is the least of `fractions` whose subset holds it."""
     train, test = split(df, 0.8, None, seed, id_col)
     placed = hashed_positions(train, [], seed, id_col)
-    return [(f, fit_score(placed.filter(F.col("_pos") <= F.col("_all") * f), test)) for f in fractions]
+    since = F.coalesce(*[F.when(F.col("_pos") <= F.col("_all") * f, F.lit(float(f))) for f in sorted(fractions)])
+    placed = placed.withColumn("_since", since).filter("_since IS NOT NULL").drop("_pos", "_all")
+    return materialize(placed, "curve-train"), materialize(test, "curve-test")
+
+
+def learning_curve(df: DataFrame, fit_score, fractions: Sequence[float] = FRACTIONS, seed: int = 42, id_col: str = "id"):
+    """[(fraction, score)] over nested subsets; fit_score(train, test) -> number."""
+    train, test = nested(df, fractions, seed, id_col)
+    return [(f, fit_score(train.filter(F.col("_since") <= float(f)).drop("_since"), test)) for f in fractions]
+
+
+def text_curve(df: DataFrame, text: str, label: str, fractions: Sequence[float] = FRACTIONS, seed: int = 42, id_col: str = "id"):
+    """[(fraction, accuracy)] of naive Bayes over term weights: the learning_curve of tfidf_fit, nb_fit and nb_score. The texts
+    are read once for the vocabularies of all fractions and once for the counts of their terms; every fit starts from the counts."""
+    train, test = nested(df.select(id_col, text, label), fractions, seed, id_col)
+    train, test = spread(train), spread(test)
+    steps = [float(f) for f in fractions]
+    models = [tfidf.numbered(v) for v in tfidf.nested_fits(train, text, "_since", steps)]
+    every = sorted({t for terms, _ in models for t in terms})  # at most MAX_FEATURES a fraction
+    train, test = (materialize(tfidf.term_counts(part, text, every).drop(text), "curve-counts") for part in (train, test))
+    out = []
+    for f, (terms, idf) in zip(fractions, models):
+        fitted = tfidf.weigh_counts(train.filter(F.col("_since") <= float(f)), "_counts", every, terms, idf)
+        model = tuple(materialize(m, "nb-model") for m in classify.nb_fit(fitted, len(terms), label))
+        scored = classify.nb_score(tfidf.weigh_counts(test.withColumnRenamed(label, "_truth"), "_counts", every, terms, idf), model, len(terms))
+        out.append((f, scored.agg(F.avg((F.col("label") == F.col("_truth")).cast("double"))).first()[0]))
+        discard(*model)
+    return out
 
 
 # --- training jobs ----------------------------------------------------------------------

@@ -239,14 +239,7 @@ def _(t):
 
 @query("learning_curve")
 def _(t):
-    def fit_score(train, test):
-        v = materialize(C.tfidf_fit(train, "doc_id", "text"), "vocabulary")
-        terms, idf = C.numbered(v)
-        model = C.nb_fit(C.tfidf_vectors(train, "text", terms, idf), v, "quality")
-        out = C.nb_score(C.tfidf_vectors(test, "text", terms, idf), model, len(terms))
-        return out.agg(F.avg((F.col("label") == F.col("quality")).cast("double"))).first()[0]
-
-    rows = Z.learning_curve(_documents(t), fit_score, id_col="doc_id")
+    rows = Z.text_curve(_documents(t), "text", "quality", id_col="doc_id")
     return t.spark.createDataFrame([(float(f), float(s)) for f, s in rows], "fraction double, score double")
 
 
