@@ -1,10 +1,13 @@
 import datetime as dt
+import hashlib
 import os
 import tempfile
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.plans import catalog, q_streams
 from logloom.sources import files, ingest, tables
 from logloom.streaming import jobs
 
@@ -156,3 +159,28 @@ def test_stream_ingest_takes_each_content_once(spark, tree):
         f.write("2024-01-16 10:30:00 INFO Later\n")
     run()
     assert store.logs().count() == folder.logs().count() + 1 and store.ledger().count() == folder.ledger().count() + 1
+
+
+def test_large_files_are_hashed_in_pieces(spark, tmp_path):
+    """The same SHA-256 as over the whole content: with and without a last line end, a byte order mark, line ends of all kinds, any bytes."""
+    mark = b"\xef\xbb\xbf"
+    held = {"a.log": b"x\n" * 4000, "b.log": b"x\n" * 4000 + b"y", "c d+%20.log": mark + b"line\r\n" * 900, "e.log": mark + b"l\n" * 900 + b"end",
+            "f.log": bytes(range(256)) * 40, "g.log": b"\n" * 3000, "h.log": b"q" * 9000, "i.log": b"\n"}
+    for name, content in held.items():
+        (tmp_path / name).write_bytes(content)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = {os.path.basename(r.path): (r.length, r.file_hash) for r in files.file_hashes(spark, [f"file:{tmp_path}/{n}" for n in held], 0).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {n: (len(c), hashlib.sha256(c).hexdigest()) for n, c in held.items()}
+
+
+def test_the_folder_of_the_statistics_query_is_not_written_by_one_sorting_task(spark, monkeypatch):
+    asked, plain = [], DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, *a: asked.append(a) or plain(self, *a))
+    before = spark.conf.get(q_streams.OPEN_FILES)
+    first, second = catalog.queries()["ingest_statistics"](spark, "/root/testdata/sf0.001").orderBy("run").collect()
+    assert (first.files, first.skipped, second.skipped, first.errors) == (7, 1, 7, 0) and (1,) not in asked
+    assert spark.conf.get(q_streams.OPEN_FILES) == before
