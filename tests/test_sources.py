@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom import fixed
 from logloom.plans import catalog, q_streams
-from logloom.sources import files, ingest, tables
+from logloom.sources import files, ingest, parsers, tables
 from logloom.streaming import jobs
 
 NOW = dt.datetime(2024, 3, 1, 12)
@@ -184,3 +185,17 @@ def test_the_folder_of_the_statistics_query_is_not_written_by_one_sorting_task(s
     first, second = catalog.queries()["ingest_statistics"](spark, "/root/testdata/sf0.001").orderBy("run").collect()
     assert (first.files, first.skipped, second.skipped, first.errors) == (7, 1, 7, 0) and (1,) not in asked
     assert spark.conf.get(q_streams.OPEN_FILES) == before
+
+
+def test_a_line_runs_each_time_pattern_once(spark):
+    """What the text parser uses more than once is a column first; the plan does not repeat its pattern for every use."""
+    lines = ["2024-01-15 10:30:00 ERROR x", "2024-01-15T10:30:00.5+0200 y", "[15/Jan/2024:10:30:00 +0000] warn z", "Jan 15 10:30:00 host sshd", "1705314600",
+             "1705314600123", "15/Jan/2024:10:30:00 q", "01/15/2024 10:30:00 r", "2024-13-45 99:00:00 s", "none", "a 2024-01-15 10:30:00Z b"]
+    rows = spark.createDataFrame([(x,) for x in lines], "value string")
+    out = parsers.parse_text(rows, 2024)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(value") <= 2 * len(fixed.TIMESTAMP_PATTERNS)
+    got = [r.t for r in out.select(F.date_format("timestamp_utc", "MM-dd HH:mm:ss").alias("t")).collect()]
+    assert got == ["01-15 10:30:00", "01-15 08:30:00", "01-15 10:30:00", "01-15 10:30:00", "01-15 10:30:00", "01-15 10:30:00", "01-15 10:30:00",
+                   "01-15 10:30:00", None, None, "01-15 10:30:00"]
+    assert [r.severity for r in out.collect()][:3] == [4, 2, 3]
