@@ -6,6 +6,7 @@ State per key covers the trailing window and the rows held back, however long th
 
 from __future__ import annotations
 
+import pickle
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -20,6 +21,8 @@ from logloom.operators.threats import auth_failures, target_accesses
 
 SECOND = 1_000_000
 WATERMARK = "10 minutes"
+#: Rows in one entry of the list of rows that are held back.
+HELD_ROWS = 10_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -28,15 +31,18 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def _packed(rows: list[tuple]) -> list[tuple[bytes]]:
+    return [(pickle.dumps(rows[i:i + HELD_ROWS]),) for i in range(0, len(rows), HELD_ROWS)]
+
+
 class _HeldBack(StatefulProcessor):
     """Keeps rows (at in microseconds, more) in a list until the watermark passes them, then hands them in order
-    to `take`. Timers stand at the earliest row held back."""
-
-    row_schema = "at long"
+    to `take`. Timers stand at the earliest row held back. An entry of the list holds up to HELD_ROWS rows: every
+    entry is a call to the state of its own."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.row_schema)
+        self.held = handle.getListState("held", "rows binary")
         self.prepare(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -44,7 +50,7 @@ class _HeldBack(StatefulProcessor):
         for part in rows:
             new = list(part[self.columns].itertuples(index=False, name=None))
             if new:
-                self.held.appendList(new)
+                self.held.appendList(_packed(new))
                 first = min(first or new[0][0], min(r[0] for r in new))
         if first is not None:
             self.handle.registerTimer(-(-first // 1000))
@@ -52,12 +58,12 @@ class _HeldBack(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         limit = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(self.held.get()) if self.held.exists() else []
+        held = sorted(r for (rows,) in self.held.get() for r in pickle.loads(rows)) if self.held.exists() else []
         ready = [r for r in held if r[0] <= limit]
         later = held[len(ready):]
         if ready:
             if later:
-                self.held.put(later)
+                self.held.put(_packed(later))
             else:
                 self.held.clear()
         if later:
@@ -73,7 +79,7 @@ class _HeldBack(StatefulProcessor):
 class _TrailingCount(_HeldBack):
     """Rows of the key in [at - window, at] for every instant."""
 
-    columns, row_schema = ["at"], "at long"
+    columns = ["at"]
 
     def __init__(self, window: int):
         self.window = window
@@ -109,7 +115,7 @@ def stream_bruteforce_events(logs: DataFrame, window: int = 300, watermark: str
 class _TrailingDistinct(_HeldBack):
     """Different targets of the key in [at - window, at] for every instant: target -> last seen."""
 
-    columns, row_schema = ["at", "target"], "at long, target string"
+    columns = ["at", "target"]
     kinds = ("port:", "path:", "user:")
 
     def __init__(self, window: int):
@@ -167,7 +173,7 @@ def stream_recon_events(logs: DataFrame, window: int = 60, watermark: str = WATE
 class _RunningSeries(_HeldBack):
     """Level, trend and slow baseline of the series, one value at a time in order of time."""
 
-    columns, row_schema = ["at", "value"], "at long, value double"
+    columns = ["at", "value"]
 
     def __init__(self, alpha: float, beta: float, slow: float):
         self.alpha, self.beta, self.slow = alpha, beta, slow

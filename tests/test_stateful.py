@@ -146,3 +146,41 @@ def test_templates_of_a_stream_equal_the_batch_form(spark, tmp_path):
     run()
     assert sorted((tuple(r) for r in jobs.read_templates(spark, out).select(*columns).collect()), key=repr) == want
     assert jobs.read_templates(spark, out).agg(F.sum("rows")).first()[0] == len(rows)
+
+
+def test_held_rows_go_to_the_state_in_packs():
+    """Rows are held in entries of many rows, and those that the watermark has not passed stay held."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from logloom.streaming import stateful
+
+    class Held:
+        def __init__(self):
+            self.rows = []
+
+        exists = lambda self: bool(self.rows)
+        get = lambda self: iter(self.rows)
+
+        def appendList(self, rows):
+            self.rows = self.rows + rows
+
+        def put(self, rows):
+            self.rows = rows
+
+        def clear(self):
+            self.rows = []
+
+    held = Held()
+    keeper = stateful._HeldBack()
+    keeper.columns, keeper.prepare, taken = ["at", "target"], lambda handle: None, []
+    keeper.take = lambda key, ready, limit: taken.extend(ready)
+    keeper.init(SimpleNamespace(getListState=lambda *a: held, registerTimer=lambda at: None))
+    frame = pd.DataFrame({"at": range(25_000, 0, -1), "target": ["user:a"] * 25_000})
+    list(keeper.handleInputRows(("s",), iter([frame]), None))
+    assert len(held.rows) <= 3
+    list(keeper.handleExpiredTimer(("s",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 20), None))
+    assert taken == [(i, "user:a") for i in range(1, 20_001)] and len(held.rows) == 1
+    list(keeper.handleExpiredTimer(("s",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 99), None))
+    assert taken == [(i, "user:a") for i in range(1, 25_001)] and not held.rows
