@@ -229,3 +229,24 @@ def test_word_probability_sums_to_one_over_next_characters():
 
 def test_line_normal_form():
     assert lines.normalised("  Hello,  WORLD!! ") == "hello world" and words_of(None) == [] and re.match(r"\w", "é")
+
+
+def test_edit_similarities_side_by_side(monkeypatch):
+    """Pairs of a batch are compared side by side, with the answer of one pair at a time; pairs far beyond the limit are not followed to
+    their ends, and few pairs are left to single comparisons."""
+    rng = random.Random(5)
+    pairs = []
+    for n in [1, 2, 31, 63, 64, 65, 128, 200, 300] * 60:
+        a = [rng.choice("abcd é漢😀") for _ in range(n)]
+        b = list(a)
+        for _ in range(int(rng.random() * 0.4 * n)):
+            b[rng.randrange(n):rng.randrange(n)] = rng.choice("abcd")
+        pairs.append(("".join(a), "".join(b)[rng.choice([0, 0, n // 9]):]))
+    pairs += [("".join(rng.choices("abcdefgh ", k=400)), "".join(rng.choices("abcdefgh ", k=400))) for _ in range(200)] + [("", ""), ("", "x")]
+    for least in (0.5, 0.8, 0.95):
+        want = [lines.alike(a, b, least) for a, b in pairs]
+        assert lines.alike_pairs([a for a, _ in pairs], [b for _, b in pairs], least).tolist() == want and any(want) and not all(want)
+    one, calls = lines.edit_distance, []
+    monkeypatch.setattr(lines, "edit_distance", lambda a, b: calls.append(1) or one(a, b))
+    lines.alike_pairs([a for a, _ in pairs[-202:]], [b for _, b in pairs[-202:]], 0.8)
+    assert len(calls) < lines.FEW
