@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom import fixed
 from logloom.functions.text import log_tokens, word_ngrams
 from logloom.session import materialize
 
@@ -50,9 +51,9 @@ def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 VECTOR = "struct<terms: array<int>, values: array<double>>"
 
 
-def _weighed(row: np.ndarray, term: np.ndarray, counts: np.ndarray, idf: np.ndarray, n: int) -> pa.StructArray:
+def _weighed(row: np.ndarray, term: np.ndarray, counts: np.ndarray, idf: np.ndarray, n: int, damped: bool = True) -> pa.StructArray:
     """The vectors of n rows from the counts of their terms, sorted by row and term."""
-    weight = (1 + np.log(counts)) * idf[term]
+    weight = (1 + np.log(counts) if damped else counts) * idf[term]
     norms = np.sqrt(np.bincount(row, weight * weight, n))
     return pa.StructArray.from_arrays([as_lists(row, term, n, pa.int32()), as_lists(row, weight / norms[row], n, pa.float64())], ["terms", "values"])
 
@@ -66,17 +67,37 @@ def _counted(found: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray,
     return *np.divmod(cells, max(len(known), 1)), counts
 
 
-def tfidf_vectors(docs: DataFrame, text: str, terms: list[str], idf: np.ndarray, name: str = "_x") -> DataFrame:
+def tfidf_vectors(docs: DataFrame, text: str, terms: list[str], idf: np.ndarray, name: str = "_x", found: F.Column | None = None,
+                  damped: bool = True) -> DataFrame:
     """Adds struct<terms: array<int>, values: array<double>>: the places of the known terms of every document in the
-    sorted vocabulary, ascending, and their weights, with unit length; empty without a known term."""
+    sorted vocabulary, ascending, and their weights, with unit length; empty without a known term. `found` gives the grams
+    of a text in place of its word 1- and 2-grams; without `damped` a term weighs by its plain count."""
     shared = docs.sparkSession.sparkContext.broadcast((pa.array(terms, pa.string()), idf))
 
     @F.arrow_udf(VECTOR)
     def weigh(found: pa.Array) -> pa.Array:
         known, idf = shared.value
-        return _weighed(*_counted(found, known), idf, len(found))
+        return _weighed(*_counted(found, known), idf, len(found), damped)
 
-    return docs.withColumn(name, weigh(word_ngrams(log_tokens(F.col(text)))))
+    return docs.withColumn(name, weigh(word_ngrams(log_tokens(F.col(text))) if found is None else found))
+
+
+def content_grams(text: F.Column) -> F.Column:
+    """1- and 2-grams of the words of two letters or more that are no English stop words."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    return word_ngrams(F.filter(words, lambda w: ~w.isin(fixed.ENGLISH_STOP_WORDS)), sep=" ")
+
+
+def content_fit(docs: DataFrame, text: str, max_features: int = MAX_FEATURES, min_df: int = 5, max_share: float = 0.95) -> DataFrame:
+    """term, df, idf of the content_grams that stand in at least min_df documents and in at most max_share of them: the most
+    often used ones, ties by term. At most max_features rows."""
+    n = docs.count()
+    found = docs.select(content_grams(F.col(text)).alias("_g"))
+    each, once = (F.transform(g, lambda t: F.struct(t.alias("term"), F.lit(new).alias("new"))) for g, new in ((F.col("_g"), 0), (F.array_distinct("_g"), 1)))
+    uses = found.select(F.explode(F.concat(each, once)).alias("_u")).groupBy("_u.term").agg(
+        F.sum("_u.new").alias("df"), F.sum(1 - F.col("_u.new")).alias("_times"))
+    top = uses.filter((F.col("df") >= min_df) & (F.col("df") <= max_share * n)).orderBy(F.col("_times").desc(), "term").limit(max_features)
+    return top.select("term", "df", (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 # --- several vocabularies over nested subsets, each text read twice in all --------------

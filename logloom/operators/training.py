@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
@@ -237,23 +238,69 @@ def tune_threats(logs: DataFrame, words: Sequence[str] = tuple(fixed.THREAT_TRUT
     return table, PipelineModel([vec, scaler, best[2]])
 
 
-def train_behavioural(logs: DataFrame, contamination: float = 0.05, trees: int = 200, classifier_trees: int = 100, seed: int = 42):
-    """Outlier pseudo-labels over 14 behaviour features, then a balanced random forest on scaled
-    features. Returns (model, scored rows, AUC)."""
-    feats = with_columns(logs, behaviour_features(F.col("body_raw")))
-    feats = feats.withColumn("_level", F.col("severity").cast("double")).withColumn("_len", F.length("body_raw") / 100.0)
+@dataclass
+class Retrained:
+    """What train_behavioural trains. `scored`: the test rows of the detector with label and prediction, `auc` over them;
+    `accuracy`: the share of right test rows of the detector (behaviour), severity and service."""
+
+    detector: PipelineModel
+    labeller: forest.ForestModel
+    outliers: forest.ForestModel
+    vocabulary: DataFrame
+    severity: tuple[DataFrame, DataFrame]
+    service: tuple[DataFrame, DataFrame]
+    scored: DataFrame
+    auc: float
+    accuracy: dict[str, float]
+
+
+def text_classifiers(rows: DataFrame, text: str, targets: Sequence[str], seed: int = 42, id_col: str = "id") -> tuple[DataFrame, dict, dict]:
+    """Naive Bayes models of each column of `targets` over the term weights of `text`, trained on four fifths of the rows:
+    the vocabulary (of all rows), the model of each target, and its share of right answers on the other fifth."""
+    vocabulary = materialize(tfidf.content_fit(rows, text), "vocabulary")
+    terms, idf = tfidf.numbered(vocabulary)
+    vectors = tfidf.tfidf_vectors(rows, text, terms, idf, found=tfidf.content_grams(F.col(text)), damped=False)
+    train, test = (materialize(part, "weights") for part in split(vectors.select(id_col, *targets, "_x"), 0.8, None, seed, id_col))
+    models, right = {}, {}
+    for target in targets:
+        models[target] = tuple(materialize(part, "nb-model") for part in classify.nb_fit(train, len(terms), target))
+        scored = classify.nb_score(test.select(F.col(target).alias("_truth"), "_x"), models[target], len(terms))
+        right[target] = scored.agg(F.avg((F.col("label") == F.col("_truth")).cast("double"))).first()[0]
+    discard(train, test)
+    return vocabulary, models, right
+
+
+def train_behavioural(logs: DataFrame, contamination: float = 0.05, trees: int = 200, classifier_trees: int = 100, seed: int = 42,
+                      outlier_share: float = 0.1, outlier_trees: int = 100) -> Retrained:
+    """The whole retraining job. An isolation forest over severity, length and template; naive Bayes for severity and service over
+    term weights; and the behavioural detector: an isolation forest over 14 behaviour features, severity and length gives
+    pseudo-labels, on which a balanced random forest of the scaled features is trained. Rows without a message, severity or
+    service count as empty, 1 and unknown."""
+    rows = logs.withColumns({"body_raw": F.coalesce("body_raw", F.lit("")), "severity": F.coalesce("severity", F.lit(1)),
+                             "service_name": F.coalesce("service_name", F.lit("unknown"))})
+    rows = rows.withColumn("_level", F.col("severity").cast("double"))
+    shapes = rows.select("id", "_level", F.length("body_raw").cast("double").alias("_chars"), F.coalesce(
+        F.pmod(F.xxhash64("template_hash"), F.lit(10_000)), F.lit(0)).cast("double").alias("_template"))
+    outliers = forest.forest_fit(shapes, ["_level", "_chars", "_template"], n_trees=outlier_trees, contamination=outlier_share, seed=seed, standard=True)
+    vocabulary, texts, right = text_classifiers(rows.withColumn("_level", F.col("severity").cast("string")), "body_raw", ["_level", "service_name"], seed)
+
+    feats = with_columns(rows, behaviour_features(F.col("body_raw"))).withColumn("_len", F.length("body_raw") / 100.0)
     names = fixed.BEHAVIOUR_FEATURES
-    _, marked = forest.forest_fit_score(feats, names + ["_level", "_len"], n_trees=trees, contamination=contamination, seed=seed)
+    labeller, marked = forest.forest_fit_score(feats.select("id", *names, "_level", "_len"), names + ["_level", "_len"], n_trees=trees,
+                                               contamination=contamination, seed=seed, standard=True)
     marked = marked.withColumn("label", F.col("is_anomaly").cast("double"))
     share = marked.agg(F.avg("label")).first()[0] or 0.5
     share = min(max(share, 1e-6), 1 - 1e-6)
     marked = marked.withColumn("weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
-    vec = VectorAssembler(inputCols=names, outputCol="_raw").transform(marked)
-    scaled = StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(vec).transform(vec)
-    train, test = split(scaled, 0.8, "label", seed)
+    vec = VectorAssembler(inputCols=names, outputCol="_raw")
+    assembled = vec.transform(marked)
+    scaler = StandardScaler(inputCol="_raw", outputCol="features", withMean=True).fit(assembled)
+    train, test = split(scaler.transform(assembled), 0.8, "label", seed)
     model = RandomForestClassifier(maxDepth=15, minInstancesPerNode=10, numTrees=classifier_trees, weightCol="weight", seed=seed).fit(train)
-    scored = model.transform(test)
-    return model, scored, BinaryClassificationEvaluator().evaluate(scored)
+    scored = materialize(model.transform(test), "behaviour-scores")
+    hit = scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
+    return Retrained(PipelineModel([vec, scaler, model]), labeller, outliers, vocabulary, texts["_level"], texts["service_name"], scored,
+                     BinaryClassificationEvaluator().evaluate(scored), {"behaviour": hit, "severity": right["_level"], "service": right["service_name"]})
 
 
 class TrainedModels:

@@ -245,8 +245,11 @@ def _(t):
 
 @query("train_behavioural")
 def _(t):
-    _, scored, _ = Z.train_behavioural(t.wide_logs)
-    return scored.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    """The confusion of the detector, and the accuracy of all three classifiers in each row."""
+    found = Z.train_behavioural(t.wide_logs)
+    right = [F.lit(float(v)).alias(f"{name}_accuracy") for name, v in found.accuracy.items()]
+    return rounded(found.scored.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n")).select("*", *right),
+                   *[f"{name}_accuracy" for name in found.accuracy])
 
 
 @query("analyze_rows")
