@@ -250,3 +250,50 @@ def test_edit_similarities_side_by_side(monkeypatch):
     monkeypatch.setattr(lines, "edit_distance", lambda a, b: calls.append(1) or one(a, b))
     lines.alike_pairs([a for a, _ in pairs[-202:]], [b for _, b in pairs[-202:]], 0.8)
     assert len(calls) < lines.FEW
+
+
+def test_bands_and_early_ends_leave_distances_as_they_are():
+    """Pairs of all likenesses and lengths against the plain distance; the last ones are longer than a set takes."""
+    rng = random.Random(5)
+
+    def near(a, edits):
+        a = list(a)
+        for _ in range(edits):
+            at = rng.randrange(len(a) + 1)
+            a[at:at + rng.randrange(2)] = rng.choice(["", "x", "yé"])
+        return "".join(a)
+
+    pairs = []
+    for size in (1, 30, 64, 65, 200, 700):
+        for _ in range(120):
+            a = "".join(rng.choices("abcd e", k=size))
+            pairs.append((a, near(a, rng.randrange(1 + size // 3))))
+            pairs.append((near(a, size // 5), near(a, size // 20)))
+    a = "".join(rng.choices("abcdefgh ", k=5000))
+    pairs += [(a, near(a, e)) for e in (0, 10, 700, 1500)] + [(a, a[:4000]), (a, a[:3999]), (a, a[::-1])]
+    want = [lines.alike(a, b, 0.8) for a, b in pairs]
+    assert lines.alike_pairs([a for a, _ in pairs], [b for _, b in pairs], 0.8).tolist() == want and 100 < sum(want) < len(want) - 100
+    for a, b in pairs[::40]:
+        d = lines.edit_distance(a, b)
+        assert [lines.within(a, b, x) for x in (d - 1, d, d + 1)] == [False, True, True]
+
+
+def test_second_round_gives_links_of_agreeing_pairs_only(spark, monkeypatch):
+    """A bucket of several groups: the pairs that do not agree never leave their task."""
+    texts = [f"alpha beta {w} {w * 2} gamma delta" for w in ("one", "two", "six")] + ["alpha beta one oneone gamma deltas"]
+    entries = spark.createDataFrame([(7, i) for i in range(4)], "key long, node long")
+    payload = spark.createDataFrame([(i, bytes(8)) for i in range(4)], "node long, sig binary")
+    full = spark.createDataFrame(list(enumerate(texts)), "node long, full string")
+    made, real = [], graph._in_line
+
+    def seen(*a):
+        found = real(*a)
+        made.extend(tuple(r) for r in found.collect())
+        return found
+
+    monkeypatch.setattr(graph, "_in_line", seen)
+    asked = []
+    roots, _ = graph.grouped_links(entries, payload, lambda x, y: np.zeros((len(x), len(y))), -1, lambda links: asked.append(1) or links.filter("false"),
+                                   "small", whole=lambda w: full.join(w, "node"), agree=lambda a, b: lines.alike_pairs(a, b, 0.9))
+    assert made == [(0, 3)] and len(asked) == 1
+    assert {(r["node"], r["root"]) for r in roots.collect()} == {(0, 0), (3, 0)}
