@@ -79,8 +79,12 @@ def train_classifiers(logs: DataFrame, key: str = "id", text: str = "body_raw",
     vocabulary = materialize(tfidf_fit(labelled, key, text), "vocabulary")
     vectors = materialize(tfidf_vectors(labelled, text, *numbered(vocabulary)), "weights")
     category, domain = (tuple(materialize(part, "nb-model") for part in nb_fit(vectors, vocabulary, name)) for name in ("category", "domain"))
+    if labelled.filter("level IS NULL").isEmpty():  # then the vocabulary is that of the SVM
+        severity = svm_fit(vectors, key, text, "level", vocabulary=vocabulary)
+    else:
+        severity = svm_fit(labelled, key, text, "level")
     discard(vectors)
-    return LogModels(vocabulary, category, domain, svm_fit(labelled, key, text, "level"))
+    return LogModels(vocabulary, category, domain, severity)
 
 
 def classify(logs: DataFrame, models: LogModels, key: str = "id", text: str = "body_raw") -> DataFrame:
@@ -89,8 +93,9 @@ def classify(logs: DataFrame, models: LogModels, key: str = "id", text: str = "b
     terms, idf = numbered(models.vocabulary)
     rows = tfidf_vectors(logs.select(key, text), text, terms, idf)
     rows = nb_score(rows, models.category, len(terms)).withColumnsRenamed({"label": "category", "confidence": "_c1", "probabilities": "_p"})
-    rows = nb_score(rows, models.domain, len(terms)).withColumnsRenamed({"label": "domain", "confidence": "_c2"}).drop("probabilities", "_x")
-    rows = svm_score(rows, models.severity, text).withColumnsRenamed({"label": "severity_label", "confidence": "_c3"})
+    rows = nb_score(rows, models.domain, len(terms)).withColumnsRenamed({"label": "domain", "confidence": "_c2"}).drop("probabilities")
+    shared = "_x" if models.severity.vocabulary is models.vocabulary else None
+    rows = svm_score(rows, models.severity, text, shared).withColumnsRenamed({"label": "severity_label", "confidence": "_c3"})
     return rows.select(key, "category", "domain", "severity_label", ((F.col("_c1") + F.col("_c2") + F.col("_c3")) / 3).alias("confidence"),
                        F.col("_p").alias("probabilities"), extract_entities(F.col(text)).alias("entities"))
 

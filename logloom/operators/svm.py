@@ -1,7 +1,8 @@
 """Linear one-vs-rest SVM by stochastic gradient descent, with updates from new rows only.
 
 A model is a table of weights. A pass starts from that table: tasks of bounded size step through their rows
-in mini-batches, all classes at once, and their weights are averaged by row counts into the next table.
+in mini-batches, all classes at once, and their weights are averaged by row counts into the next table. Where there are many parts,
+a task steps several of them in the same array operations.
 An update is one pass over the new rows; the rows seen before are not read again."""
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ KEPT_CELLS = 1 << 24
 #: Rows that step together from the same weights. Their order inside a batch does not matter, and the weights
 #: differ from those of single steps by less than (LEARNING_RATE * BATCH) ** 2 a batch.
 BATCH = 64
+#: Parts of the rows that a task steps side by side at most, and the calls that are there before it takes more than one.
+SIDE_BY_SIDE, LEAST_CALLS = 8, 32
 #: How often the weights of the tasks are averaged during a fit.
 MERGES = 10
 
@@ -110,69 +113,119 @@ def steps(weights: np.ndarray, bias: np.ndarray, starts: np.ndarray, terms: np.n
     weights (terms x classes) and bias in place. A row whose margin is below 1 pulls the weights to its side; every
     row shrinks them. Shrinking is kept as one factor, so a batch touches only its own columns. Equal rows of a batch
     step from the same weights, so they are looked at once and pull as often as they stand there."""
-    n = len(signs)
-    starts, columns, values, of, column, share = _together(starts, terms, values)
-    rows = np.repeat(np.arange(n), np.diff(starts))
-    joined = np.zeros((int(column.max(initial=-1)) + 1, len(bias)))
-    np.add.at(joined, column, share[:, None] * weights[of])
-    weights[of] -= share[:, None] * joined[column]  # no row sees this part, it only shrinks
+    steps_of_all([(weights, bias, starts, terms, values, signs)], rate, strength, passes, batch)
+
+
+def steps_of_all(sets: list[tuple], rate: float, strength: float, passes: int, batch: int = BATCH) -> None:
+    """`steps` of several sets of rows, each from its own weights and bias in place: their batches of one number are
+    stepped in the same array operations, filled up with columns and rows of zeros. Sets that together have more than
+    KEPT_CELLS numbers go in parts."""
+    parts, of_one = [[]], []
+    for each in sets:
+        starts, columns, values, of, column, share = _together(*each[2:5])
+        signs, width = each[5], int(column.max(initial=-1)) + 1
+        rows = np.repeat(np.arange(len(signs)), np.diff(starts))
+        place = {"starts": starts, "columns": columns, "values": values, "rows": rows, "signs": signs, "width": width, "back": (*each[:2], of, column, share)}
+        used, x, _, _ = _batch_of(place, 0, batch)
+        of_one.append(x.size * math.ceil(len(signs) / batch))
+        if parts[-1] and sum(of_one[-len(parts[-1]) - 1:]) > KEPT_CELLS:
+            parts.append([])
+        parts[-1].append(place)
+    for part in parts:
+        _step_part(part, rate, strength, passes, batch)
+
+
+def _batch_of(rows: dict, low: int, batch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """_dense of the rows from `low` on."""
+    high = min(low + batch, len(rows["signs"]))
+    if high <= low:
+        return np.empty(0, np.int64), np.empty((0, 0)), np.empty((0, rows["signs"].shape[1])), np.empty(0, np.int64)
+    cut = slice(rows["starts"][low], rows["starts"][high])
+    return _dense(rows["columns"][cut], rows["values"][cut], rows["rows"][cut] - low, rows["signs"][low:high])
+
+
+def _step_part(sets: list[dict], rate: float, strength: float, passes: int, batch: int) -> None:
+    classes = sets[0]["signs"].shape[1]
+    firsts = np.cumsum([0, *[s["width"] + 1 for s in sets]])  # a column of zeros ends each set
+    joined = np.zeros((int(firsts[-1]), classes))
+    for s, first in zip(sets, firsts):
+        weights, _, of, column, share = s["back"]
+        own = joined[first:first + s["width"]]
+        np.add.at(own, column, share[:, None] * weights[of])
+        weights[of] -= share[:, None] * own[column]  # no row sees this part, it only shrinks
+    bias = np.stack([s["back"][1] for s in sets])
     chunk = np.dtype((np.void, joined.strides[0] or 8))
-    moved = joined.view(chunk)[:, 0] if joined.size else None  # to copy all classes of a column at once
+    moved = joined.view(chunk)[:, 0]  # to copy all classes of a column at once
 
     def block(low: int):
-        high = min(low + batch, n)
-        cut = slice(starts[low], starts[high])
-        used, x, y, times = _dense(columns[cut], values[cut], rows[cut] - low, signs[low:high])
-        return used, x, np.ascontiguousarray(x.T), y, y * (rate * times)[:, None], (1 - rate * strength) ** (high - low)
-
-    lows, kept, cells = range(0, n, batch), {}, 0
+        found = [_batch_of(s, low, batch) for s in sets]
+        high, wide = (max(f[1].shape[i] for f in found) for i in (0, 1))
+        used = np.repeat(firsts[1:, None] - 1, wide, axis=1)
+        x, y, force = np.zeros((len(sets), high, wide)), np.zeros((len(sets), high, classes)), np.zeros((len(sets), high, classes))
+        shrink = np.ones(len(sets))
+        for i, (u, rows, signs, times) in enumerate(found):
+            used[i, :len(u)], x[i, :rows.shape[0], :rows.shape[1]], y[i, :len(signs)] = firsts[i] + u, rows, signs
+            force[i, :len(signs)] = signs * (rate * times)[:, None]
+            shrink[i] = (1 - rate * strength) ** int(times.sum())
+        return used.ravel(), x, x.transpose(0, 2, 1), y, force, shrink
+
+    lows, kept, cells = range(0, max(len(s["signs"]) for s in sets), batch), {}, 0
     for _ in range(passes):
-        factor = 1.0
+        factor = np.ones(len(sets))
         for low in lows:
             here = kept.get(low) or block(low)
             used, x, turned, y, force, shrink = here
-            if low not in kept and cells + 2 * x.size <= KEPT_CELLS:
-                kept[low], cells = here, cells + 2 * x.size
-            own = joined.take(used, axis=0)
-            margin = x.dot(own)
-            margin *= factor
-            margin += bias
+            if low not in kept and cells + x.size <= KEPT_CELLS:
+                kept[low], cells = here, cells + x.size
+            own = joined.take(used, axis=0).reshape(len(sets), -1, classes)
+            margin = np.matmul(x, own)
+            margin *= factor[:, None, None]
+            margin += bias[:, None, :]
             margin *= y
             pull = force * (margin < 1)
             factor *= shrink
-            bias += np.add.reduce(pull, axis=0)
+            bias += np.add.reduce(pull, axis=1)
             if len(used):
-                pull /= factor
-                own += turned.dot(pull)
-                moved[used] = own.view(chunk)[:, 0]
-        joined *= factor
-        weights *= factor
-    weights[of] += share[:, None] * joined[column]
-
-
-def _round(rows: DataFrame, key: str, start: dict, terms: list[str], labels: list[str], parts: int, passes: int, rate: float, strength: float) -> DataFrame:
-    """label, term, weight after `passes` in every task, averaged by rows."""
+                pull /= factor[:, None, None]
+                own += np.matmul(turned, pull)
+                moved[used] = own.reshape(-1, classes).view(chunk)[:, 0]
+        for s, first, shrunk in zip(sets, firsts, factor):
+            joined[first:first + s["width"]] *= shrunk
+            s["back"][0][...] *= shrunk
+    for s, first, b in zip(sets, firsts, bias):
+        weights, own_bias, of, column, share = s["back"]
+        weights[of] += share[:, None] * joined[first:first + s["width"]][column]
+        own_bias[:] = b
+
+
+def _round(rows: DataFrame, key: str, start: dict, terms: list[str], labels: list[str], parts: int, together: int, passes: int, rate: float,
+           strength: float) -> DataFrame:
+    """label, term, weight after `passes` over every part of the rows, averaged by rows. A call steps up to `together` parts side by side."""
     shared = rows.sparkSession.sparkContext.broadcast(start)
     width, names = len(terms), np.array(labels)
+    calls = math.ceil(parts / together)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_order", key], kind="stable")
-        weights, bias = np.zeros((width, len(names))), np.zeros(len(names))
-        begin = shared.value
-        weights[begin["terms"], begin["labels"]] = begin["values"]
-        bias[:] = begin["bias"]
-        sizes = group["terms"].map(len).to_numpy()
-        flat = (lambda c, kind: np.concatenate(group[c].to_list()).astype(kind) if sizes.sum() else np.empty(0, kind))
-        signs = np.where(group["label"].to_numpy()[:, None] == names[None, :], 1.0, -1.0)
-        steps(weights, bias, np.concatenate([[0], np.cumsum(sizes)]), flat("terms", np.int64), flat("values", float), signs, rate, strength, passes)
+        sets, begin = [], shared.value
+        for _, part in group.sort_values(["_part", "_order", key], kind="stable").groupby("_part"):
+            weights, bias = np.zeros((width, len(names))), np.zeros(len(names))
+            weights[begin["terms"], begin["labels"]] = begin["values"]
+            bias[:] = begin["bias"]
+            sizes = part["terms"].map(len).to_numpy()
+            flat = (lambda c, kind: np.concatenate(part[c].to_list()).astype(kind) if sizes.sum() else np.empty(0, kind))
+            signs = np.where(part["label"].to_numpy()[:, None] == names[None, :], 1.0, -1.0)
+            sets.append((weights, bias, np.concatenate([[0], np.cumsum(sizes)]), flat("terms", np.int64), flat("values", float), signs))
+        steps_of_all(sets, rate, strength, passes)
+        weights, bias = (sum(s[i] * len(s[5]) for s in sets) for i in (0, 1))
         t, c = np.nonzero(weights)
         places = pd.DataFrame({"c": np.concatenate([c, np.arange(len(names))]), "t": np.concatenate([t, np.full(len(names), -1)]),
-                               "weight": np.concatenate([weights[t, c], bias]) * len(group)})
+                               "weight": np.concatenate([weights[t, c], bias])})
         return places.assign(n=np.int64(len(group)))
 
     dealt = rows.withColumn("_order", F.xxhash64(F.col(key))).withColumn("_part", F.pmod(F.col("_order"), F.lit(parts)))
-    found = dealt.groupBy("_part").applyInPandas(run, "c int, t int, weight double, n long")
-    # every task has a row for every bias, so their counts add up to the rows of the pass
+    dealt = dealt.withColumn("_call", F.pmod("_part", F.lit(calls))).repartition(4 * calls, "_call")  # few calls share a task
+    found = dealt.groupBy("_call").applyInPandas(run, "c int, t int, weight double, n long")
+    # every call has a row for every bias, so their counts add up to the rows of the pass
     summed = found.groupBy("c", "t").agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"))
     return materialize(summed, "svm-weights")
 
@@ -192,20 +245,27 @@ def _descend(rows: DataFrame, key: str, terms: list[str], labels: list[str], sta
     spark = rows.sparkSession
     n = rows.count()
     parts = max(1, math.ceil(n / per_task))
+    together = max(1, min(SIDE_BY_SIDE, parts // LEAST_CALLS, ROWS_PER_UPDATE // per_task))
     for passes in rounds if n else []:
-        start = _as_start(_round(rows, key, start, terms, labels, parts, passes, rate, strength), n, len(labels))
+        start = _as_start(_round(rows, key, start, terms, labels, parts, together, passes, rate, strength), n, len(labels))
     found = [(labels[c], terms[t], float(w)) for t, c, w in zip(start["terms"], start["labels"], start["values"])]
     found += [(label, None, float(b)) for label, b in zip(labels, start["bias"])]
     return materialize(spark.createDataFrame(found, "label string, term string, weight double"), "svm-model")
 
 
 def svm_fit(docs: DataFrame, key: str, text: str, label: str, passes: int = PASSES, learning_rate: float = LEARNING_RATE,
-            regularisation: float = REGULARISATION, merges: int = MERGES) -> Svm:
-    """A new model of the classes in `label`; rows without a label take no part."""
-    docs = materialize(docs.select(key, text, label).filter(F.col(label).isNotNull()), "svm-docs")
-    vocabulary = materialize(tfidf_fit(docs, key, text), "svm-vocabulary")
-    numbered, terms = _numbered(vocabulary)
-    rows = materialize(feature_rows(docs, key, text, label, numbered), "svm-rows")
+            regularisation: float = REGULARISATION, merges: int = MERGES, vocabulary: DataFrame | None = None) -> Svm:
+    """A new model of the classes in `label`; rows without a label take no part. With `vocabulary`, that of the labelled rows,
+    they hold their tfidf_vectors over it in a column _x, and no text is read."""
+    if vocabulary is None:
+        docs = materialize(docs.select(key, text, label).filter(F.col(label).isNotNull()), "svm-docs")
+        vocabulary = materialize(tfidf_fit(docs, key, text), "svm-vocabulary")
+        places, terms = _numbered(vocabulary)
+        rows = feature_rows(docs, key, text, label, places)
+    else:
+        terms = numbered(vocabulary)[0]
+        rows = docs.filter(F.col(label).isNotNull()).select(key, F.col(label).cast("string").alias("label"), "_x.terms", "_x.values")
+    rows = materialize(rows, "svm-rows")
     labels = sorted(r[0] for r in rows.select("label").distinct().collect())
     rounds = [passes // merges + (i < passes % merges) for i in range(min(merges, passes))]
     nothing = {"terms": np.empty(0, int), "labels": np.empty(0, int), "values": np.empty(0), "bias": np.zeros(len(labels))}
@@ -231,9 +291,10 @@ def svm_update(model: Svm, new: DataFrame, key: str, text: str, label: str) -> S
     return Svm(model.vocabulary, weights, model.labels, model.learning_rate, model.regularisation)
 
 
-def svm_score(docs: DataFrame, model: Svm, text: str) -> DataFrame:
+def svm_score(docs: DataFrame, model: Svm, text: str, vectors: str | None = None) -> DataFrame:
     """Adds label of the largest margin (the first of equal ones), and confidence: the sigmoid of the largest absolute
-    margin. The weights (at most classes x MAX_FEATURES numbers) are shared; a row is scored where it lies."""
+    margin. The weights (at most classes x MAX_FEATURES numbers) are shared; a row is scored where it lies. `vectors` names a column
+    of tfidf_vectors over the vocabulary of the model, where there is one."""
     terms, idf = numbered(model.vocabulary)
     place, named = {t: i for i, t in enumerate(terms)}, {x: i for i, x in enumerate(model.labels)}
     weights, bias = np.zeros((len(terms), len(named))), [0.0] * len(named)
@@ -244,7 +305,7 @@ def svm_score(docs: DataFrame, model: Svm, text: str) -> DataFrame:
             bias[named[r["label"]]] = r["weight"]
         else:
             weights[place[r["term"]], named[r["label"]]] = r["weight"]
-    rows = tfidf_vectors(docs, text, terms, idf, "_v")
+    rows = docs.withColumn("_v", F.col(vectors)) if vectors else tfidf_vectors(docs, text, terms, idf, "_v")
     given = F.array(*[F.lit(b) for b in bias])
     rows = rows.withColumn("_m", F.zip_with(class_sums("_v", weights), given, lambda s, b: s + b))
     best = F.array_position("_m", F.array_max("_m"))

@@ -134,3 +134,61 @@ def test_terms_of_a_template_are_one_column_and_equal_rows_one_row():
     want = single_steps(x, signs, w.copy(), b.copy(), 0.001, 0.01, 30)
     svm.steps(w, b, starts, terms, x[rows, terms], signs, 0.001, 0.01, 30, 1)
     assert np.abs(w - want[0]).max() < 1e-12 and np.abs(b - want[1]).max() < 1e-12
+
+
+def test_sets_side_by_side_step_as_alone(monkeypatch):
+    """Sets of other sizes, one without rows that hold a term, in one part and in several."""
+    rng = np.random.default_rng(7)
+
+    def sets():
+        out = []
+        for n in (150, 1, 201, 64, 90):
+            sizes = rng.integers(0, 6, n) if n != 90 else np.zeros(n, int)
+            terms = [np.sort(rng.choice(30, k, replace=False)) for k in sizes]
+            signs = np.where(rng.integers(0, 3, n)[:, None] == np.arange(3)[None, :], 1.0, -1.0)
+            out.append((rng.normal(size=(30, 3)), rng.normal(size=3), np.concatenate([[0], np.cumsum(sizes)]),
+                        np.concatenate([*terms, []]).astype(np.int64), rng.random(sizes.sum()) + 0.1, signs))
+        return out
+
+    for cells in (svm.KEPT_CELLS, 4_000):
+        monkeypatch.setattr(svm, "KEPT_CELLS", cells)
+        rows = sets()
+        alone = [(w.copy(), b.copy(), *rest) for w, b, *rest in rows]
+        for w, b, *rest in alone:
+            svm.steps(w, b, *rest, 0.001, 0.01, 40)
+        svm.steps_of_all(rows, 0.001, 0.01, 40)
+        for (w, b, *_), (x, c, *_) in zip(rows, alone):
+            assert np.abs(w - x).max() < 1e-9 and np.abs(b - c).max() < 1e-9
+
+
+def test_fit_is_the_same_side_by_side(spark, monkeypatch):
+    rows = frame(spark, made(400, 8))
+    monkeypatch.setattr(svm, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(svm, "SIDE_BY_SIDE", 1)
+    key = lambda m: sorted((r["label"], r["term"] or "", r["weight"]) for r in m.weights.collect())
+    alone = key(svm.svm_fit(rows, "id", "m", "y", passes=20, merges=2))
+    monkeypatch.setattr(svm, "SIDE_BY_SIDE", 4)
+    monkeypatch.setattr(svm, "LEAST_CALLS", 2)
+    together = key(svm.svm_fit(rows, "id", "m", "y", passes=20, merges=2))
+    assert [x[:2] for x in alone] == [x[:2] for x in together]
+    assert max(abs(x[2] - y[2]) for x, y in zip(alone, together)) < 1e-9
+
+
+def test_classifiers_share_vocabulary_and_vectors(spark, monkeypatch):
+    """The severity model is that of a fit of its own, and the texts are not read for it again."""
+    from pyspark.sql import functions as F
+
+    from logloom.operators import classify
+    logs = spark.createDataFrame([(i, f"{w} in unit u{i % 7} code {i % 5}", "app") for i, w in enumerate(["error", "login ok", "warning low disk", "fatal crash"] * 15)],
+                                 "id long, body_raw string, service_name string")
+    fits, fit = [], classify.svm_fit
+    monkeypatch.setattr(classify, "svm_fit", lambda *a, **k: fits.append(k) or fit(*a, **{**k, "passes": 30}))
+    models = classify.train_classifiers(logs)
+    assert fits[0]["vocabulary"] is models.vocabulary is models.severity.vocabulary
+    levels = logs.select("id", "body_raw", classify.keyword_labels(F.col("body_raw"), F.col("service_name"))["severity"].alias("level"))
+    own = fit(levels, "id", "body_raw", "level", passes=30)
+    key = lambda m: sorted((r["label"], r["term"] or "", round(r["weight"], 9)) for r in m.weights.collect())
+    assert key(own) == key(models.severity)
+    got = {r["id"]: (r["severity_label"], r["category"]) for r in classify.classify(logs, models).collect()}
+    models.severity = own
+    assert got == {r["id"]: (r["severity_label"], r["category"]) for r in classify.classify(logs, models).collect()}
