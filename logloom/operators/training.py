@@ -131,8 +131,22 @@ def nested(df: DataFrame, fractions: Sequence[float], seed: int = 42, id_col: st
     return materialize(placed, "curve-train"), materialize(test, "curve-test")
 
 
+@dataclass(frozen=True)
+class TextAccuracy:
+    """For learning_curve: the accuracy of naive Bayes over term weights. See text_curve."""
+
+    text: str
+    label: str
+
+    def curve(self, df: DataFrame, fractions: Sequence[float], seed: int, id_col: str) -> list[tuple[float, float]]:
+        return text_curve(df, self.text, self.label, fractions, seed, id_col)
+
+
 def learning_curve(df: DataFrame, fit_score, fractions: Sequence[float] = FRACTIONS, seed: int = 42, id_col: str = "id"):
-    """[(fraction, score)] over nested subsets; fit_score(train, test) -> number."""
+    """[(fraction, score)] over nested subsets; fit_score(train, test) -> number, or an object whose `curve` makes all scores
+    in one go."""
+    if hasattr(fit_score, "curve"):
+        return fit_score.curve(df, fractions, seed, id_col)
     train, test = nested(df, fractions, seed, id_col)
     return [(f, fit_score(train.filter(F.col("_since") <= float(f)).drop("_since"), test)) for f in fractions]
 

@@ -239,7 +239,7 @@ def _(t):
 
 @query("learning_curve")
 def _(t):
-    rows = Z.text_curve(_documents(t), "text", "quality", id_col="doc_id")
+    rows = Z.learning_curve(_documents(t), Z.TextAccuracy("text", "quality"), id_col="doc_id")
     return t.spark.createDataFrame([(float(f), float(s)) for f, s in rows], "fraction double, score double")
 
 
